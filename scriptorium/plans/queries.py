@@ -1 +1,36 @@
 """Registers the queries of all core operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.tables import table
+from .registry import query
+
+
+@query()
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    from ..operators.inlining import nested_elements
+
+    return nested_elements(table(spark, root, "editions"))
+
+
+@query()
+def p5_schema(spark: SparkSession, root: str) -> DataFrame:
+    from ..operators.inlining import SharedInlining
+
+    return SharedInlining(table(spark, root, "editions")).schema()
+
+
+def _p5_table(name: str):
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        from ..operators.inlining import SharedInlining
+
+        return SharedInlining(table(spark, root, "editions"), keep=("div", "l", "note")).table(name)
+
+    run.__name__ = f"p5_{name}"
+    return run
+
+
+for _name in ("div", "l", "note"):
+    query()(_p5_table(_name))
