@@ -8,20 +8,22 @@ by its one form.  Look-alike letters of Latin, Greek and Cyrillic take the
 script of the word they stand in, which the letters that exist in one script
 only decide; words without such letters take the script of their text.
 
-Texts of plain characters never leave the JVM.
+Most texts need one search for odd characters and no more.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import written
+
 # Letters that look the same, as Latin, Greek, Cyrillic ("-" where a script has none).
 LOOKALIKE_LETTERS = """
 A Α А
@@ -83,10 +85,6 @@ def _python_class(points: list[int]) -> str:
     return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(points))
 
 
-def _java_class(points: list[int]) -> str:
-    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(points))
-
-
 def _own_form(ch: str) -> str:
     """What one code point is written as, without regard to marks around it."""
     p, cat = ord(ch), unicodedata.category(ch)
@@ -106,6 +104,19 @@ def _own_form(ch: str) -> str:
     return unicodedata.normalize("NFC", ch)
 
 
+class Memo(dict):
+    """What a function of one string gave, up to a number of strings; then it starts anew."""
+
+    def __init__(self, f: Callable[[str], str | None], limit: int = 200_000) -> None:
+        self.f, self.limit = f, limit
+
+    def __missing__(self, key: str) -> str | None:
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = out = self.f(key)
+        return out
+
+
 class Transducer:
     """The compiled mapping; `apply` is its only entry."""
 
@@ -139,10 +150,13 @@ class Transducer:
                         if self.to[script].setdefault(ord(c), target) != target:
                             raise ValueError(f"{c!r} has two forms in {script}")
         self._check()
+        self._memos()
         m, i = _python_class([p for p in marks if chr(p) not in self.own or self.own[chr(p)]]), _python_class(ignored)
         self.clusters = re.compile(f"(?:[^{m}{i}][{i}]*)?[{m}][{m}{i}]*|[{_python_class([ord(c) for c in self.own])}]")
         self.letters = re.compile(r"(?:[^\W\d_]|[" + m + "])+")
-        self.tokens = re.compile("[^ \n]+")
+        self.odd = re.compile(f"[{m}{i}{_python_class([ord(c) for c in self.own])}]")
+        self.latin, self.greek, self.cyrillic = re.compile("[A-Za-z\u00c0-\u024f]"), re.compile("[\u0370-\u03ff\u1f00-\u1fff]"), re.compile("[\u0400-\u052f]")
+        self.decides = re.compile("[" + _python_class([p for p in (*range(0x41, 0x250), *range(0x370, 0x400), *range(0x1F00, 0x2000)) if self._decides(chr(p))]) + "]")
 
     def _check(self) -> None:
         """Each source has one form, each form is final, and the scripts' letters don't run in circles."""
@@ -157,10 +171,22 @@ class Transducer:
         if both := self.ambiguous & set(self.own):
             raise ValueError(f"{sorted(both)} are both rewritten and look-alikes")
 
-    @lru_cache(maxsize=200_000)
+    def _memos(self) -> None:
+        self.cluster_of, self.word_of = Memo(self._cluster), Memo(self._word)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("cluster_of", "word_of")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._memos()
+
     def _cluster(self, raw: str) -> str:
         return unicodedata.normalize("NFC", "".join(self.own.get(c, c) for c in raw))
 
+    def _decides(self, ch: str) -> bool:
+        return any(self.script_of(c) for c in unicodedata.normalize("NFD", ch))
+
     def script_of(self, ch: str) -> str | None:
         """The one script a letter or mark exists in, if there is one."""
         if ch in GREEK_MARKS:
@@ -178,51 +204,51 @@ class Transducer:
         best = max(SCRIPTS, key=lambda s: n[s])
         return best if n[best] else None
 
+    def _word(self, word: str) -> str | None:
+        """A run of letters in the script it decides on; null if it decides on none."""
+        raw = unicodedata.normalize("NFD", word)
+        if not self.ambiguous.intersection(raw):
+            return word
+        script = self._majority(raw)
+        return script and unicodedata.normalize("NFC", raw.translate(self.to[script]))
+
+    def _settled(self, text: str) -> bool:
+        """The letters are of one script, and one of them exists in that script only."""
+        latin, greek = self.latin.search(text), self.greek.search(text)
+        if self.cyrillic.search(text) or (latin and greek):
+            return False
+        return not (latin or greek) or self.decides.search(text) is not None
+
     def apply(self, text: str | None) -> str | None:
         if text is None:
             return None
-        flat = self.clusters.sub(lambda m: self._cluster(m.group()), text)
+        if self.odd.search(text):
+            text = self.clusters.sub(lambda m: self.cluster_of[m.group()], text)
+        if self._settled(text):
+            return text
         whole: list[str] = []
 
         def word(m: re.Match) -> str:
-            raw = unicodedata.normalize("NFD", m.group())
-            if not self.ambiguous.intersection(raw):
-                return m.group()
-            script = self._majority(raw)
-            if script is None:
+            form = self.word_of[m.group()]
+            if form is None:
                 if not whole:
-                    whole.append(self._majority(flat) or SCRIPTS[0])
-                script = whole[0]
-            return unicodedata.normalize("NFC", raw.translate(self.to[script]))
-
-        return self.letters.sub(word, flat)
-
-
-@lru_cache(maxsize=1)
-def transducer() -> Transducer:
-    return Transducer()
+                    whole.append(self._majority(text) or SCRIPTS[0])
+                raw = unicodedata.normalize("NFD", m.group())
+                form = unicodedata.normalize("NFC", raw.translate(self.to[whole[0]]))
+            return form
 
-
-@lru_cache(maxsize=1)
-def plain_class() -> str:
-    """The characters of a Java class that the transducer leaves alone; texts of one script made of them only are done."""
-    t = transducer()
-    blocks = [(0x20, 0x7E), (0xA1, 0x17F), (0x370, 0x3FF), (0x1F00, 0x1FFF), (0x2013, 0x2022), (0x27E8, 0x27E9)]
-    keep = [p for a, b in blocks for p in range(a, b + 1) if chr(p) not in t.own and unicodedata.category(chr(p)) not in ("Cn", "Mn")]
-    return _java_class([10, *keep])
-
-
-@F.pandas_udf(StringType())
-def _apply(texts: pd.Series) -> pd.Series:
-    t = transducer()
-    return texts.map(t.apply, na_action="ignore")
+        return self.letters.sub(word, text)
 
 
 def unified(text: Column) -> Column:
     """`text` in its one form; null stays null, an empty text stays empty."""
-    mixed = text.rlike("[A-Za-z]") & text.rlike("[\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]")
-    odd = text.rlike(f"[^{plain_class()}]") | mixed
-    return F.coalesce(_apply(F.when(odd, text)), text)
+    compiled = Transducer()
+
+    @F.arrow_udf(StringType())
+    def form(texts: pa.Array) -> pa.Array:
+        return pa.array(map(compiled.apply, texts.to_pylist()), pa.string())
+
+    return form(text)
 
 
 def unify(df: DataFrame, text: str = "text", out: str = "unified") -> DataFrame:
@@ -249,6 +275,7 @@ def look_the_same(df: DataFrame, id_col: str = "passage_id", text: str = "text")
         .withColumn("u", unified(F.col("t")))
         .select("id", F.xxhash64("u").alias("form"), F.xxhash64(F.lit(1), "u").alias("form2"), F.xxhash64("t").alias("spelling"))
     )
+    rows = written(rows, "text-forms")
     several = (
         rows.groupBy("form", "form2")
         .agg(F.min("spelling").alias("s0"), F.max("spelling").alias("s1"))
