@@ -22,6 +22,18 @@ def p2_classes(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumnRenamed("id", "passage_id")
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    from .spans import shared_spans
+
+    return shared_spans(_table(spark, root, "passages"))
+
+
+def p3_shares(spark: SparkSession, root: str) -> DataFrame:
+    from .spans import shared_shares
+
+    return shared_shares(_table(spark, root, "passages"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     from .unify import look_the_same
 
@@ -34,4 +46,45 @@ def p4_unified(spark: SparkSession, root: str) -> DataFrame:
     return unify(_table(spark, root, "passages").select("passage_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_unified)}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    from .leakage import leaked
+
+    return leaked(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
+
+
+def p7_longest(spark: SparkSession, root: str) -> DataFrame:
+    from .leakage import longest_leaks
+
+    return longest_leaks(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
+
+
+def p7_clean(spark: SparkSession, root: str) -> DataFrame:
+    from .leakage import without_leaks
+
+    return without_leaks(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    from .residue import residue
+
+    return residue(_table(spark, root, "documents")).select("doc_id")
+
+
+def p8_messages(spark: SparkSession, root: str) -> DataFrame:
+    from .residue import messages
+
+    return messages(_table(spark, root, "documents"))
+
+
+def p8_clean(spark: SparkSession, root: str) -> DataFrame:
+    from .residue import without_residue
+
+    return without_residue(_table(spark, root, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_classes, p3_found, p3_shares, p4_found, p4_unified, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
+    )
+}
