@@ -9,6 +9,18 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    from .markup import markup_rows
+
+    return markup_rows(_table(spark, root, "passages")).select("passage_id")
+
+
+def p1_clean(spark: SparkSession, root: str) -> DataFrame:
+    from .markup import cleaned
+
+    return cleaned(_table(spark, root, "passages")).select("passage_id", "clean_text", "blocks")
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -46,6 +58,18 @@ def p4_unified(spark: SparkSession, root: str) -> DataFrame:
     return unify(_table(spark, root, "passages").select("passage_id", "text"))
 
 
+def p6_packed(spark: SparkSession, root: str) -> DataFrame:
+    from .packing import pack, sized
+
+    return pack(sized(_table(spark, root, "documents")), _table(spark, root, "containers"))
+
+
+def p6_usage(spark: SparkSession, root: str) -> DataFrame:
+    from .packing import usage
+
+    return usage(p6_packed(spark, root))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     from .leakage import leaked
 
@@ -85,6 +109,6 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_classes, p3_found, p3_shares, p4_found, p4_unified, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
+        p1_found, p1_clean, p2_found, p2_classes, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
     )
 }
