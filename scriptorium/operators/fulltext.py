@@ -125,18 +125,18 @@ def scores(index: Index, raw: str) -> DataFrame:
     else:
         found = reduce(DataFrame.union, (occurrences(index, p).select("passage_id", F.lit(k).alias("slot"), "f") for k, p in enumerate(distinct)))
     have = found.groupBy("passage_id").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("slot") == k, F.col("f"))).alias(f"f{k}") for k in range(len(distinct))))
-    # one row of statistics: how many passages have each phrase
-    df = have.agg(*(F.count(f"f{k}").alias(f"n{k}") for k in range(len(distinct))))
+    # how many passages have each phrase: one row, a scalar subquery
+    df = have.agg(F.struct(*(F.count(f"f{k}").alias(f"n{k}") for k in range(len(distinct)))).alias("n")).scalar()
     both = have.filter(F.col("n") == len(distinct)).join(index.docstats, "passage_id")
     average = index.length / index.total if index.total else 0.0
     long = F.col("dl") / F.lit(average if average else 1.0)
     total = F.lit(0.0)
     for k, n in enumerate(times):
-        hits = F.col(f"n{k}")
+        hits = df[f"n{k}"]
         idf = F.greatest(F.log((F.lit(float(index.total)) - hits + 0.5) / (hits + 0.5)), F.lit(LEAST_IDF))
         f = F.col(f"f{k}")
         total = total + n * idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * long))
-    return both.crossJoin(F.broadcast(df)).select("passage_id", total.alias("score"))  # df is one row
+    return both.select("passage_id", total.alias("score"))
 
 
 def snippet(text: str | None, phrases: list[list[str]], size: int = 12, before: str = "<mark>", after: str = "</mark>", gap: str = " … ") -> str:
@@ -203,10 +203,18 @@ def snippets(text: Column, phrases: list[list[str]], size: int = 12) -> Column:
     return make(text)
 
 
+def ranked(index: Index, raw: str, k: int = 50, among: DataFrame | None = None) -> DataFrame:
+    """(rn, passage_id, score) of the k best passages, of those in `among` if given; ties, to ten decimals, by passage_id."""
+    found = scores(index, raw).withColumn("score", F.round("score", 10))
+    if among is not None:
+        found = found.join(among.select("passage_id"), "passage_id", "left_semi")
+    top = found.orderBy(F.desc("score"), "passage_id").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "passage_id")).alias("rn"), "passage_id", "score")  # of k rows
+
+
 def search(index: Index, raw: str, k: int = 50) -> DataFrame:
-    """The k best passages: (rn, passage_id, file, tree, ref, title, author, snippet, score); ties by passage_id."""
-    top = scores(index, raw).orderBy(F.desc("score"), "passage_id").limit(k)
-    top = top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("score"), "passage_id")))  # of k rows
+    """The k best passages: (rn, passage_id, file, tree, ref, title, author, snippet, score)."""
+    top = ranked(index, raw, k)
     rows = index.passages.join(F.broadcast(top), "passage_id")
     return rows.select("rn", "passage_id", "file", "tree", "ref", "title", "author", snippets(F.col("text"), phrases_of(raw)).alias("snippet"), "score").orderBy("rn")
 
@@ -217,4 +225,4 @@ def bm25(f: float, hits: int, total: int, dl: int, average: float) -> float:
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
 
 
-__all__ = ["Index", "bm25", "docstats", "fold_text", "occurrences", "phrases_of", "postings", "scores", "search", "snippet", "snippets", "term_stats"]
+__all__ = ["Index", "bm25", "docstats", "fold_text", "occurrences", "phrases_of", "postings", "ranked", "scores", "search", "snippet", "snippets", "term_stats"]

@@ -2,35 +2,419 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import catalog, editions, fulltext, links
+from ..operators.inlining import SharedInlining, nested_elements
+from ..session import written
+from ..sources import sinks
 from ..sources.tables import table
+from . import oracle
 from .registry import query
 
+# Catalog
+
+
+def _works(spark: SparkSession, root: str) -> DataFrame:
+    return catalog.works(catalog.latest(table(spark, root, "editions").select("file", "edition_id", "title", "author"), "edition_id"))
+
+
+@query(oracle.WORKS)
+def catalog_works(spark: SparkSession, root: str) -> DataFrame:
+    """Author and work ids from paths; of a file delivered again the latest row."""
+    return _works(spark, root)
+
+
+@query(f"""WITH w AS ({oracle.WORKS}), g AS (SELECT *, coalesce(nullif(author, ''), author_id) AS a, string_split(file, '/') AS p,
+ lower(coalesce(nullif(title, ''), file)) AS t FROM w)
+ SELECT a AS author, arg_min(author_id, p) AS id, count(*) AS n_works, string_agg(file, '|' ORDER BY t, p) AS files FROM g GROUP BY a""")
+def author_groups(spark: SparkSession, root: str) -> DataFrame:
+    g = catalog.group_by_author(_works(spark, root))
+    return g.select("author", "id", "n_works", F.array_join("works.file", "|").alias("files"))
+
+
+@query(f"""WITH w AS ({oracle.WORKS}), g AS (SELECT *, coalesce(nullif(author, ''), author_id) AS a, string_split(file, '/') AS p,
+ lower(coalesce(nullif(title, ''), file)) AS t FROM w)
+ SELECT a AS author, first_value(author_id) OVER (PARTITION BY a ORDER BY p) AS id, count(*) OVER (PARTITION BY a) AS n_works,
+ row_number() OVER (PARTITION BY a ORDER BY t, p) AS place, file, work_id, title FROM g""")
+def author_works(spark: SparkSession, root: str) -> DataFrame:
+    return catalog.author_works(_works(spark, root))
+
+
+@query(f"""SELECT file, row_number() OVER (ORDER BY string_split(file, '/')) AS place, coalesce(nullif(title, ''), work_id) AS shown_title,
+ coalesce(nullif(author, ''), author_id) AS shown_author FROM ({oracle.WORKS})""")
+def path_order(spark: SparkSession, root: str) -> DataFrame:
+    """Works in path order, numbered, with their display names.
+
+    Places come from a range sort: each partition is counted, then numbered from
+    where the ones before it end.
+    """
+    rows = _works(spark, root).withColumn("p", T.path_key(F.col("file"))).orderBy("p")
+    rows = written(rows.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()), "path-order")
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("k0"))
+    before = counts.select("part", "k0", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    shown = T.first_filled(F.col("title"), F.col("work_id")).alias("shown_title"), T.first_filled(F.col("author"), F.col("author_id")).alias("shown_author")
+    return rows.join(before, "part").select("file", (F.col("before") + F.col("k") - F.col("k0") + 1).alias("place"), *shown)
+
+
+_NAMES = ("Fragmenta", " grc ", "%", "anthologia ficta", "")
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{q}' AS q, file FROM ({oracle.WORKS}) WHERE trim('{q}') = '' OR contains(lower(title), lower(trim('{q}'))) OR contains(lower(author), lower(trim('{q}'))) OR contains(lower(file), lower(trim('{q}')))"
+    for q in _NAMES
+))
+def name_search(spark: SparkSession, root: str) -> DataFrame:
+    works = _works(spark, root)
+    found = None
+    for q in _NAMES:
+        one = catalog.name_search(works, q).select(F.lit(q).alias("q"), "file")
+        found = one if found is None else found.unionAll(one)
+    return found
+
+
+@query("""SELECT DISTINCT path, ok FROM (SELECT unnest([file, '../' || file, 'x/../' || file, 'x/../../' || file, '/' || file, './' || file, 'a/..']) AS path,
+ unnest([true, false, true, false, false, true, false]) AS ok FROM editions WHERE file IS NOT NULL)""")
+def path_guard(spark: SparkSession, root: str) -> DataFrame:
+    file = F.col("file")
+    paths = F.array(file, F.concat(F.lit("../"), file), F.concat(F.lit("x/../"), file), F.concat(F.lit("x/../../"), file), F.concat(F.lit("/"), file), F.concat(F.lit("./"), file), F.lit("a/.."))
+    rows = table(spark, root, "editions").filter(file.isNotNull()).select(F.explode(paths).alias("path")).distinct()
+    return rows.select("path", catalog.inside(F.col("path")).alias("ok"))
+
+
+# Citation and navigation, on the rows of the index
+
+
+def _units(spark: SparkSession, root: str) -> DataFrame:
+    parts = F.split("ref", r"\.")
+    return table(spark, root, "passages").select(
+        "passage_id", "file", "tree", "ref", F.size(parts).alias("level"),
+        F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")).alias("parent_ref"), F.col("passage_id").alias("ord"),
+    )
+
+
+_UNITS = """SELECT passage_id, file, tree, ref, len(string_split(ref, '.')) AS level,
+ CASE WHEN contains(ref, '.') THEN regexp_replace(ref, '\\.[^.]*$', '') END AS parent_ref, passage_id AS ord FROM passages"""
+
+
+@query(f"SELECT passage_id, file, tree, ref, level, parent_ref, row_number() OVER (PARTITION BY file, tree ORDER BY ord) AS place FROM ({_UNITS})")
+def citation_units(spark: SparkSession, root: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("file", "tree").orderBy("ord")).alias("place")
+    return _units(spark, root).select("passage_id", "file", "tree", "ref", "level", "parent_ref", place)
+
+
+@query(f"SELECT file, tree, level, count(*) AS n FROM ({_UNITS}) GROUP BY ALL")
+def citation_counts(spark: SparkSession, root: str) -> DataFrame:
+    return _units(spark, root).groupBy("file", "tree", "level").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT file, tree, ref, level, prev_ref, next_ref FROM (
+ SELECT *, row_number() OVER (PARTITION BY file, tree, ref ORDER BY ord) AS k FROM (
+  SELECT *, lag(ref) OVER w AS prev_ref, lead(ref) OVER w AS next_ref FROM ({_UNITS}) WINDOW w AS (PARTITION BY file, tree, level ORDER BY ord))) WHERE k = 1""")
+def neighbors(spark: SparkSession, root: str) -> DataFrame:
+    return editions.neighbours(_units(spark, root))
+
+
+@query(f"""SELECT c.passage_id, p.passage_id AS parent_id FROM ({_UNITS}) c JOIN (SELECT file, tree, ref, min(passage_id) AS passage_id FROM passages GROUP BY ALL) p
+ ON p.file = c.file AND p.tree = c.tree AND p.ref = c.parent_ref""")
+def unit_parents(spark: SparkSession, root: str) -> DataFrame:
+    u = _units(spark, root)
+    first = u.groupBy("file", "tree", F.col("ref").alias("parent_ref")).agg(F.min("passage_id").alias("parent_id"))
+    return u.join(first, ["file", "tree", "parent_ref"]).select("passage_id", "parent_id")
+
+
+@query("""SELECT file, tree, ref, title, author, text, passage_id FROM (SELECT *, row_number() OVER (PARTITION BY file, tree, ref ORDER BY loaded_at DESC, passage_id DESC) AS k
+ FROM passages) WHERE k = 1""")
+def latest_passages(spark: SparkSession, root: str) -> DataFrame:
+    """Each unit once: the delivery that was loaded last."""
+    last = F.max_by(F.struct("title", "author", "text", "passage_id"), F.struct("loaded_at", "passage_id")).alias("r")
+    return table(spark, root, "passages").groupBy("file", "tree", "ref").agg(last).select("file", "tree", "ref", "r.*")
+
+
+@query("""SELECT e.file, p.passage_id, p.text FROM (SELECT DISTINCT file FROM editions) e JOIN passages p ON p.file = e.file AND p.tree = 'default' AND p.ref = '1.1'""")
+def passage_by_ref(spark: SparkSession, root: str) -> DataFrame:
+    """The passage 1.1 of every file."""
+    files = table(spark, root, "editions").select("file").distinct()
+    return table(spark, root, "passages").filter("tree = 'default' and ref = '1.1'").join(files, "file").select("file", "passage_id", "text")
+
+
+@query("SELECT passage_id, trim(text) AS text FROM (SELECT passage_id, regexp_replace(text, '^[\\s\\pZ\\x{1c}-\\x{1f}\\x{85}]+|[\\s\\pZ\\x{1c}-\\x{1f}\\x{85}]+$', '', 'g') AS text FROM passages) WHERE length(text) > 0")
+def nonempty_passages(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "passages").select("passage_id", T.strip(F.col("text")).alias("text")).filter(F.length("text") > 0)
+
+
+# Scalars
+
+
+@query("SELECT passage_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS text FROM passages")
+def normalize_space(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "passages").select("passage_id", T.normalize_space(F.col("text")).alias("text"))
+
+
+@query("SELECT passage_id, " + ", ".join(f"regexp_replace({c}, '^[\\s\\pZ\\x{{1c}}-\\x{{1f}}\\x{{85}}]+|[\\s\\pZ\\x{{1c}}-\\x{{1f}}\\x{{85}}]+$', '', 'g') AS {c}" for c in ("title", "author")) + " FROM passages")
+def strip_unicode(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "passages").select("passage_id", T.strip(F.col("title")).alias("title"), T.strip(F.col("author")).alias("author"))
+
+
+@query("""SELECT item_id, array_to_string(t, ' ') AS terms, len(t) AS n, array_to_string(list_transform(t, lambda x: '"' || x || '"'), ' AND ') AS match
+ FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM benchmark)""")
+def query_terms(spark: SparkSession, root: str) -> DataFrame:
+    terms = T.query_terms(F.col("text"))
+    return table(spark, root, "benchmark").select("item_id", F.array_join(terms, " ").alias("terms"), F.size(terms).alias("n"), T.match_string(F.col("text")).alias("match"))
+
+
+@query(f"SELECT passage_id, array_to_string({oracle.tokens('text')}, ' ') AS tokens FROM passages")
+def token_fold(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "passages").select("passage_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, len({oracle.tokens('text')}) AS n FROM documents")
+def document_tokens(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", T.token_count(F.col("text")).alias("n"))
+
+
+@query("""SELECT o_orderkey, ['1', ' TRUE ', 'Yes', 'on', '0', 'false', '', 'off'][o_orderkey % 8 + 1] AS flag, o_orderkey % 8 < 4 AS value,
+ 'h' || least(greatest(o_orderkey % 8 + 1, 2), 6) AS heading, repeat(chr(160), (o_orderkey % 4)::INT) AS run FROM orders""")
+def small_functions(spark: SparkSession, root: str) -> DataFrame:
+    k = F.col("o_orderkey") % 8
+    words = F.array(*map(F.lit, ["1", " TRUE ", "Yes", "on", "0", "false", "", "off"]))
+    flag = F.element_at(words, (k + 1).cast("int"))
+    return table(spark, root, "orders").select(
+        "o_orderkey", flag.alias("flag"), T.flag(flag).alias("value"), T.heading_tag(k).alias("heading"), T.nbsp_run((F.col("o_orderkey") % 4).cast("string")).alias("run")
+    )
+
+
+@query("SELECT p_partkey, 'tei-hi tei-rend-' || regexp_replace(trim(regexp_replace('  ' || p_type || chr(9), '[ \\t\\r\\n]+', ' ', 'g'), ' '), '\\s+', '-', 'g') AS cls FROM part")
+def rend_class(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "part").select("p_partkey", T.rend_class(F.concat(F.lit("  "), F.col("p_type"), F.lit("\t"))).alias("cls"))
+
+
+# Links
+
+_DIR = "regexp_replace(catalog_dir || '/' || regexp_replace(filepath, '^(\\./)+', ''), '[^/]+/\\.\\./', '')"
+_IDENTIFIERS = f"""WITH t AS (SELECT catalog_dir, catalog_name, {_DIR} AS target, max(identifier) AS identifier
+  FROM catalog_entries WHERE identifier <> '' AND filepath <> '' GROUP BY ALL),
+ f AS (SELECT DISTINCT file FROM editions WHERE file IS NOT NULL),
+ b AS (SELECT target, arg_min(identifier, [-len(string_split(catalog_dir, '/')), CASE catalog_name WHEN 'metadata.xml' THEN 0 ELSE 1 END]) AS identifier,
+  arg_min(catalog_dir, [-len(string_split(catalog_dir, '/')), CASE catalog_name WHEN 'metadata.xml' THEN 0 ELSE 1 END]) AS catalog_dir
+  FROM t WHERE starts_with(target, catalog_dir || '/') GROUP BY target)
+ SELECT file, identifier, catalog_dir FROM f LEFT JOIN b ON target = file"""
+
+
+def _identifiers(spark: SparkSession, root: str) -> DataFrame:
+    return links.identifiers(table(spark, root, "editions"), table(spark, root, "catalog_entries"), F.col("identifier"))
+
+
+@query(_IDENTIFIERS)
+def nearest_identifiers(spark: SparkSession, root: str) -> DataFrame:
+    """The identifier of every edition; of two in one catalog the greater."""
+    return _identifiers(spark, root)
+
+
+@query(f"""SELECT passage_id, 'http://dts.test/document/?resource=' || replace(replace(url_encode(identifier), '%20', '+'), '*', '%2A')
+ || CASE WHEN ref <> '' THEN '&ref=' || replace(url_encode(ref), '%20', '+') ELSE '' END || CASE WHEN tree <> '' THEN '&tree=' || replace(url_encode(tree), '%20', '+') ELSE '' END AS url
+ FROM passages JOIN ({_IDENTIFIERS}) USING (file) WHERE identifier IS NOT NULL""")
+def dts_url(spark: SparkSession, root: str) -> DataFrame:
+    found = _identifiers(spark, root).filter("identifier is not null")
+    url = links.document_url(F.lit("http://dts.test/"), F.col("identifier"), F.col("ref"), F.col("tree"))
+    return table(spark, root, "passages").join(found, "file").select("passage_id", url.alias("url"))
+
+
+# Full text
+
+
+@query(f"SELECT term, count(DISTINCT passage_id) AS df, count(*) AS cf FROM ({oracle.POSTINGS}) GROUP BY term")
+def term_statistics(spark: SparkSession, root: str) -> DataFrame:
+    return fulltext.term_stats(fulltext.postings(table(spark, root, "passages")))
+
+
+@query(f"SELECT term, passage_id, col, pos FROM ({oracle.POSTINGS})")
+def postings(spark: SparkSession, root: str) -> DataFrame:
+    return fulltext.postings(table(spark, root, "passages"))
+
+
+@query(oracle.DOCSTATS)
+def document_lengths(spark: SparkSession, root: str) -> DataFrame:
+    return fulltext.docstats(table(spark, root, "passages"))
+
+
+def _ranked(name: str, raw: str, phrases: list[list[str]], k: int | None = 50) -> None:
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        return fulltext.ranked(fulltext.Index.over(table(spark, root, "passages")), raw, k or 2**31 - 1)
+
+    run.__name__ = name
+    query(oracle.bm25(phrases, k))(run)
+
+
+_ranked("bm25_single", "ἴπρε", [["ἴπρε"]])
+_ranked("bm25_and", "τε καὶ τὸν", [["τε"], ["καὶ"], ["τὸν"]])
+_ranked("bm25_cross_column", "anthologia γὰρ", [["anthologia"], ["γὰρ"]])
+_ranked("bm25_phrase", "ab_ad et", [["ab", "ad"], ["et"]])
+_ranked("bm25_repeated_term", "cum ut cum", [["cum"], ["ut"], ["cum"]])
+_ranked("bm25_all_hits", "δὲ", [["δὲ"]], None)
+
+
+@query(oracle.bm25([["ὡς"], ["ἐν"]], 50, " AND passage_id IN (SELECT passage_id FROM passages WHERE contains(file, '-grc1'))"))
+def search_filtered(spark: SparkSession, root: str) -> DataFrame:
+    """The best hits among the passages of first Greek editions."""
+    p = table(spark, root, "passages")
+    return fulltext.ranked(fulltext.Index.over(p), "ὡς ἐν", 50, p.filter(F.contains("file", F.lit("-grc1"))))
+
 
 @query()
-def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    from ..operators.inlining import nested_elements
+def search_top50(spark: SparkSession, root: str) -> DataFrame:
+    """The reference's search: the top 50 with snippets."""
+    return fulltext.search(fulltext.Index.over(table(spark, root, "passages")), "τε καὶ", 50)
+
+
+# Export and reports
+
+
+@query("""SELECT passage_id, to_json({'file': file, 'tree': tree, 'ref': ref, 'title': coalesce(title, ''), 'author': coalesce(author, ''), 'text': text})::VARCHAR AS value
+ FROM passages WHERE text <> ''""")
+def jsonl_rows(spark: SparkSession, root: str) -> DataFrame:
+    p = table(spark, root, "passages").filter("text <> ''").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "author")})
+    return p.select("passage_id", F.to_json(F.struct(*sinks.JSONL)).alias("value"))
+
+
+@query("""SELECT file, string_agg(reason, '; ' ORDER BY first, reason) AS reasons, count(*) AS n FROM
+ (SELECT file, reason, min(seen_at) AS first FROM skip_report GROUP BY file, reason) GROUP BY file""")
+def skip_reasons(spark: SparkSession, root: str) -> DataFrame:
+    """Each file's reasons in the order in which they were first seen."""
+    each = table(spark, root, "skip_report").groupBy("file", "reason").agg(F.min("seen_at").alias("first"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("first", "reason")))
+    return each.groupBy("file").agg(F.array_join(F.transform(sorted_, lambda x: x["reason"]), "; ").alias("reasons"), F.count("*").alias("n"))
+
+
+@query("SELECT tree, count(DISTINCT file) AS n_docs, count(*) AS n_passages, count(DISTINCT ref) AS n_refs FROM passages GROUP BY tree")
+def index_summary(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "passages").groupBy("tree").agg(F.countDistinct("file").alias("n_docs"), F.count("*").alias("n_passages"), F.countDistinct("ref").alias("n_refs"))
+
 
+# Editions: XML to tables.  SQL has no XML; these are tested against independent parsers.
+
+
+@query()
+def edition_headers(spark: SparkSession, root: str) -> DataFrame:
+    return editions.headers(table(spark, root, "editions").select("edition_id", "file", "content")).drop("content")
+
+
+@query()
+def node_table(spark: SparkSession, root: str) -> DataFrame:
+    rows = editions.nodes(table(spark, root, "editions").withColumn("key", F.concat_ws("#", "file", "edition_id")), "key")
+    return rows.withColumn("attrs", F.to_json("attrs"))
+
+
+@query()
+def cite_rules(spark: SparkSession, root: str) -> DataFrame:
+    return editions.cite_rules(table(spark, root, "editions"))
+
+
+@query()
+def edition_units(spark: SparkSession, root: str) -> DataFrame:
+    return editions.units(table(spark, root, "editions"))
+
+
+@query()
+def index_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Passages and rejects of all editions, as they go into the index."""
+    return editions.index_rows(table(spark, root, "editions"))
+
+
+@query()
+def index_counters(spark: SparkSession, root: str) -> DataFrame:
+    return editions.counters(editions.index_rows(table(spark, root, "editions")))
+
+
+@query()
+def reject_report(spark: SparkSession, root: str) -> DataFrame:
+    return editions.rejects(editions.index_rows(table(spark, root, "editions")))
+
+
+@query()
+def passages_html(spark: SparkSession, root: str) -> DataFrame:
+    return editions.passages(editions.index_rows(table(spark, root, "editions"), mode="html"))
+
+
+@query()
+def whole_works(spark: SparkSession, root: str) -> DataFrame:
+    e = table(spark, root, "editions")
+    return e.select("edition_id", editions.rendered(F.col("content"), "text").alias("text"), editions.rendered(F.col("content")).alias("html"))
+
+
+@query()
+def unit_string_values(spark: SparkSession, root: str) -> DataFrame:
+    e = catalog.latest(table(spark, root, "editions").select("file", "edition_id", "content"), "edition_id")
+    return editions.unit_texts(editions.nodes(e), editions.units(e))
+
+
+# Round trips: TEI made of documents, through parser, citation and rendering, back to what SQL knows
+
+_HEADER = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title><author>A</author></titleStmt></fileDesc><encodingDesc><refsDecl>\
+<citeStructure match="/TEI/text/body/div[@type='d']" use="@n" unit="d"><citeStructure match="l" use="@n" unit="l" delim="."/></citeStructure></refsDecl></encodingDesc></teiHeader><text><body><div type="d" n="1">"""
+
+
+def _tei(spark: SparkSession, root: str, before: str = "", after: str = "") -> DataFrame:
+    """A TEI edition of each document, a line of verse for each of its lines."""
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.concat(F.lit('<l n="'), (i + 1).cast("string"), F.lit(f'">{before}'), x, F.lit(f"{after}</l>\n")))
+    content = F.concat(F.lit(_HEADER), F.array_join(lines, ""), F.lit("</div></body></text></TEI>"))
+    return table(spark, root, "documents").filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("file"), content.alias("content"))
+
+
+_LINES = "SELECT doc_id::VARCHAR AS file, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)"
+_NORMAL = "trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
+_STRIPPED = "regexp_replace({}, '^[\\s\\pZ\\x{{1c}}-\\x{{1f}}\\x{{85}}]+|[\\s\\pZ\\x{{1c}}-\\x{{1f}}\\x{{85}}]+$', '', 'g')"
+
+
+@query(f"""WITH l AS (SELECT file, n, {_NORMAL.format("line")} AS t FROM ({_LINES})),
+ u AS (SELECT file, '1.' || n AS ref, t AS text FROM l UNION ALL SELECT file, '1', string_agg(t, chr(10) ORDER BY n) FROM l GROUP BY file)
+ SELECT file, 'default' AS tree, ref, 'T' AS title, 'A' AS author, {_STRIPPED.format("text")} AS text FROM u WHERE {_STRIPPED.format("text")} <> ''""")
+def tei_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    return editions.passages(editions.index_rows(_tei(spark, root))).select("file", "tree", "ref", "title", "author", "text")
+
+
+_BEFORE = '<label>A</label><choice><sic>no</sic><corr>B</corr></choice><note>no</note><abbr>no</abbr> '
+_AFTER = '<pb n="1"/><del>C</del><gap/>D<figure>no</figure>'
+
+
+@query(f"""SELECT file, '1.' || n AS ref, {_NORMAL.format("'A' || chr(10) || 'B ' || line || ' C D'")} AS text FROM ({_LINES})""")
+def tei_markup_text(spark: SparkSession, root: str) -> DataFrame:
+    """Labels, choices, notes, milestones, gaps and figures around every line."""
+    rows = editions.passages(editions.index_rows(_tei(spark, root, _BEFORE, _AFTER)))
+    return rows.filter("level = 2").select("file", "ref", "text")
+
+
+@query(f"""SELECT file, '1.' || n AS ref, '<section class="tei-div" data-type="d" data-n="1"><span class="tei-ref-n">1</span><div class="tei-l" data-n="' || n || '"><span class="tei-lineno">' || n
+ || '</span><span class="tei-l-text"><strong class="tei-hi">x</strong>'
+ || replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(160), '&nbsp;') || '</span></div></section>' AS html FROM ({_LINES})""")
+def tei_html(spark: SparkSession, root: str) -> DataFrame:
+    rows = editions.passages(editions.index_rows(_tei(spark, root, '<hi rend="bold">x</hi>'), mode="html"))
+    return rows.filter("level = 2").select("file", "ref", F.col("text").alias("html"))
+
+
+# Nested records
+
+
+@query()
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return nested_elements(table(spark, root, "editions"))
 
 
 @query()
 def p5_schema(spark: SparkSession, root: str) -> DataFrame:
-    from ..operators.inlining import SharedInlining
-
     return SharedInlining(table(spark, root, "editions")).schema()
 
 
-def _p5_table(name: str):
+def _p5_table(name: str) -> None:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        from ..operators.inlining import SharedInlining
-
         return SharedInlining(table(spark, root, "editions"), keep=("div", "l", "note")).table(name)
 
     run.__name__ = f"p5_{name}"
-    return run
+    query()(run)
 
 
 for _name in ("div", "l", "note"):
-    query()(_p5_table(_name))
+    _p5_table(_name)
