@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled, path_key, strip
+from .ordered import OrderedGroups
 
 
 def relative(path: Column, root: str) -> Column:
@@ -69,7 +70,8 @@ def group_by_author(catalog: DataFrame) -> DataFrame:
 
     A work without author goes under its author id; ids of one name merge, and
     the group's id is that of its first work in path order.  Ties in the order
-    are settled by path.
+    are settled by path.  A group is one row; where an author may have more
+    works than fit in one, `author_works` has the same as flat rows.
     """
     key = first_filled(F.col("author"), F.col("author_id"))
     path = path_key(F.col("file"))
@@ -94,10 +96,7 @@ def author_works(catalog: DataFrame) -> DataFrame:
     key = first_filled(F.col("author"), F.col("author_id"))
     path = path_key(F.col("file"))
     shown = F.lower(first_filled(F.col("title"), F.col("file")))
-    w = Window.partitionBy("key")
-    return (
-        catalog.withColumn("key", key).withColumns({
-            "place": F.row_number().over(w.orderBy(shown, path)), "id": F.first("author_id").over(w.orderBy(path)), "n_works": F.count("*").over(w),
-        })
-        .select(F.col("key").alias("author"), "id", "n_works", "place", "file", "work_id", "title")
-    )
+    rows = catalog.withColumns({"key": key, "name": shown, "path": path})
+    groups = rows.groupBy("key").agg(F.min_by("author_id", "path").alias("id"), F.count("*").alias("n_works"))
+    placed = OrderedGroups(rows.select("key", "name", "path", "file", "work_id", "title"), ["key"], ["name", "path"]).numbered()
+    return placed.join(groups, "key").select(F.col("key").alias("author"), "id", "n_works", "place", "file", "work_id", "title")

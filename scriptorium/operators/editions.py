@@ -11,13 +11,16 @@ import xml.parsers.expat as expat
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tei
+from .ordered import OrderedGroups
 
 #: Rows of output held by a task at a time.
 CHUNK = 20_000
+#: Places of a document that an interval join compares at a time.
+BIN = 256
 
 
 def _arrow(types: str) -> pa.Schema:
@@ -179,7 +182,7 @@ def passages(rows: DataFrame) -> DataFrame:
 
 def rejects(rows: DataFrame) -> DataFrame:
     """(file, reason): for each document its reasons in the order of its trees, joined by "; "."""
-    bad = rows.filter("reason is not null").groupBy("file").agg(
+    bad = rows.filter("reason is not null").select("file", "tree_ord", "ord", "ref", "reason").distinct().groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("tree_ord", F.lit(-1)).alias("k"), F.coalesce("ord", F.lit(0)).alias("o"), "ref", "reason"))).alias("r")
     )
     reason = F.transform("r", lambda x: F.when(x["ref"].isNull(), x["reason"]).otherwise(F.concat(F.lit("ref '"), x["ref"], F.lit("': "), x["reason"])))
@@ -242,11 +245,14 @@ def unit_texts(node_table: DataFrame, unit_table: DataFrame) -> DataFrame:
     """(file, tree, ref, text): the string value of each unit, by an interval join of units and text nodes.
 
     All in the JVM; for documents whose blocks do not nest and that hold no
-    apparatus this is their text but for white space.
+    apparatus this is their text but for white space.  Intervals are cut into
+    bins, so that a text meets the units around it, not all of its document.
     """
-    u = unit_table.filter("reason is null").select("file", "tree", "ord", "ref", "pre", "post").alias("u")
-    t = node_table.filter("kind = 'text'").select("file", F.col("pre").alias("at"), "txt").alias("t")
-    inside = u.join(t, (F.col("u.file") == F.col("t.file")) & F.col("t.at").between(F.col("u.pre"), F.col("u.post")))
+    bins = F.explode(F.sequence((F.col("pre") / BIN).cast("int"), (F.col("post") / BIN).cast("int"))).alias("bin")
+    u = unit_table.filter("reason is null").select("file", "tree", "ord", "ref", "pre", "post", bins).alias("u")
+    t = node_table.filter("kind = 'text'").select("file", F.col("pre").alias("at"), "txt", (F.col("pre") / BIN).cast("int").alias("bin")).alias("t")
+    same = (F.col("u.file") == F.col("t.file")) & (F.col("u.bin") == F.col("t.bin"))
+    inside = u.join(t, same & F.col("t.at").between(F.col("u.pre"), F.col("u.post")))
     parts = F.array_sort(F.collect_list(F.struct("at", "txt")))
     return inside.groupBy("u.file", "tree", "ord", "ref").agg(F.array_join(F.transform(parts, lambda x: x["txt"]), "").alias("text"))
 
@@ -256,9 +262,7 @@ def neighbours(unit_rows: DataFrame, order: str = "ord", keys: tuple[str, ...] =
 
     A ref that occurs more than once stands for its first occurrence.
     """
-    flow = Window.partitionBy(*keys, "level").orderBy(order)
-    first = Window.partitionBy(*keys, "ref").orderBy(order)
-    return (
-        unit_rows.select(*keys, "level", "ref", order, F.lag("ref").over(flow).alias("prev_ref"), F.lead("ref").over(flow).alias("next_ref"))
-        .withColumn("_k", F.row_number().over(first)).filter("_k = 1").select(*keys, "ref", "level", "prev_ref", "next_ref")
-    )
+    flow = OrderedGroups(unit_rows.select(*keys, "level", "ref", F.col(order).alias("ord")), [*keys, "level"], ["ord"])
+    rows = flow.with_neighbours("ref", "prev_ref", "next_ref")
+    first = F.min_by(F.struct("level", "prev_ref", "next_ref"), "ord").alias("r")
+    return rows.groupBy(*keys, "ref").agg(first).select(*keys, "ref", "r.*")

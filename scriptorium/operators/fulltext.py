@@ -68,10 +68,15 @@ class Index:
 
     def write(self, path: str) -> None:
         """The index as Parquet below `path`; a full rebuild replaces what was there."""
+        # by ranges of term and passage: the postings of a frequent term spread over many files
         spread = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
-        spread.repartition(TERM_BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "passage_id", "col", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        spread = spread.repartitionByRange("bucket", "term", "passage_id").sortWithinPartitions("bucket", "term", "passage_id", "col", "pos")
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.docstats.write.mode("overwrite").parquet(f"{path}/docstats")
         self.passages.write.mode("overwrite").parquet(f"{path}/passages")
+        spark = self.passages.sparkSession
+        totals = spark.read.parquet(f"{path}/docstats").agg(F.count("*").alias("total"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
+        totals.write.mode("overwrite").parquet(f"{path}/totals")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index | None:
@@ -82,7 +87,10 @@ class Index:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
-        row = read["docstats"].agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        try:
+            row = spark.read.parquet(f"{path}/totals").first()
+        except Exception:  # an index that is still growing has none
+            row = read["docstats"].agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return cls(read["postings"], read["docstats"], read["passages"], row[0], row[1])
 
     def of_terms(self, terms: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_plus
@@ -39,8 +39,8 @@ def identifiers(files: DataFrame, entries: DataFrame, order: Column | None = Non
     above = (F.col("catalog_dir") == "") | F.startswith("target_file", F.concat("catalog_dir", F.lit("/")))
     depth = F.when(F.col("catalog_dir") == "", 0).otherwise(F.size(F.split("catalog_dir", "/")))
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, CATALOG_NAMES)), F.col("catalog_name")), F.lit(0))
-    nearest = Window.partitionBy("target_file").orderBy(depth.desc(), F.when(rank == 0, 99).otherwise(rank), "catalog_name")
-    best = t.filter(above).withColumn("k", F.row_number().over(nearest)).filter("k = 1").select("target_file", "identifier", "catalog_dir")
+    nearest = F.struct((-depth).alias("up"), F.when(rank == 0, 99).otherwise(rank).alias("rank"), "catalog_name")
+    best = t.filter(above).groupBy("target_file").agg(F.min_by(F.struct("identifier", "catalog_dir"), nearest).alias("c")).select("target_file", "c.*")
     return f.join(best, "target_file", "left").select("file", "identifier", "catalog_dir")
 
 

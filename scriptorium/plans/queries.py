@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, editions, fulltext, links
 from ..operators.inlining import SharedInlining, nested_elements
-from ..session import written
+from ..operators.ordered import OrderedGroups
 from ..sources import sinks
 from ..sources.tables import table
 from . import oracle
@@ -46,17 +46,10 @@ def author_works(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""SELECT file, row_number() OVER (ORDER BY string_split(file, '/')) AS place, coalesce(nullif(title, ''), work_id) AS shown_title,
  coalesce(nullif(author, ''), author_id) AS shown_author FROM ({oracle.WORKS})""")
 def path_order(spark: SparkSession, root: str) -> DataFrame:
-    """Works in path order, numbered, with their display names.
-
-    Places come from a range sort: each partition is counted, then numbered from
-    where the ones before it end.
-    """
-    rows = _works(spark, root).withColumn("p", T.path_key(F.col("file"))).orderBy("p")
-    rows = written(rows.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()), "path-order")
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("k0"))
-    before = counts.select("part", "k0", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    """Works in path order, numbered, with their display names."""
+    rows = _works(spark, root).withColumns({"p": T.path_key(F.col("file")), "all": F.lit(0)})
     shown = T.first_filled(F.col("title"), F.col("work_id")).alias("shown_title"), T.first_filled(F.col("author"), F.col("author_id")).alias("shown_author")
-    return rows.join(before, "part").select("file", (F.col("before") + F.col("k") - F.col("k0") + 1).alias("place"), *shown)
+    return OrderedGroups(rows, ["all"], ["p"]).numbered().select("file", "place", *shown)
 
 
 _NAMES = ("Fragmenta", " grc ", "%", "anthologia ficta", "")
@@ -101,8 +94,7 @@ _UNITS = """SELECT passage_id, file, tree, ref, len(string_split(ref, '.')) AS l
 
 @query(f"SELECT passage_id, file, tree, ref, level, parent_ref, row_number() OVER (PARTITION BY file, tree ORDER BY ord) AS place FROM ({_UNITS})")
 def citation_units(spark: SparkSession, root: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("file", "tree").orderBy("ord")).alias("place")
-    return _units(spark, root).select("passage_id", "file", "tree", "ref", "level", "parent_ref", place)
+    return OrderedGroups(_units(spark, root), ["file", "tree"], ["ord"]).numbered().drop("ord")
 
 
 @query(f"SELECT file, tree, level, count(*) AS n FROM ({_UNITS}) GROUP BY ALL")
