@@ -55,6 +55,8 @@ def flat_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of a list column without nulls."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if not len(col):
+        return np.empty(0, col.type.value_type.to_pandas_dtype()), np.zeros(1, np.int64)
     offsets = np.asarray(col.offsets).astype(np.int64)
     values = np.asarray(col.values)[offsets[0] : offsets[-1]]
     return values, offsets - offsets[0]

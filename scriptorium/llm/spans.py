@@ -35,8 +35,8 @@ from .neardup import flat_lists, mix
 BROADCAST_ANCHORS = 1 << 20
 #: Occurrences from which an anchor is hot.
 HOT = 20_000
-#: Anchors to a shard; with pieces of 16 words or so a few million words at most.
-SHARD_ANCHORS = 1 << 16
+#: Anchors to a shard; with pieces of 16 words or so about a million words.
+SHARD_ANCHORS = 1 << 14
 
 
 def word_hashes(text: Column) -> Column:
@@ -200,7 +200,7 @@ def _search(length: int):
 
 
 def shared_spans(
-    df: DataFrame, id_col: str = "passage_id", file_col: str = "file", text_col: str = "text", length: int = 12, gram: int = 6
+    df: DataFrame, id_col: str = "passage_id", file_col: str = "file", text_col: str = "text", length: int = 12, gram: int = 6, hot: int = HOT
 ) -> DataFrame:
     """Maximal stretches (id, first_word, last_word) in which every word is in a run of `length` words that another source has too.
 
@@ -218,7 +218,7 @@ def shared_spans(
     )
     cut = units.select("id", "f", "w", F.explode(pieces("w")).alias("p")).select("id", "f", "w", "p.*")
     anchors = cut.groupBy("anchor").agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.count("*").alias("n0"))
-    anchors = written(anchors.filter("f0 <> f1").select("anchor", (F.col("n0") > HOT).alias("hot")), "span-anchors")
+    anchors = written(anchors.filter("f0 <> f1").select("anchor", (F.col("n0") > hot).alias("hot")), "span-anchors")
     n_anchors = anchors.count()
     found = written(
         cut.join(F.broadcast(anchors) if n_anchors <= BROADCAST_ANCHORS else anchors, "anchor")
