@@ -40,7 +40,7 @@ BREAKS = {"br", "lb", "hr"}
 SPACES = {"pb", "cb", "milestone", "space", "gap"}
 
 _ATTRIBUTE = r"""\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+)"""
-TAG = re.compile(rf"<(?P<close>/?)\s*(?P<name>[A-Za-z][\w:.-]*)(?P<attributes>(?:{_ATTRIBUTE})*)\s*(?P<empty>/?)>")
+TAG = re.compile(rf"<(?P<close>/?)\s*(?P<name>[A-Za-z][\w.-]*(?::[\w.-]+)?)(?P<attributes>(?:{_ATTRIBUTE})*)\s*(?P<empty>/?)>")
 COMMENT = re.compile(r"<!--.*?(?:-->|$)|-->|<!\[CDATA\[|\]\]>|<\?\w[^>]*\??>|<!DOCTYPE[^>]*>", re.S | re.I)
 BROKEN_TAG = re.compile(
     rf"<[A-Za-z][\w:.-]*\s+[\w:.-]+\s*=|\b[\w:.-]+=\"[^\"\n<>]*\"\s*/?>|</[A-Za-z][\w:.-]*|<(?:{'|'.join(NAMES)})\s*$|(?<![<\w/-])/(?:{'|'.join(NAMES)})>", re.I | re.M
@@ -50,10 +50,11 @@ LATEX = re.compile(r"\\[A-Za-z]+\*?|\\[^\w\s]|\\\s|\\$|\$[^$\n]+\$")
 FENCE = re.compile(r"^[ \t]*(?:```|~~~).*$", re.M)
 EMPHASIS = re.compile(
     r"(?<![*\w])\*(?=[^\s*])[^\s*]+\*(?![*\w])|(?<!\*)\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*(?!\*)|(?<!\*)\*\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*\*(?!\*)"
+    r"|(?<!\*)(?:\*\*\*[^\s*]+\*\*|\*\*[^\s*]+\*\*\*)(?!\*)"
     r"|(?<!\w)(?:__(?=\S)[^_\n]+__|_(?=\S)[^_\s]+_)(?!\w)|~~(?=\S)[^~\n]+~~|`[^`\n]+`|'{2,}"
 )
 HEADING = re.compile(r"^[ \t]*(?:(#{1,6})[ \t]+(\S.*?)[ \t]*#*|(={1,6})[ \t]*([^=\n]+?)[ \t]*=+)[ \t]*$", re.M)
-LIST = re.compile(r"^[ \t]*(?:[-+][ \t]+|\*[ \t]+|#{1,4}[ \t]+|[*#:;]{2,}[ \t]+)(?=\S)", re.M)
+LIST = re.compile(r"^[ \t]*(?:[-+][ \t]+|\*\*?[ \t]+|#{1,4}[ \t]+|[#:;]{2,}[ \t]+)(?=\S)", re.M)
 QUOTE = re.compile(r"^[ \t]*>[ \t]+(?=\S)", re.M)
 TABLE = re.compile(r"^[ \t]*\|.*\|[ \t]*$|\|[ \t]*:?-{3,}:?[ \t]*\||^[ \t]*\{\||^[ \t]*\|[-}]", re.M)
 LINK = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)\)|\[\[([^\[\]|\n]*)\|([^\[\]\n]*)\]\]|^\[[^\]\n^]+\]:[ \t]+\S+|\[(?:https?|mailto):[^\]\s]+(?: ([^\]]*))?\]", re.M)
@@ -68,7 +69,7 @@ SUSPECT = r"[<>&\\$`#{|'=_\[*~\-+]|\]\]"
 def is_tag(m: re.Match, text: str) -> bool:
     """A tag, not a word in angle brackets: it closes, has attributes, is empty, has a known name, or is closed later."""
     name = m["name"]
-    if m["close"] or m["attributes"] or m["empty"] or name.lower() in NAMES or ":" in name:
+    if m["close"] or m["attributes"] or m["empty"] or name.lower().rpartition(":")[2] in NAMES:
         return True
     return f"</{name}>" in text
 
