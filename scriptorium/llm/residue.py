@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # What is masked, in this order.
 MASKS = [
     (r"\b(?:https?|ftp)://\S+|\bwww\.\S+", "URL"),
@@ -188,7 +190,7 @@ def residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
     Null and empty texts hold none; rows of one id are one document.
     """
-    found = suspects(df, doc_id, text, source).select("doc", "message", F.xxhash64("message").alias("form"))
+    found = written(suspects(df, doc_id, text, source).select("doc", "message", F.xxhash64("message").alias("form")), "residue-suspects")
     kinds = found.select("form", "message").dropDuplicates(["form"]).mapInArrow(_classified, "form long, message string, kind string").filter("kind is not null")
     hits = found.select("doc", "form").distinct().join(kinds.select("form", "kind"), "form")
     return hits.groupBy(F.col("doc").alias(doc_id)).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
