@@ -145,10 +145,10 @@ class Transducer:
             alike = [c for c in row.values() if c != "-"]
             self.ambiguous.update(alike)
             for script, target in row.items():
-                if target != "-":
-                    for c in alike:
-                        if self.to[script].setdefault(ord(c), target) != target:
-                            raise ValueError(f"{c!r} has two forms in {script}")
+                target = alike[0] if target == "-" else target  # a letter that a script has not keeps one form in it
+                for c in alike:
+                    if self.to[script].setdefault(ord(c), target) != target:
+                        raise ValueError(f"{c!r} has two forms in {script}")
         self._check()
         self._memos()
         m, i = _python_class([p for p in marks if chr(p) not in self.own or self.own[chr(p)]]), _python_class(ignored)
