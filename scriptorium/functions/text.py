@@ -27,6 +27,8 @@ def _latin_folds() -> dict[str, str]:
 
 _FOLDS = _latin_folds() | VARIANTS
 _FROM, _TO = "".join(_FOLDS), "".join(_FOLDS.values())
+#: Texts that hold a letter to be folded other than by case, or a final sigma.
+_FOLDABLE = "[\u00b5\u00c0-\u024f\u1e00-\u1eff" + "".join(v for v in VARIANTS if v != "ς") + "]"
 
 
 def strip(c: Column) -> Column:
@@ -41,8 +43,15 @@ def normalize_space(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Case and Latin accents folded, combining marks dropped; Greek accents of precomposed letters stay."""
-    return F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), f"[{TOKEN_MARKS}]", "")
+    """Case and Latin accents folded, combining marks dropped; Greek accents of precomposed letters stay.
+
+    translate() looks every character up; only texts with a letter for it get
+    there, and others, Greek for the most part, only have their final sigmas
+    replaced.
+    """
+    low = F.lower(c)
+    folded = F.when(c.rlike(_FOLDABLE), F.translate(low, _FROM, _TO)).otherwise(F.replace(low, F.lit("ς"), F.lit("σ")))
+    return F.regexp_replace(folded, f"[{TOKEN_MARKS}]", "")
 
 
 def tokens(c: Column) -> Column:
@@ -51,7 +60,8 @@ def tokens(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    return F.size(tokens(c))
+    """Number of tokens; they need not be folded for that."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}" + TOKEN_MARKS + "]*"))
 
 
 def query_terms(c: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_text, input_terms, token_spans, tokens
+from ..functions.text import fold_text, input_terms, token_count, token_spans, tokens
 
 COLUMNS = ("title", "author", "text")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -34,7 +34,7 @@ def postings(passages: DataFrame, id_col: str = "passage_id", columns: tuple[str
 
 def docstats(passages: DataFrame, id_col: str = "passage_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(passage_id, dl): tokens over all searchable columns, for every passage, also those without any."""
-    return passages.select(F.col(id_col).alias("passage_id"), reduce(Column.__add__, (F.size(tokens(F.col(c))) for c in columns)).alias("dl"))
+    return passages.select(F.col(id_col).alias("passage_id"), reduce(Column.__add__, (token_count(F.col(c)) for c in columns)).alias("dl"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:

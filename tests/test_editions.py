@@ -9,6 +9,7 @@ import pytest
 from scriptorium import cli
 from scriptorium.operators import editions as E
 from scriptorium.operators.fulltext import Index, search
+from scriptorium.plans.pages import Corpus
 from scriptorium.session import written
 from scriptorium.sources import corpus, sinks
 from scriptorium.streaming import incremental
@@ -186,3 +187,25 @@ def test_random_documents_cite_each_line_once(spark):
     found = E.passages(E.index_rows(spark.createDataFrame(docs, "file string, content string")))
     assert found.filter("level = 2").count() == sum(d.count("<l ") for _, d in docs)
     assert found.count() == found.select("file", "ref").distinct().count()
+
+
+def test_pages(spark, root, index):
+    out, _ = index
+    c = Corpus(spark, root, f"{out}/db", "http://dts.test/", fulltext=True)
+    name = "aut1/w1/aut1.w1.x-grc1.xml"
+    authors, hits = c.home("  ")
+    assert hits is None and authors.count() == 4
+    authors, hits = c.home("Γάζον")
+    assert authors.count() == 0 and hits.count() == 2
+    assert "InMemoryTableScan" in c.home("dion")[0]._jdf.queryExecution().optimizedPlan().toString() + c.works._jdf.queryExecution().executedPlan().toString()
+    assert [r.ref for r in c.document(name).orderBy("ord").collect()][:3] == ["3", "3.1", "3.2"]
+    p = c.passage(name, "4").first()
+    assert (p.identifier, p.prev_ref, p.next_ref) == ("urn:x:near", "3", "5a")
+    assert p.url == "http://dts.test/document/?resource=urn%3Ax%3Anear&ref=4" and "tei-l" in p.body
+    whole = c.passage(name).first()
+    assert whole.ref is None and whole.prev_ref is None and whole.url.endswith("near")
+    assert c.passage("../etc/passwd", "1").count() == c.passage(name, "x").count() == c.passage(name, "4", "no").count() == 0
+    c.close()
+    assert Corpus(spark, root, str(out / "none"), fulltext=True).home("Γάζον")[1] is None
+    assert Corpus(spark, root, f"{out}/db").home("Γάζον")[1] is None
+    assert Corpus.from_env(spark, {"SCRIPTORIUM_ROOT": root, "SCRIPTORIUM_DB": f"{out}/db", "SCRIPTORIUM_FULLTEXT": " Yes "}).index is not None
