@@ -212,8 +212,8 @@ class GroupedPrefixJoin:
         classes that are similar enough.
         """
         members = self.records.groupBy("gid", "sid").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-        p = self.set_pairs()
-        ends = p.select(F.col("ga").alias("gid"), F.col("sa").alias("sid")).union(p.select("gb", "sb"))
+        both = F.array(F.struct(F.col("ga").alias("gid"), F.col("sa").alias("sid")), F.struct(F.col("gb").alias("gid"), F.col("sb").alias("sid")))
+        ends = self.set_pairs().select(F.explode(both).alias("e")).select("e.*")
         links = ends.groupBy("gid", "sid").agg(F.count("*").alias("links"))
         return (
             self.records.select("id", "gid", "sid").join(members, ["gid", "sid"]).join(links, ["gid", "sid"], "left")

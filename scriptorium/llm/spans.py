@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ..session import partitions, written
 from .neardup import flat_lists, mix
 
-#: Anchors that may be broadcast (9 bytes each); beyond it the same join is shuffled.
-BROADCAST_ANCHORS = 1 << 20
+#: Anchors that may be broadcast (some 32 bytes each, 128 MB); beyond it places are shuffled by anchor, and then meet their words.
+BROADCAST_ANCHORS = 1 << 22
 #: Occurrences from which an anchor is hot.
 HOT = 20_000
 #: Anchors to a shard; with pieces of 16 words or so about a million words.
@@ -206,7 +206,9 @@ def shared_spans(
 
     Words count from 1.  Rows with a null id, source or text have none, nor has
     a text of fewer than `length` words; runs within one source don't count.
-    Runs that overlap or touch are one stretch.
+    Runs that overlap or touch are one stretch.  Rows of one id and one text
+    give its stretches once; of one id and several texts, the places covered in
+    any of them.
     """
     spark = df.sparkSession
     pieces = cutter(length, gram)
@@ -220,8 +222,14 @@ def shared_spans(
     anchors = cut.groupBy("anchor").agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.count("*").alias("n0"))
     anchors = written(anchors.filter("f0 <> f1").select("anchor", (F.col("n0") > hot).alias("hot")), "span-anchors")
     n_anchors = anchors.count()
+    if n_anchors <= BROADCAST_ANCHORS:
+        shared = cut.join(F.broadcast(anchors), "anchor")
+    else:
+        keyed = units.withColumn("u", F.xxhash64("w"))
+        places = keyed.select("id", "u", F.explode(pieces("w")).alias("p")).select("id", "u", "p.*").join(anchors, "anchor")
+        shared = places.join(keyed.dropDuplicates(["id", "u"]), ["id", "u"])
     found = written(
-        cut.join(F.broadcast(anchors) if n_anchors <= BROADCAST_ANCHORS else anchors, "anchor")
+        shared
         .withColumn("at", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.col("n") - length)).otherwise(F.array(F.lit(0)))))
         .select(
             "id", "f", (F.col("start") + F.col("at")).alias("start"),
