@@ -83,6 +83,7 @@ def test_runs_that_touch_are_one_stretch(spark):
 
 def test_anchors_beyond_the_broadcast(spark, monkeypatch):
     rows = table(random.Random(7), 100, 300)
+    rows += rows[:30]
     monkeypatch.setattr(S, "BROADCAST_ANCHORS", -1)
     monkeypatch.setattr(S, "SHARD_ANCHORS", 1)
     assert {tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows, 12)
