@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import tei
 from .ordered import OrderedGroups
 
@@ -49,7 +50,7 @@ def _expand(df: DataFrame, types: str, rows_of: Callable[..., Iterator[tuple]])
         if rows:
             yield chunk()
 
-    return df.mapInArrow(run, types.replace(" map", " map<string,string>"))
+    return spread(df).mapInArrow(run, types.replace(" map", " map<string,string>"))
 
 
 def headers(df: DataFrame, content: str = "content") -> DataFrame:

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_text, input_terms, token_count, token_spans, tokens
+from ..functions.text import fold, fold_text, input_terms, token_count, token_spans, tokens
+from ..session import spread, written
 
 COLUMNS = ("title", "author", "text")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -51,20 +52,28 @@ def phrases_of(raw: str) -> list[list[str]]:
 
 @dataclass
 class Index:
-    """The tables a query reads.  `total` and `length` are the number of passages and of all their tokens."""
+    """The tables a query reads; of a written index also how many passages there are, and how many tokens they have in all."""
 
     postings: DataFrame
     docstats: DataFrame
     passages: DataFrame
-    total: int
-    length: int
+    known: tuple[int, int] | None = None
 
     @classmethod
     def over(cls, passages: DataFrame) -> Index:
-        """An index computed as it is read; nothing is written."""
-        stats = docstats(passages)
-        row = stats.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return cls(postings(passages), stats, passages, row[0], row[1])
+        """No index but the passages themselves: a query scans them, and shuffles nothing but its hits."""
+        return cls(postings(passages), docstats(passages), passages)
+
+    @property
+    def total(self) -> int:
+        return self._totals()[0]
+
+    @property
+    def length(self) -> int:
+        return self._totals()[1]
+
+    def _totals(self) -> tuple[int, int]:
+        return self.known or tuple(self.docstats.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
 
     def write(self, path: str) -> None:
         """The index as Parquet below `path`; a full rebuild replaces what was there."""
@@ -91,7 +100,7 @@ class Index:
             row = spark.read.parquet(f"{path}/totals").first()
         except Exception:  # an index that is still growing has none
             row = read["docstats"].agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return cls(read["postings"], read["docstats"], read["passages"], row[0], row[1])
+        return cls(read["postings"], read["docstats"], read["passages"], (row[0], row[1]))
 
     def of_terms(self, terms: list[str]) -> DataFrame:
         found = self.postings
@@ -120,12 +129,13 @@ def scores(index: Index, raw: str) -> DataFrame:
 
     A term that is repeated counts as often; input without terms matches nothing.
     """
-    spark = index.passages.sparkSession
     phrases = phrases_of(raw)
-    if not phrases or not index.total:
+    if not phrases:
         return index.docstats.select("passage_id", F.lit(0.0).alias("score")).limit(0)
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
     times = [sum(p == q for q in phrases) for p in distinct]
+    if index.known is None:
+        return _scanned(index.passages, distinct, times)
     if all(len(p) == 1 for p in distinct):
         terms = [p[0] for p in distinct]
         slot = F.create_map(*(F.lit(x) for k, t in enumerate(terms) for x in (t, k)))
@@ -136,15 +146,39 @@ def scores(index: Index, raw: str) -> DataFrame:
     # how many passages have each phrase: one row, a scalar subquery
     df = have.agg(F.struct(*(F.count(f"f{k}").alias(f"n{k}") for k in range(len(distinct)))).alias("n")).scalar()
     both = have.filter(F.col("n") == len(distinct)).join(index.docstats, "passage_id")
-    average = index.length / index.total if index.total else 0.0
-    long = F.col("dl") / F.lit(average if average else 1.0)
-    total = F.lit(0.0)
+    total, length = index.known
+    # a subquery that is named several times is planned as often, so it becomes a column first
+    score = _score(times, F.lit(float(total)), F.lit(length / total if total else 1.0), F.col("s"))
+    return both.withColumn("s", df).select("passage_id", score.alias("score"))
+
+
+def _score(times: list[int], total: Column, average: Column, df: Column) -> Column:
+    out = F.lit(0.0)
     for k, n in enumerate(times):
-        hits = df[f"n{k}"]
-        idf = F.greatest(F.log((F.lit(float(index.total)) - hits + 0.5) / (hits + 0.5)), F.lit(LEAST_IDF))
-        f = F.col(f"f{k}")
-        total = total + n * idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * long))
-    return both.select("passage_id", total.alias("score"))
+        hits, f = df[f"n{k}"], F.col(f"f{k}")
+        idf = F.greatest(F.log((total - hits + 0.5) / (hits + 0.5)), F.lit(LEAST_IDF))
+        out = out + n * idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / average))
+    return out
+
+
+def _scanned(passages: DataFrame, distinct: list[list[str]], times: list[int]) -> DataFrame:
+    """The same scores from one scan of the passages: counted row by row, then a table of a few numbers per passage.
+
+    A passage becomes one string, each token between two spaces and columns
+    apart by a control character, in which phrases are counted, overlapping ones
+    too.  (A U+0001 that stands alone in a text parts phrases there.)  The
+    counts are written, since the statistics and the scores both need them.
+    """
+    whole = fold(F.concat_ws(" \x01 ", *(F.coalesce(F.col(c), F.lit("")) for c in COLUMNS)))
+    padded = F.concat(F.lit(" "), F.regexp_replace(whole, r"[^\p{L}\p{N}\p{Co}\x01]+|(?<! )\x01|\x01(?! )", "  "), F.lit(" "))
+    find = lambda p: F.regexp_count("s", F.lit("(?= " + "  ".join(p) + " )"))
+    strings = spread(passages.select("passage_id", *COLUMNS)).select("passage_id", padded.alias("s"))
+    counts = strings.select("passage_id", F.regexp_count("s", F.lit(r"[\p{L}\p{N}\p{Co}]+")).alias("dl"), *(find(p).alias(f"f{k}") for k, p in enumerate(distinct)))
+    counted = written(counts, "scan-counts")
+    fields = [F.count(F.when(F.col(f"f{k}") > 0, 1)).alias(f"n{k}") for k in range(len(distinct))]
+    stats = counted.agg(F.struct(F.count("*").cast("double").alias("total"), F.avg("dl").alias("average"), *fields).alias("s")).scalar()
+    hits = counted.filter(reduce(Column.__and__, (F.col(f"f{k}") > 0 for k in range(len(distinct)))))
+    return hits.withColumn("s", stats).select("passage_id", _score(times, F.col("s.total"), F.col("s.average"), F.col("s")).alias("score"))
 
 
 def snippet(text: str | None, phrases: list[list[str]], size: int = 12, before: str = "<mark>", after: str = "</mark>", gap: str = " … ") -> str:

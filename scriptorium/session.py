@@ -50,6 +50,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if its input has too few splits to keep a quarter of them busy.
+
+    For work that costs far more than moving its input, such as parsing: a few
+    row groups then make a task for each core.  Inputs of many splits stay
+    where they are, and so do streams.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() * 4 > cores:
+        return df
+    return df.repartition(cores)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,6 +74,9 @@ def local_spark(cores: int | str = 8, **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        # small files, many cores: a task for each row group
+        "spark.sql.files.maxPartitionBytes": "1m",
+        "spark.sql.files.openCostInBytes": "64k",
         "spark.driver.host": "127.0.0.1",
     } | conf
     return get_spark(master=f"local[{cores}]", **conf)

@@ -66,4 +66,4 @@ def _tables(good: DataFrame):
     from ..operators.fulltext import docstats, postings
 
     keep = good.select("passage_id", *JSONL)
-    return postings(keep), docstats(keep), keep, 0, 0
+    return postings(keep), docstats(keep), keep
