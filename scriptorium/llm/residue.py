@@ -15,7 +15,8 @@ names errors, scripts or filler has words like these, but not those forms.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from re import _constants, _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,16 +99,45 @@ RULES = {
     ],
 }
 
-# A line without any of these (in lower case), and not made of a few words over and over, is in no class.
-TRIGGERS = [
-    "{{", "${", "<%", "%(", "__", "@@", "##", "<<", "{0}", "{1}", "[", " goes here>", " name>", "yyyy", "jjjj", "xxxx", "tbd", "todo", "fixme",
-    "undefined", ": null", ": nan", ": none", "[object", "titel einf", "lorem", "dolor sit", "text here", "placeholder", "dummy", "filler", "sample", "blindtext",
-    "platzhalter", "fülltext", "richtige text", "provisoire", "asdf", "qwer", "zxcv", "xxx", "test test", "not found", "forbidden", "bad request", "gateway",
-    "unauthorized", "server error", "unavailable", "error 4", "error 5", "nicht gefunden", "existiert nicht", "introuvable", "n'existe pas",
-    "access denied", "oops", "unable to connect", "timed out", "too many requests", "session has expired", "try again later", "exception", "error:",
-    "\tat ", "traceback", 'file "', "noscript", "enable ", "requires", "checking your browser", "aktivieren sie", "schalten sie", "désactivé",
-    "activez", "attivar", "javascript",
-]
+# Letters that a pattern takes for another letter whatever their case, and that lower() leaves or splits.
+ALIKE = [("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")]
+
+
+def folded(text: str) -> str:
+    """Lower case, so that every literal that a rule matches stands in it as a literal of TRIGGERS."""
+    for letter, instead in ALIKE:
+        text = text.replace(letter, instead)
+    return text.lower()
+
+
+def needs(tree: Iterable) -> list[frozenset[str]]:
+    """Sets of lower-case literals of a parsed pattern: what it matches holds one of each set.  A 0 is no literal: it may be a masked number."""
+    out, run = [], ""
+    for op, arg in [*tree, (None, None)]:
+        if op is _constants.AT:
+            continue
+        if op is _constants.LITERAL and chr(arg) != "0":
+            run += chr(arg).lower()
+            continue
+        if run.strip():
+            out.append(frozenset([run]))
+        run = ""
+        if op is _constants.SUBPATTERN:
+            out += needs(arg[3])
+        elif op is _constants.MAX_REPEAT and arg[0]:
+            item = list(arg[2])
+            out += needs(item * arg[0] if len(item) == 1 and item[0][0] is _constants.LITERAL else item)
+        elif op is _constants.BRANCH:
+            arms = [needs(arm) for arm in arg[1]]
+            if all(arms):
+                out.append(frozenset().union(*(max(arm, key=lambda s: min(map(len, s))) for arm in arms)))
+    return out
+
+
+#: Each rule and the literals that it needs; they are derived, so that no line that a rule matches is passed over.
+NEEDS = [(p, needs(_parser.parse(p))) for patterns in RULES.values() for p in patterns]
+#: All literals of NEEDS: a line without any of them, and not made of a few words over and over, is in no class.
+TRIGGERS = sorted({t for _, sets in NEEDS for s in sets for t in s})
 
 #: A line of at least so many words of which at most a third are distinct is filler.
 MONOTONE_WORDS = 6
@@ -143,18 +173,41 @@ def _inline(patterns: list[str]) -> list[str]:
     return [f"(?i:{p[4:]})" if p.startswith("(?i)") else p for p in patterns]
 
 
+class Prefilter:
+    """Which lines of a text may be residue: a rule matches them once masked, or they are monotone."""
+
+    def __init__(self) -> None:
+        self.rules = [(re.compile(pattern), sets) for pattern, sets in NEEDS]
+
+    def __call__(self, text: str) -> Iterator[str]:
+        """The masked forms of those lines."""
+        rules = self._possible(text, self.rules, TRIGGERS)
+        triggers = {t for _, sets in rules for s in sets for t in s}
+        for line in text.split("\n"):
+            possible = self._possible(line, rules, triggers) if rules else rules
+            if monotone(line):
+                yield mask(line)
+            elif possible:
+                masked = mask(line)
+                if any(rule.search(masked) for rule, _ in possible) or monotone(masked):
+                    yield masked
+
+    @staticmethod
+    def _possible(text: str, rules: list, triggers: Iterable[str]) -> list:
+        low = folded(text)
+        held = {t for t in triggers if t in low}
+        return [rule for rule in rules if all(not held.isdisjoint(s) for s in rule[1])]
+
+
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trigger = re.compile("|".join(re.escape(t) for t in sorted(TRIGGERS, key=len, reverse=True)))
+    prefilter = Prefilter()
     for b in batches:
         docs, sources, messages = [], [], []
         for doc, source, text in zip(b.column("doc").to_pylist(), b.column("source").to_pylist(), b.column("text").to_pylist()):
-            low = text.lower()
-            some = any(t in low for t in TRIGGERS)
-            for line in text.split("\n"):
-                if (some and trigger.search(line.lower())) or monotone(line):
-                    docs.append(doc)
-                    sources.append(source)
-                    messages.append(mask(line))
+            for message in prefilter(text):
+                docs.append(doc)
+                sources.append(source)
+                messages.append(message)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sources, pa.string()), pa.array(messages, pa.string())], ["doc", "source", "message"])
 
 

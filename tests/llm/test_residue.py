@@ -66,3 +66,22 @@ def test_counts_over_the_whole_corpus(spark):
     rows = [(k, f"x\n\nError {400 + k % 9}: Bad Gateway. Please try again later." if k % 3 == 0 else "prose", f"s{k % 5}") for k in range(900)]
     m = R.messages(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.kind, r.documents, r.sources, r.lines) for r in m] == [("error", 300, 5, 300)]
+
+
+MATCHED_BY_RULES = {  # lines that no hand-written list of literals foresaw
+    "error": ["The requested page could not be found on this server.", "Error 1054: Unknown column x in y", "    at viewer.Main.run(Main.java:32)", "ERROR 17: x", "Acceſs denied. You do not have permission to view x."],
+    "placeholder": ["Name:null", "Name:  NaN", "Name :\tNone"],
+}
+
+
+@pytest.mark.parametrize(("kind", "line"), [(k, x) for k, lines in MATCHED_BY_RULES.items() for x in lines])
+def test_no_line_that_a_rule_matches_is_passed_over(kind, line):
+    assert [R.Classifier()(m) for m in R.Prefilter()(f"Prose.\n{line}\nProse.")] == [kind]
+
+
+def test_prefilter_is_the_classifier(spark):
+    classify = R.Classifier()
+    for line in [y for lines in [*FOUND.values(), *MATCHED_BY_RULES.values(), PROSE] for x in lines for y in (x, x.upper(), x.lower(), x.replace(" ", "  "), f"   {x}", x.replace(" ", ""))]:
+        assert any(classify(m) for m in R.Prefilter()(line)) == (classify(R.mask(line)) is not None), line
+    rows = [(k, x, "s") for k, x in enumerate([y for lines in MATCHED_BY_RULES.values() for y in lines])]
+    assert R.residue(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
