@@ -149,10 +149,34 @@ def monotone(line: str) -> bool:
     return len(words) >= MONOTONE_WORDS and len(set(words)) * 3 <= len(words)
 
 
+# How many of MASKS stand for addresses, and what counts in these as a placeholder besides the rules.
+ADDRESSES = 2
+NUMBERED = r"\{0\}"
+
+
 def mask(line: str) -> str:
-    for pattern, instead in MASKS:
+    """The line with its masks; an address that holds a placeholder is masked around it."""
+    masked = _masked(line, MASKS)
+    if ("://" in line or "www." in line or "@" in line) and not PLACEHOLDER.search(masked):
+        bare = _masked(line, MASKS[ADDRESSES:])
+        if PLACEHOLDER.search(bare):
+            ends = [0, *(x for m in UNFILLED.finditer(bare) for x in m.span()), len(bare)]
+            parts = [bare[i:j] if k % 2 else _address_before(bare[i:j]) for k, (i, j) in enumerate(zip(ends, ends[1:]))]
+            around = "".join(parts)
+            return around if PLACEHOLDER.search(around) else bare
+    return masked
+
+
+def _address_before(part: str) -> str:
+    """Masked addresses; a sign at the end stays, since a placeholder behind it may need a border."""
+    masked = _masked(part, MASKS[:ADDRESSES])
+    return masked + part[-1] if masked != part and masked[-1] != part[-1] and not re.match(r"\w", part[-1]) else masked
+
+
+def _masked(line: str, masks: list[tuple[str, str]]) -> str:
+    for pattern, instead in masks:
         line = re.sub(pattern, instead, line)
-    return " ".join(line.split(" "))
+    return line
 
 
 class Classifier:
@@ -173,6 +197,10 @@ def _inline(patterns: list[str]) -> list[str]:
     return [f"(?i:{p[4:]})" if p.startswith("(?i)") else p for p in patterns]
 
 
+PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _inline(RULES["placeholder"])))
+UNFILLED = re.compile("|".join(f"(?:{p})" for p in [NUMBERED, *_inline(RULES["placeholder"])]))
+
+
 class Prefilter:
     """Which lines of a text may be residue: a rule matches them once masked, or they are monotone."""
 

@@ -85,3 +85,28 @@ def test_prefilter_is_the_classifier(spark):
         assert any(classify(m) for m in R.Prefilter()(line)) == (classify(R.mask(line)) is not None), line
     rows = [(k, x, "s") for k, x in enumerate([y for lines in MATCHED_BY_RULES.values() for y in lines])]
     assert R.residue(spark.createDataFrame(rows, SCHEMA)).count() == len(rows)
+
+
+ADDRESSES = {
+    "Read the passage at https://ed.example/{{ref}}": "Read the passage at URL/{{ref}}",
+    "http://${host}/x": "http://${host}/x",
+    "See https://ed.example/17/%(ref)s and https://a.b/c": "See URL/%(ref)s and URL",
+    "www.ed.example/@@ref@@ or www.ed.example/x": "URL/@@ref@@ or URL",
+    "https://[YOUR DOMAIN]/leaf": "https://[YOUR DOMAIN]/leaf",
+    "https://ed.example/{0}/{1}": "URL/{0}/{0}",
+    "from https://ed.example/__AUTHOR__/3": "from URL/__AUTHOR__/0",
+    "https://doi.example/10.XXXX/a": "URL.XXXX/a",
+    "write to __USER__@ed.example.org": "write to __USER__@ed.example.org",
+}
+
+
+@pytest.mark.parametrize(("line", "masked"), ADDRESSES.items())
+def test_placeholders_within_addresses(line, masked):
+    assert R.mask(line) == masked and R.Classifier()(masked) == "placeholder"
+    assert list(R.Prefilter()(line)) == [masked]
+
+
+def test_addresses_without_placeholders():
+    for line in ("https://a.b/c?d=%28x%29", "www.a.b/#x", "x@y.org, http://[::1]/a", "see https://a.b/{x}, http://c.d/$e"):
+        assert R.Classifier()(R.mask(line)) is None
+    assert R.mask("{{a}} at https://a.b/{{c}}") == "{{a}} at URL"
