@@ -49,9 +49,9 @@ ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,30});|&#[
 LATEX = re.compile(r"\\[A-Za-z]+\*?|\\[^\w\s]|\\\s|\\$|\$[^$\n]+\$")
 FENCE = re.compile(r"^[ \t]*(?:```|~~~).*$", re.M)
 EMPHASIS = re.compile(
-    r"(?<![*\w])\*(?=[^\s*])[^\s*]+\*(?![*\w])|(?<!\*)\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*(?!\*)|(?<!\*)\*\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*\*(?!\*)"
+    r"(?<![*\w])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![*\w])|(?<!\*)\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*(?!\*)|(?<!\*)\*\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*\*(?!\*)"
     r"|(?<!\*)(?:\*\*\*[^\s*]+\*\*|\*\*[^\s*]+\*\*\*)(?!\*)"
-    r"|(?<!\w)(?:__(?=\S)[^_\n]+__|_(?=\S)[^_\s]+_)(?!\w)|~~(?=\S)[^~\n]+~~|`[^`\n]+`|'{2,}"
+    r"|(?<!\w)(?:__(?=\S)[^_\n]+__|_(?=\S)[^_\n]*[^_\s]_)(?!\w)|~~(?=\S)[^~\n]+~~|`[^`\n]+`|'{2,}"
 )
 HEADING = re.compile(r"^[ \t]*(?:(#{1,6})[ \t]+(\S.*?)[ \t]*#*|(={1,6})[ \t]*([^=\n]+?)[ \t]*=+)[ \t]*$", re.M)
 LIST = re.compile(r"^[ \t]*(?:[-+][ \t]+|\*\*?[ \t]+|#{1,4}[ \t]+|[#:;]{2,}[ \t]+)(?=\S)", re.M)

@@ -109,3 +109,17 @@ def test_clean_text_of_the_table_holds_no_markup(spark):
             assert M.kinds_of(shown) == [], (r.passage_id, shown)
         if not M.kinds_of(r.text):
             assert r.clean_text == r.text
+
+
+PHRASES = {"et _arma virumque_ cano": "et arma virumque cano", "*arma virumque* cano": "arma virumque cano", "_a b c_, *d e*.": "a b c, d e.", "x (*a b*) _c_": "x (a b) c"}
+
+
+@pytest.mark.parametrize(("dirty", "out"), PHRASES.items())
+def test_emphasis_of_several_words(dirty, out):
+    assert M.kinds_of(dirty) == ["markdown"] and re.search(M.SUSPECT, dirty)
+    assert M.clean(dirty) == out
+
+
+@pytest.mark.parametrize("text", ["*a b *c d", "a* b c* d", "*a\nb*", "_a\nb_", "a_b c_d", "_a b", "a b_ c", "a *** b *c"])
+def test_marks_that_are_no_pair(text):
+    assert M.kinds_of(text) == []
