@@ -63,7 +63,7 @@ TEMPLATE = re.compile(r"\{\{[^{}\n]*[|=:][^{}]*\}\}|\{\{[A-Za-z]+(?: [a-z]+)+\}\
 RULE = re.compile(r"^[ \t]*(?:-{3,}|_{3,}|={3,})[ \t]*$", re.M)
 
 #: Texts without any of these hold no markup; they need no scanner.
-SUSPECT = r"[<>&\\$`#{|'=_\[*~\-+]|\]\]"
+SUSPECT = r"[<>&\\$`#{|'=_\[*~\-+]|\]\]|[:;][#:;]"
 
 
 def is_tag(m: re.Match, text: str) -> bool:

@@ -123,3 +123,11 @@ def test_emphasis_of_several_words(dirty, out):
 @pytest.mark.parametrize("text", ["*a b *c d", "a* b c* d", "*a\nb*", "_a\nb_", "a_b c_d", "_a b", "a b_ c", "a *** b *c"])
 def test_marks_that_are_no_pair(text):
     assert M.kinds_of(text) == []
+
+
+def test_lists_of_definitions_reach_the_scanner(spark):
+    lines = [f"{indent}{mark} a" for mark in ("::", ";;", ";:", ":;", ":::", ":#") for indent in ("", "  ", "b\n")]
+    assert all(M.kinds_of(x) == ["markdown"] for x in lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "passage_id long, text string")
+    assert M.markup_rows(df).count() == len(lines)
+    assert {r.clean_text for r in M.cleaned(df).collect()} == {"a", "b\na"}
