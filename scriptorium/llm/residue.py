@@ -56,6 +56,9 @@ RULES = {
         r"^\s*[\w ]{1,30}\s?:\s*(?:undefined(?:\.0)?|null|NaN|None|\[object Object\])\s*$",
         r"\[object Object\]",
         r"\bTitel einfügen\b",
+        r"(?i)\[(?:insert|enter|add|your) (?:[^\[\]]* )?(?:here|name|title|text|author|date|work|translation|description|e-?mail)\]",
+        r"(?i)\[(?:hier )?(?:titel|text|name|autor|datum|übersetzung) (?:hier )?(?:einfügen|eingeben|ergänzen)\]|\[(?:insérer|saisir) [^\[\]]+ ici\]",
+        r"(?i)\{(?:title|author|work|name|date|year|editor|translator|page|source|titel|autor|verfasser|titre|auteur)\}",
     ],
     "filler": [
         r"(?i)\blorem ipsum\b|\bdolor sit amet\b",
@@ -75,6 +78,11 @@ RULES = {
         r"(?i)\bthe requested (?:\w+ )?(?:[\w.]+ )?(?:was|could) not (?:be )?found on this server\b",
         r"(?i)\bseite nicht gefunden\b|\bdie angeforderte \w+ (?:\w+ )?existiert nicht\b",
         r"(?i)\bpage introuvable\b|\bdemandée? n'existe pas ou a été\b",
+        # What prose may say too counts only as a whole line.
+        r"(?i)^\W*(?:(?:http |error |status )?(?:code )?0\W+)?(?:(?:the |this )?(?:requested )?(?:page|file|document|resource|url) (?:(?:was|is|could|can) ?)?not (?:be )?found|internal server error|access denied|forbidden)\W*$",
+        r"(?i)^\W*(?:(?:http |fehler )?0\W+)?(?:(?:die |diese )?(?:angeforderte )?(?:seite|datei) (?:konnte|wurde) (?:leider )?nicht gefunden(?: werden)?|zugriff verweigert|interner serverfehler)\W*$",
+        r"(?i)^\W*(?:(?:http |erreur )?0\W+)?(?:page non trouvée|accès (?:refusé|interdit)|erreur interne du serveur)\W*$",
+        r"(?i)^\W*(?:(?:http |errore? )?0\W+)?(?:pagina non trovata|página no encontrada|accesso negato|acceso denegado)\W*$",
         r"(?i)\baccess denied\. you do not have permission\b",
         r"(?i)\boops! something went wrong\b",
         r"(?i)\bunable to connect to the .{0,40}(?:database|server)\b|\bthe operation timed out after\b",
@@ -92,6 +100,11 @@ RULES = {
         r"(?i)^\W*enable (?:javascript|scripts|scripting|cookies)\b|\benable cookies and javascript\b",
         r"(?i)\bthis \w+ requires (?:javascript|scripts|scripting)\b",
         r"(?i)\bchecking your browser before\b",
+        r"(?i)^\W*(?:javascript|scripting) (?:is|must be|needs to be|has to be) (?:currently )?(?:disabled|enabled|required|(?:turned|switched) o(?:n|ff)|not (?:enabled|available|supported))(?: (?:in|by) your browser| (?:to|for) [^.!?]{1,40})?\W*$",
+        r"(?i)\bjavascript is (?:currently )?(?:disabled|(?:turned|switched) off|not (?:enabled|supported)) (?:in|by) your browser\b",
+        r"(?i)^\W*javascript (?:ist (?:in ihrem browser )?(?:deaktiviert|ausgeschaltet|erforderlich)|muss (?:in ihrem browser )?aktiviert (?:sein|werden))\W*$|^\W*diese (?:seite|anwendung) (?:benötigt|erfordert) javascript\W*$",
+        r"(?i)^\W*javascript est (?:requis|nécessaire)\b[^.]{0,40}\W*$|\bveuillez activer (?:javascript|les scripts)\b",
+        r"(?i)^\W*javascript (?:è (?:disabilitato|disattivato|richiesto|necessario)|está (?:desactivado|deshabilitado))\b[^.]{0,40}\W*$",
         r"(?i)\b(?:aktivieren sie|schalten sie) (?:bitte )?(?:javascript|skripte)\b",
         r"(?i)\bjavascript est désactivé\b|\bactivez(?:-le| javascript)\b",
         r"(?i)\boccorre attivare javascript\b|\battivare? javascript per\b",

@@ -110,3 +110,30 @@ def test_addresses_without_placeholders():
     for line in ("https://a.b/c?d=%28x%29", "www.a.b/#x", "x@y.org, http://[::1]/a", "see https://a.b/{x}, http://c.d/$e"):
         assert R.Classifier()(R.mask(line)) is None
     assert R.mask("{{a}} at https://a.b/{{c}}") == "{{a}} at URL"
+
+
+BY_KIND = {
+    "placeholder": ["[insert title here]", "Written by [your name].", "[Titel einfügen]", "[insérer le titre ici]", "{title} by {author}"],
+    "error": [
+        "Page not found", "404 Page Not Found", "404 - File not found.", "The requested page could not be found.", "Internal Server Error", "Access denied", "Die Seite konnte nicht gefunden werden.", "Fehler 404: Datei wurde nicht gefunden",
+        "Zugriff verweigert", "Page non trouvée", "Erreur 404 : page non trouvée", "Pagina non trovata", "Página no encontrada",
+    ],
+    "scripts": [
+        "JavaScript is disabled in your browser", "JavaScript is required", "JavaScript must be enabled to view this page.", "JavaScript ist deaktiviert.", "Diese Seite benötigt JavaScript.", "JavaScript est requis pour lire le texte.",
+        "Veuillez activer JavaScript.", "JavaScript è disabilitato.", "JavaScript está desactivado en su navegador.",
+    ],
+}
+SPOKEN_OF = [
+    "Of the leaf he writes: page not found in either binding.", "Philo holds that JavaScript is required by the old viewer, and prefers print.", "The file could not be found by Hestor, who looked twice.", "The text has {ibadom} and {name of a river}.",
+    "In that year access denied to the nave was a grave matter.", "[add. m. 2] and [your copy has a gap]", "Die Seite konnte von Murex nicht gefunden werden, da sie fehlt.",
+]
+
+
+@pytest.mark.parametrize(("kind", "line"), [(k, x) for k, lines in BY_KIND.items() for x in lines])
+def test_phrasings_by_kind(kind, line):
+    assert [R.Classifier()(m) for m in R.Prefilter()(line)] == [kind]
+
+
+@pytest.mark.parametrize("line", SPOKEN_OF)
+def test_prose_that_speaks_of_them(line):
+    assert list(R.Prefilter()(line)) == []
