@@ -226,8 +226,8 @@ def shared_spans(
         shared = cut.join(F.broadcast(anchors), "anchor")
     else:
         keyed = units.withColumn("u", F.xxhash64("w"))
-        places = keyed.select("id", "u", F.explode(pieces("w")).alias("p")).select("id", "u", "p.*").join(anchors, "anchor")
-        shared = places.join(keyed.dropDuplicates(["id", "u"]), ["id", "u"])
+        places = keyed.select("id", "u", "f", F.explode(pieces("w")).alias("p")).select("id", "u", "f", "p.*").join(anchors, "anchor")
+        shared = places.join(keyed.dropDuplicates(["id", "u", "f"]), ["id", "u", "f"])
     found = written(
         shared
         .withColumn("at", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.col("n") - length)).otherwise(F.array(F.lit(0)))))

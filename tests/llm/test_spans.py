@@ -107,3 +107,10 @@ def test_intervals_count_occurrences():
     found, lo, hi = index.matches(ends, 4, np.zeros(len(ends), bool))
     grams = [tuple(p[k : k + 4]) for p in pieces for k in range(len(p) - 3)]
     assert (hi - lo).tolist() == [grams.count(g) for g in grams] and len(found) == len(ends)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 22, -1])
+def test_one_id_and_text_in_two_sources(spark, monkeypatch, broadcast):
+    t = " ".join(f"w{k}" for k in range(20))
+    monkeypatch.setattr(S, "BROADCAST_ANCHORS", broadcast)
+    assert {tuple(x) for x in S.shared_spans(spark.createDataFrame([(1, "f", t), (1, "g", t)], SCHEMA)).collect()} == {(1, 1, 20)}
