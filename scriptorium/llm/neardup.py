@@ -62,6 +62,20 @@ def flat_lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, offsets - offsets[0]
 
 
+def set_ids(mixed: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash for each set of mixed words, in whatever order these are."""
+    return mix(np.add.reduceat(mixed, start))
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, off = flat_lists(b.column("h"))
+        sid = set_ids(mix(h.view(np.uint64)), off[:-1])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sid.view(np.int64)), b.column("h")], ["id", "sid", "h"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(COUNTERS, np.int64)
     for b in batches:
@@ -95,7 +109,7 @@ def _recorder(spark: SparkSession, counters: np.ndarray, num: int, den: int):
             at = np.lexsort((m, order[h & np.uint64(COUNTERS - 1)], row))
             m = m[at]
             start = off[:-1]
-            sid = mix(np.add.reduceat(m, start))
+            sid = set_ids(m, start)
             bit = np.uint64(1) << (m & np.uint64(63))
             low = (m >> np.uint64(6)) & np.uint64(1) == 0
             s0 = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), start)
@@ -184,9 +198,10 @@ class GroupedPrefixJoin:
         ids = candidates.select(F.col("ra").alias("id")).union(candidates.select("rb")).distinct()
         if candidates.count() * 2 <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        words = self.sets.select("id", "h").join(ids, "id", "left_semi").dropDuplicates(["id"])
-        wa, wb = words.withColumnsRenamed({"id": "ra", "h": "ha"}), words.withColumnsRenamed({"id": "rb", "h": "hb"})
-        both = candidates.join(wa, "ra").join(wb, "rb")
+        # An id may have several texts: the words of a set are those of its id and its hash.
+        words = self.sets.select("id", "h").join(ids, "id", "left_semi").mapInArrow(_with_sets, "id long, sid long, h array<long>").dropDuplicates(["id", "sid"])
+        wa, wb = words.withColumnsRenamed({"id": "ra", "sid": "sa", "h": "ha"}), words.withColumnsRenamed({"id": "rb", "sid": "sb", "h": "hb"})
+        both = candidates.join(wa, ["ra", "sa"]).join(wb, ["rb", "sb"])
         return both.filter(self._enough(F.size(F.array_intersect("ha", "hb")), c("na") + c("nb"))).select("ga", "sa", "gb", "sb")
 
     def pairs(self) -> DataFrame:

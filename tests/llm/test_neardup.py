@@ -97,3 +97,13 @@ def test_few_counters_change_no_result(spark, monkeypatch):
 
 def test_null_words_hash(spark):
     assert spark.createDataFrame([("a  b\na",)], "t string").select(F.size(N.distinct_words(F.col("t")))).first()[0] == 2
+
+
+def test_one_id_with_different_texts(spark):
+    """Each text of an id is verified by its own words, whichever row comes first."""
+    a, b = [[f"{x}{k}" for k in range(20)] for x in "ab"]
+    rows = [(1, "f", " ".join(a)), (1, "f", " ".join(b)), (2, "g", " ".join([*a[:19], "x"])), (3, "h", " ".join([*b[:19], "y"]))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, SCHEMA).coalesce(1)
+        assert {tuple(x) for x in N.near_duplicates(df).collect()} == {(1, 2), (1, 3)}
+        assert sorted(r.links for r in N.GroupedPrefixJoin(df, "passage_id", "file", "text", 3, 5, 10).classes().collect()) == [1, 1, 1, 1]
