@@ -10,13 +10,19 @@ streamed against it; backward search extends all their matches by one word at a
 time and drops those whose interval cannot hold two sources.  What is left at
 full length is checked against the sources in the interval.
 
-What bounds each step:
-
-* Anchors of one source only are dropped before any text is shuffled.
-* Pieces are counted and merged when equal, before the shuffle to the shards.
-* An anchor that is hot, a phrase in very many contexts, is cut into single
-  runs, which go to shards by their own hash.
-* The number of shards follows the number of anchors.
+There is one plan for all sizes, without broadcasts.  What bounds each step:
+
+* Equal texts are one text with its sources, so that copies, however many, are
+  cut and searched once; ids come back by a join at the very end.
+* Places are joined with the anchors of two sources and more before any text
+  meets them; a text joins its own places once.
+* The number of shards follows the words of the pieces, counted before.  An
+  anchor with many words of context, a phrase quoted everywhere, is cut into
+  single runs, which go to shards by their own hash and are one piece when
+  equal.  So no key brings more than a thirtieth of a shard's words to it, and
+  a shard holds about `SHARD_WORDS`; twice as many are improbable by far.
+* The index keeps packed bits and two 32-bit numbers for each word; the suffix
+  array is dropped once the index is made from it.
 """
 
 from __future__ import annotations
@@ -31,12 +37,10 @@ from pyspark.sql import functions as F
 from ..session import partitions, written
 from .neardup import flat_lists, mix
 
-#: Anchors that may be broadcast (some 32 bytes each, 128 MB); beyond it places are shuffled by anchor, and then meet their words.
-BROADCAST_ANCHORS = 1 << 22
-#: Occurrences from which an anchor is hot.
-HOT = 20_000
-#: Anchors to a shard; with pieces of 16 words or so about a million words.
-SHARD_ANCHORS = 1 << 14
+#: Words of distinct pieces that a shard holds on average.
+SHARD_WORDS = 1 << 20
+#: Words of pieces from which an anchor is hot; what one anchor brings to a shard, or one run if it is hot, is below a thirtieth of its words.
+HOT_WORDS = 1 << 15
 
 
 def word_hashes(text: Column) -> Column:
@@ -132,9 +136,9 @@ class FMIndex:
 
     def __init__(self, words: np.ndarray, offsets: np.ndarray, depth: int) -> None:
         n = np.diff(offsets)
-        self.piece = np.repeat(np.arange(len(n)), n + 1)
+        self.piece = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
         distinct, ids = np.unique(words, return_inverse=True)
-        self.text = np.zeros(len(words) + len(n), np.int64)
+        self.text = np.zeros(len(words) + len(n), np.int32)
         self.start = offsets[:-1] + np.arange(len(n))  # a 0 ends each piece
         inside = np.ones(len(self.text), bool)
         inside[self.start + n] = False
@@ -144,15 +148,16 @@ class FMIndex:
         while done < depth:
             after = np.zeros(len(rank), np.int64)
             after[:-done] = rank[done:] + 1
-            key = rank * (rank.max() + 2) + after
+            key = rank.astype(np.int64) * (int(rank.max()) + 2) + after
             order = np.argsort(key)
             key = key[order]
             rank = np.empty(len(key), np.int64)
             rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
             done *= 2
-        self.order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank, kind="stable")
         self.before = np.r_[0, np.cumsum(np.bincount(self.text, minlength=self.symbols))]
-        self.bwt = WaveletMatrix(self.text[self.order - 1], self.symbols)
+        self.bwt = WaveletMatrix(self.text[order - 1], self.symbols)
+        self.source = self.piece[order]  # the piece of each suffix
 
     def matches(self, ends: np.ndarray, length: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the runs of `length` words that end at `ends`: those that occur twice at least, or are not `alone`; with their intervals."""
@@ -180,7 +185,7 @@ def _search(length: int):
         at, back = np.unique(lo, return_inverse=True)
         stop = np.zeros(len(at), np.int64)
         stop[back] = hi
-        source = index.piece[index.order]
+        source = index.source
         edges = np.stack([at, stop], 1).ravel()
         least = np.minimum.reduceat(np.r_[f0[source], 0], edges)[::2] if len(at) else at
         most = np.maximum.reduceat(np.r_[f1[source], 0], edges)[::2] if len(at) else at
@@ -199,8 +204,45 @@ def _search(length: int):
     return shard
 
 
+def _slicer(length: int):
+    """A function of word lists and their shared places: the pieces to index (start, shard, words), hot ones as single runs."""
+
+    @F.arrow_udf("array<struct<start:int,shard:long,words:array<long>>>")
+    def pieces(words: pa.Array, places: pa.Array) -> pa.Array:
+        h, off = flat_lists(words)
+        at = np.asarray(places.offsets).astype(np.int64)
+        each = places.values.slice(at[0], at[-1] - at[0])
+        at -= at[0]
+        start, n, anchor, hot = (each.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "anchor", "hot"))
+        runs = np.where(hot, n - length + 1, 1)
+        which = np.repeat(np.arange(len(n)), runs)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))[which]
+        first = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
+        many = np.where(hot, length, n)[which]
+        ends = np.cumsum(many)
+        taken = h[np.repeat(off[row] + first - ends + many, many) + np.arange(many.sum())]
+        m = mix(taken.view(np.uint64))
+        own = mix(np.add.reduceat(m * (2 * (np.arange(len(m)) - np.repeat(ends - many, many)).astype(np.uint64) + np.uint64(1)), ends - many)) if len(m) else m
+        shard = np.where(hot[which], own.view(np.int64), anchor[which])
+        values = pa.StructArray.from_arrays(
+            [pa.array(first.astype(np.int32)), pa.array(shard), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(taken))], ["start", "shard", "words"]
+        )
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(runs)][at].astype(np.int32)), values)
+
+    return pieces
+
+
+def _merged(spans: DataFrame, key: str) -> DataFrame:
+    """Rows (key, lo, hi): of each key the stretches that its spans cover; those that overlap or touch are one."""
+    before = Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True)).cast("int")
+    return spans.withColumn("new", new).withColumn("stretch", F.sum("new").over(upto)).groupBy(key, "stretch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("stretch")
+
+
 def shared_spans(
-    df: DataFrame, id_col: str = "passage_id", file_col: str = "file", text_col: str = "text", length: int = 12, gram: int = 6, hot: int = HOT
+    df: DataFrame, id_col: str = "passage_id", file_col: str = "file", text_col: str = "text", length: int = 12, gram: int = 6,
+    shard_words: int = SHARD_WORDS, hot_words: int = HOT_WORDS,
 ) -> DataFrame:
     """Maximal stretches (id, first_word, last_word) in which every word is in a run of `length` words that another source has too.
 
@@ -211,50 +253,32 @@ def shared_spans(
     any of them.
     """
     spark = df.sparkSession
-    pieces = cutter(length, gram)
-    units = (
+    cut = cutter(length, gram)
+    rows = (
         df.select(F.col(id_col).alias("id"), F.xxhash64(file_col).alias("f"), F.col(file_col).alias("file"), F.col(text_col).alias("t"))
-        .filter("id is not null and file is not null and t is not null")
-        .select("id", "f", word_hashes(F.col("t")).alias("w"))
-        .filter(F.size("w") >= length)
+        .filter("id is not null and file is not null and t is not null").select("id", "f", "t", F.xxhash64("t").alias("u"))
     )
-    cut = units.select("id", "f", "w", F.explode(pieces("w")).alias("p")).select("id", "f", "w", "p.*")
-    anchors = cut.groupBy("anchor").agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.count("*").alias("n0"))
-    anchors = written(anchors.filter("f0 <> f1").select("anchor", (F.col("n0") > hot).alias("hot")), "span-anchors")
-    n_anchors = anchors.count()
-    if n_anchors <= BROADCAST_ANCHORS:
-        shared = cut.join(F.broadcast(anchors), "anchor")
-    else:
-        keyed = units.withColumn("u", F.xxhash64("w"))
-        places = keyed.select("id", "u", "f", F.explode(pieces("w")).alias("p")).select("id", "u", "f", "p.*").join(anchors, "anchor")
-        shared = places.join(keyed.dropDuplicates(["id", "u", "f"]), ["id", "u", "f"])
-    found = written(
-        shared
-        .withColumn("at", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.col("n") - length)).otherwise(F.array(F.lit(0)))))
-        .select(
-            "id", "f", (F.col("start") + F.col("at")).alias("start"),
-            F.slice("w", F.col("start") + F.col("at") + 1, F.when(F.col("hot"), length).otherwise(F.col("n"))).alias("words"), "anchor", "hot",
-        )
-        .withColumn("key", F.xxhash64("words"))
-        .withColumn("shard", F.when(F.col("hot"), F.col("key")).otherwise(F.col("anchor")))
-        .select("id", "f", "start", "words", "key", "shard"),
-        "span-pieces",
-    )
-    shards = max(partitions(spark), -(-n_anchors // SHARD_ANCHORS))
+    long = rows.filter(F.size(F.split("t", "[ \n]+")) >= length)
+    texts = written(long.groupBy("u").agg(F.first("t").alias("t"), F.min("f").alias("f0"), F.max("f").alias("f1")), "span-texts")
+    places = texts.select("u", "f0", "f1", F.explode(cut(word_hashes(F.col("t")))).alias("p")).select("u", "f0", "f1", "p.*")
+    anchors = places.groupBy("anchor").agg(F.min("f0").alias("f0"), F.max("f1").alias("f1"), F.sum("n").alias("words"), F.sum(F.col("n") - length + 1).alias("runs"))
+    hot = (F.col("words") > hot_words).alias("hot")
+    anchors = written(anchors.filter("f0 <> f1").select("anchor", hot, F.when(hot, F.col("runs") * length).otherwise(F.col("words")).alias("words")), "span-anchors")
+    shards = max(partitions(spark), -(-(anchors.agg(F.sum("words")).first()[0] or 0) // shard_words))
+
+    shared = places.select("u", "start", "n", "anchor").join(anchors.select("anchor", "hot"), "anchor")
+    shared = shared.groupBy("u").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("places"))
+    pieces = texts.join(shared, "u").select("u", "f0", "f1", F.explode(_slicer(length)(word_hashes(F.col("t")), F.col("places"))).alias("p"))
+    found = written(pieces.select("u", "f0", "f1", "p.start", "p.words", "p.shard", F.xxhash64("p.words").alias("key")), "span-pieces")
     distinct = (
-        found.groupBy("key", "shard").agg(F.first("words").alias("words"), F.min("f").alias("f0"), F.max("f").alias("f1"))
+        found.groupBy("key", "shard").agg(F.first("words").alias("words"), F.min("f0").alias("f0"), F.max("f1").alias("f1"))
         .withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards)))
     )
     hits = distinct.groupBy("shard").applyInArrow(_search(length), "key long, lo int, hi int")
-    spans = found.select("id", "start", "key").join(hits, "key").select("id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    before = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        spans.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True)).cast("int"))
-        .withColumn("stretch", F.sum("new").over(upto))
-        .groupBy("id", "stretch").agg((F.min("lo") + 1).alias("first_word"), (F.max("hi") + 1).alias("last_word"))
-        .select(F.col("id").alias(id_col), "first_word", "last_word")
-    )
+    spans = found.select("u", "start", "key").join(hits, "key").select("u", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    # of each text first, then of each id, which may have several texts
+    each = rows.select("id", "u").distinct().join(_merged(spans, "u"), "u").select("id", "lo", "hi")
+    return _merged(each, "id").select(F.col("id").alias(id_col), (F.col("lo") + 1).alias("first_word"), (F.col("hi") + 1).alias("last_word"))
 
 
 def shared_shares(df: DataFrame, id_col: str = "passage_id", file_col: str = "file", text_col: str = "text", length: int = 12) -> DataFrame:

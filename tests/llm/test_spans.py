@@ -48,11 +48,13 @@ def table(r, n, vocabulary):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "vocabulary", "length", "gram", "hot"), [(1, 500, 12, 6, S.HOT), (2, 3, 12, 6, S.HOT), (3, 500, 12, 6, 3), (4, 2, 12, 4, 2), (5, 40, 5, 2, S.HOT), (6, 40, 20, 6, 10)])
+@pytest.mark.parametrize(
+    ("seed", "vocabulary", "length", "gram", "hot"), [(1, 500, 12, 6, S.HOT_WORDS), (2, 3, 12, 6, S.HOT_WORDS), (3, 500, 12, 6, 50), (4, 2, 12, 4, 30), (5, 40, 5, 2, S.HOT_WORDS), (6, 40, 20, 6, 0)]
+)
 def test_same_as_dictionary(spark, seed, vocabulary, length, gram, hot):
     """Also with hot anchors, and with texts of two or three words over and over."""
     rows = table(random.Random(seed), 150, vocabulary)
-    got = [tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA).repartition(4), length=length, gram=gram, hot=hot).collect()]
+    got = [tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA).repartition(4), length=length, gram=gram, hot_words=hot).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(rows, length)
 
@@ -60,8 +62,8 @@ def test_same_as_dictionary(spark, seed, vocabulary, length, gram, hot):
 def test_a_third_of_all_rows_share_one_text(spark):
     quote = " ".join(f"q{k}" for k in range(15))
     rows = [(k, f"f{k % 40}", f"a{k} b{k} {quote} c{k}" if k % 3 == 0 else f"x{k} " * 14) for k in range(600)]
-    for hot in (S.HOT, 50):
-        assert {tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA), hot=hot).collect()} == {(k, 3, 17) for k in range(0, 600, 3)}
+    for hot in (S.HOT_WORDS, 600):
+        assert {tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA), hot_words=hot).collect()} == {(k, 3, 17) for k in range(0, 600, 3)}
 
 
 def test_edge_cases(spark):
@@ -81,12 +83,10 @@ def test_runs_that_touch_are_one_stretch(spark):
     assert {tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 1, 24), (2, 1, 12), (3, 1, 12)}
 
 
-def test_anchors_beyond_the_broadcast(spark, monkeypatch):
+def test_many_small_shards(spark):
     rows = table(random.Random(7), 100, 300)
     rows += rows[:30]
-    monkeypatch.setattr(S, "BROADCAST_ANCHORS", -1)
-    monkeypatch.setattr(S, "SHARD_ANCHORS", 1)
-    assert {tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows, 12)
+    assert {tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA), shard_words=40, hot_words=20).collect()} == brute(rows, 12)
 
 
 def test_rank():
@@ -109,8 +109,8 @@ def test_intervals_count_occurrences():
     assert (hi - lo).tolist() == [grams.count(g) for g in grams] and len(found) == len(ends)
 
 
-@pytest.mark.parametrize("broadcast", [1 << 22, -1])
-def test_one_id_and_text_in_two_sources(spark, monkeypatch, broadcast):
-    t = " ".join(f"w{k}" for k in range(20))
-    monkeypatch.setattr(S, "BROADCAST_ANCHORS", broadcast)
+def test_one_id_in_two_sources_and_with_two_texts(spark):
+    t, o = [" ".join(f"{x}{k}" for k in range(20)) for x in "wo"]
     assert {tuple(x) for x in S.shared_spans(spark.createDataFrame([(1, "f", t), (1, "g", t)], SCHEMA)).collect()} == {(1, 1, 20)}
+    rows = [(1, "f", t), (1, "f", " ".join(["x"] * 5) + " " + o), (2, "g", t), (3, "h", o)]
+    assert {tuple(x) for x in S.shared_spans(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 1, 25), (2, 1, 20), (3, 1, 20)}
