@@ -12,10 +12,11 @@ full length is checked against the sources in the interval.
 
 There is one plan for all sizes, without broadcasts.  What bounds each step:
 
-* Equal texts are one text with its sources, so that copies, however many, are
-  cut and searched once; ids come back by a join at the very end.
 * Places are joined with the anchors of two sources and more before any text
-  meets them; a text joins its own places once.
+  meets them: 32 bytes each, so that an anchor that a third of all rows have is
+  split by the skew join of adaptive execution.  A text then joins its own
+  places once, by its id.
+* Pieces are counted and merged when equal, before the shuffle to the shards.
 * The number of shards follows the words of the pieces, counted before.  An
   anchor with many words of context, a phrase quoted everywhere, is cut into
   single runs, which go to shards by their own hash and are one piece when
@@ -232,14 +233,6 @@ def _slicer(length: int):
     return pieces
 
 
-def _merged(spans: DataFrame, key: str) -> DataFrame:
-    """Rows (key, lo, hi): of each key the stretches that its spans cover; those that overlap or touch are one."""
-    before = Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True)).cast("int")
-    return spans.withColumn("new", new).withColumn("stretch", F.sum("new").over(upto)).groupBy(key, "stretch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("stretch")
-
-
 def shared_spans(
     df: DataFrame, id_col: str = "passage_id", file_col: str = "file", text_col: str = "text", length: int = 12, gram: int = 6,
     shard_words: int = SHARD_WORDS, hot_words: int = HOT_WORDS,
@@ -254,31 +247,36 @@ def shared_spans(
     """
     spark = df.sparkSession
     cut = cutter(length, gram)
-    rows = (
+    units = (
         df.select(F.col(id_col).alias("id"), F.xxhash64(file_col).alias("f"), F.col(file_col).alias("file"), F.col(text_col).alias("t"))
-        .filter("id is not null and file is not null and t is not null").select("id", "f", "t", F.xxhash64("t").alias("u"))
+        .filter("id is not null and file is not null and t is not null").filter(F.size(F.split("t", "[ \n]+")) >= length)
+        .select("id", "f", "t", F.xxhash64("t").alias("u"))
     )
-    long = rows.filter(F.size(F.split("t", "[ \n]+")) >= length)
-    texts = written(long.groupBy("u").agg(F.first("t").alias("t"), F.min("f").alias("f0"), F.max("f").alias("f1")), "span-texts")
-    places = texts.select("u", "f0", "f1", F.explode(cut(word_hashes(F.col("t")))).alias("p")).select("u", "f0", "f1", "p.*")
-    anchors = places.groupBy("anchor").agg(F.min("f0").alias("f0"), F.max("f1").alias("f1"), F.sum("n").alias("words"), F.sum(F.col("n") - length + 1).alias("runs"))
+    places = units.select("id", "u", "f", F.explode(cut(word_hashes(F.col("t")))).alias("p")).select("id", "u", "f", "p.*")
+    anchors = places.groupBy("anchor").agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.sum("n").alias("words"), F.sum(F.col("n") - length + 1).alias("runs"))
     hot = (F.col("words") > hot_words).alias("hot")
     anchors = written(anchors.filter("f0 <> f1").select("anchor", hot, F.when(hot, F.col("runs") * length).otherwise(F.col("words")).alias("words")), "span-anchors")
     shards = max(partitions(spark), -(-(anchors.agg(F.sum("words")).first()[0] or 0) // shard_words))
 
-    shared = places.select("u", "start", "n", "anchor").join(anchors.select("anchor", "hot"), "anchor")
-    shared = shared.groupBy("u").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("places"))
-    pieces = texts.join(shared, "u").select("u", "f0", "f1", F.explode(_slicer(length)(word_hashes(F.col("t")), F.col("places"))).alias("p"))
-    found = written(pieces.select("u", "f0", "f1", "p.start", "p.words", "p.shard", F.xxhash64("p.words").alias("key")), "span-pieces")
+    # an id may have several texts, and a text of it several sources
+    shared = places.select("id", "u", "start", "n", "anchor").join(anchors.select("anchor", "hot"), "anchor")
+    shared = shared.groupBy("id", "u").agg(F.collect_set(F.struct("start", "n", "anchor", "hot")).alias("places"))
+    pieces = units.join(shared, ["id", "u"]).select("id", "f", F.explode(_slicer(length)(word_hashes(F.col("t")), F.col("places"))).alias("p"))
+    found = written(pieces.select("id", "f", "p.start", "p.words", "p.shard", F.xxhash64("p.words").alias("key")), "span-pieces")
     distinct = (
-        found.groupBy("key", "shard").agg(F.first("words").alias("words"), F.min("f0").alias("f0"), F.max("f1").alias("f1"))
+        found.groupBy("key", "shard").agg(F.first("words").alias("words"), F.min("f").alias("f0"), F.max("f").alias("f1"))
         .withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards)))
     )
     hits = distinct.groupBy("shard").applyInArrow(_search(length), "key long, lo int, hi int")
-    spans = found.select("u", "start", "key").join(hits, "key").select("u", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    # of each text first, then of each id, which may have several texts
-    each = rows.select("id", "u").distinct().join(_merged(spans, "u"), "u").select("id", "lo", "hi")
-    return _merged(each, "id").select(F.col("id").alias(id_col), (F.col("lo") + 1).alias("first_word"), (F.col("hi") + 1).alias("last_word"))
+    spans = found.select("id", "start", "key").join(hits, "key").select("id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    before = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        spans.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True)).cast("int"))
+        .withColumn("stretch", F.sum("new").over(upto))
+        .groupBy("id", "stretch").agg((F.min("lo") + 1).alias("first_word"), (F.max("hi") + 1).alias("last_word"))
+        .select(F.col("id").alias(id_col), "first_word", "last_word")
+    )
 
 
 def shared_shares(df: DataFrame, id_col: str = "passage_id", file_col: str = "file", text_col: str = "text", length: int = 12) -> DataFrame:
