@@ -7,16 +7,22 @@ group; groups, not sets, are indexed and joined, and group pairs are filtered
 by size, by the place of the shared word and by a bound from bit signatures,
 before they are expanded to their sets and these verified word by word.
 
-What bounds each step:
+There is one plan for all sizes.  What bounds each step:
 
 * The order of the words comes from a table of 2^18 counters whatever the size
   of the input.  Any order is right; the counters only make prefixes rare.
+* A hot word, one that more than `HOT` sets have, is no key by itself: sets of
+  which it is the first common word share a second one within one more word of
+  their prefixes, so pairs of words are the keys instead.
+* Sets of one group, which have the same prefix, meet only where the rests of
+  their words share a word of the rests' prefixes, by the same principle.
 * Copies are one set.  They are expanded at the very end, by a join.
 * A pair of groups carries, for each of 128 parity bits, whether all its sets
   have it or none has: bits that all sets of one group have and none of the
   other count as different words, so no true pair is lost.
-* Word lists are read again for those sets only that stand in a candidate
-  pair, not shuffled for all.
+* Words are read again for those sets only that stand in a candidate pair.
+  Others are passed over by a bitmap of 2^23 bits before the join by id, which
+  at any size is a join by shuffle or, if it finds one side small, Spark's own.
 """
 
 from __future__ import annotations
@@ -32,10 +38,14 @@ from ..session import written
 
 #: Counters of the word order; a fixed 2 MB on the driver and in each task.
 COUNTERS = 1 << 18
-#: Ids that may be broadcast (8 bytes each); beyond it the same join is shuffled.
-BROADCAST_IDS = 1 << 20
+#: Sets from which a word is hot.
+HOT = 4096
+#: Distinct words up to which a set has pairs of words as keys; larger ones have single words throughout.
+PAIRED = 150
+#: Bits of the bitmap of ids; a fixed 1 MB on the driver and in each task.
+BITS = 1 << 23
 
-RECORD = "id long, file string, size int, gid long, sid long, prefix array<int>, s0 long, s1 long"
+RECORD = "id long, file string, size int, gid long, sid long, keys array<struct<key:int,at:int>>, rest array<int>, s0 long, s1 long"
 
 
 def distinct_words(text: Column) -> Column:
@@ -93,8 +103,47 @@ def word_counters(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def _spans(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + many[0] - 1, first[1] .., one after another."""
+    ends = np.cumsum(many)
+    return np.repeat(first - ends + many, many) + np.arange(many.sum())
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _keys(m: np.ndarray, hot: np.ndarray, start: np.ndarray, size: np.ndarray, alpha: np.ndarray, wide: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, place) by which sets meet: their words m, of which some are hot, begin at `start` and are sorted.
+
+    A set has `alpha` words in common, at least, with any that is similar, so
+    the first common word is among the first size - alpha + 1 of both, and a
+    second one, if alpha is 2 or more, among one word more (`wide`).
+    """
+    keep = size - alpha + 1
+    row = np.repeat(np.arange(len(size)), keep)
+    at = _spans(start, keep)
+    paired = size <= PAIRED
+    single = ~paired | (size * den > PAIRED * num) | (alpha < 2)  # those also that may be similar to a set without pairs
+    alone = ~hot[at] | single[row]
+    double = hot[at] & paired[row]
+    first, of = at[double], row[double]
+    many = start[of] + wide[of] - 1 - first
+    second = _spans(first + 1, many)
+    first, of = np.repeat(first, many), np.repeat(of, many)
+    pair = mix(m[first] * np.uint64(0x9E3779B97F4A7C15) + m[second])
+    rows = np.r_[row[alone], of]
+    order = np.argsort(rows, kind="stable")
+    places = np.r_[at[alone], first] - start[rows]
+    return rows[order], np.r_[_short(m[at[alone]]), _short(pair)][order], places[order]
+
+
 def _recorder(spark: SparkSession, counters: np.ndarray, num: int, den: int):
     shared = spark.sparkContext.broadcast(counters)
+    limit = HOT
+
+    def lists(rows: np.ndarray, n: int) -> pa.Array:
+        return pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -106,29 +155,56 @@ def _recorder(spark: SparkSession, counters: np.ndarray, num: int, den: int):
             size = np.diff(off)
             row = np.repeat(np.arange(len(size)), size)
             m = mix(h)
-            at = np.lexsort((m, order[h & np.uint64(COUNTERS - 1)], row))
-            m = m[at]
+            often = order[h & np.uint64(COUNTERS - 1)]
+            at = np.lexsort((m, often, row))
+            m, hot = m[at], often[at] > limit
             start = off[:-1]
             sid = set_ids(m, start)
             bit = np.uint64(1) << (m & np.uint64(63))
             low = (m >> np.uint64(6)) & np.uint64(1) == 0
             s0 = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), start)
             s1 = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), start)
-            keep = size - -(-num * size // den) + 1
-            place = np.arange(len(h)) - np.repeat(start, size)
-            inside = place < np.repeat(keep, size)
+            alpha = -(-num * size // den)
+            wide = np.minimum(size, size - alpha + 2)
+            inside = np.arange(len(h)) - np.repeat(start, size) < np.repeat(wide, size)
             gid = mix(np.add.reduceat(np.where(inside, mix(m + np.uint64(1)), np.uint64(0)), start) + size.astype(np.uint64))
-            offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array((m[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            of, key, place = _keys(m, hot, start, size, alpha, wide, num, den)
+            keys = pa.ListArray.from_arrays(lists(of, len(size)), pa.StructArray.from_arrays([pa.array(key), pa.array(place.astype(np.int32))], ["key", "at"]))
+            # sets of one group need so many more words in common, out of their rests
+            more = -(-2 * num * size // (num + den)) - wide
+            many = np.where(more > 0, np.maximum(size - wide - more + 1, 0), np.minimum(size - wide, 1))
+            taken = _short(mix(m[_spans(start + wide, many)]))
+            taken[np.repeat(more <= 0, many)] = 0  # no word decides: all are similar
+            rest = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(taken))
             i64 = lambda x: pa.array(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("file"), pa.array(size.astype(np.int32)), i64(gid), i64(sid), prefix, i64(s0), i64(s1)],
-                ["id", "file", "size", "gid", "sid", "prefix", "s0", "s1"],
+                [b.column("id"), b.column("file"), pa.array(size.astype(np.int32)), i64(gid), i64(sid), keys, rest, i64(s0), i64(s1)],
+                ["id", "file", "size", "gid", "sid", "keys", "rest", "s0", "s1"],
             )
 
     return records
 
 
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of `ids`; its size is fixed, so that of very many ids it only lets more through."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = ids.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {BITS}) % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _in_bitmap(spark: SparkSession, bits: np.ndarray):
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def within(hashed: pa.Array) -> pa.Array:
+        slot = hashed.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(len(shared.value) * 64 - 1)
+        return pa.array((shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1)
+
+    return within
+
+
 class GroupedPrefixJoin:
     """The steps of the join over one table; the results are methods.
 
@@ -139,15 +215,17 @@ class GroupedPrefixJoin:
 
     def __init__(self, df: DataFrame, id_col: str, file_col: str, text_col: str, num: int, den: int, min_words: int) -> None:
         self.num, self.den = num, den
-        self.sets = (
+        self.texts = (
             df.select(F.col(id_col).cast("long").alias("id"), F.col(file_col).cast("string").alias("file"), F.col(text_col).alias("t"))
             .filter("id is not null and file is not null and t is not null")
-            .select("id", "file", distinct_words(F.col("t")).alias("h"))
-            .filter(F.size("h") >= max(1, min_words))
         )
+        self.least = max(1, min_words)
         spark = df.sparkSession
-        records = self.sets.mapInArrow(_recorder(spark, word_counters(self.sets), num, den), RECORD)
-        self.records = written(records, "near-records")
+        sets = self._sets(self.texts)
+        self.records = written(sets.mapInArrow(_recorder(spark, word_counters(sets), num, den), RECORD), "near-records")
+
+    def _sets(self, texts: DataFrame) -> DataFrame:
+        return texts.select("id", "file", distinct_words(F.col("t")).alias("h")).filter(F.size("h") >= self.least)
 
     def _enough(self, overlap: Column, sizes: Column) -> Column:
         """overlap / (sizes - overlap) >= num / den"""
@@ -160,12 +238,12 @@ class GroupedPrefixJoin:
     def group_pairs(self) -> DataFrame:
         """Pairs (ga, gb), ga < gb, of groups that may hold similar sets."""
         groups = self.records.groupBy("gid").agg(
-            F.first("size").alias("size"), F.first("prefix").alias("prefix"),
+            F.first("size").alias("size"), F.first("keys").alias("keys"),
             F.bit_and("s0").alias("a0"), F.bit_or("s0").alias("o0"), F.bit_and("s1").alias("a1"), F.bit_or("s1").alias("o1"),
         )
-        postings = groups.select(F.posexplode("prefix").alias("at", "word"), "gid", "size", "a0", "o0", "a1", "o1")
-        a = postings.select("word", *(F.col(c).alias(f"{c}_a") for c in ("at", "gid", "size", "a0", "o0", "a1", "o1")))
-        b = postings.select("word", *(F.col(c).alias(f"{c}_b") for c in ("at", "gid", "size", "a0", "o0", "a1", "o1")))
+        postings = groups.select(F.inline("keys"), "gid", "size", "a0", "o0", "a1", "o1")
+        a = postings.select("key", *(F.col(c).alias(f"{c}_a") for c in ("at", "gid", "size", "a0", "o0", "a1", "o1")))
+        b = postings.select("key", *(F.col(c).alias(f"{c}_b") for c in ("at", "gid", "size", "a0", "o0", "a1", "o1")))
         c = F.col
         sizes = c("size_a") + c("size_b")
         apart = sum(
@@ -178,28 +256,32 @@ class GroupedPrefixJoin:
             & self._enough(F.least(c("size_a") - c("at_a"), c("size_b") - c("at_b")), sizes)
             & self._near(apart, sizes)
         )
-        return a.join(b, "word").filter(ok).select(c("gid_a").alias("ga"), c("gid_b").alias("gb")).distinct()
+        return a.join(b, "key").filter(ok).select(c("gid_a").alias("ga"), c("gid_b").alias("gb")).distinct()
+
+    def _members(self, records: DataFrame, *more: Column) -> DataFrame:
+        return records.groupBy("gid", "sid").agg(F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.min("id").alias("rep"), *more)
 
     def set_pairs(self) -> DataFrame:
         """Verified pairs (ga, sa, gb, sb) of different sets that are similar enough."""
         spark = self.records.sparkSession
-        sets = self.records.groupBy("gid", "sid").agg(
-            F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.min("id").alias("rep")
-        )
-        a = sets.withColumnsRenamed({"gid": "ga", "sid": "sa", "size": "na", "s0": "a0", "s1": "a1", "rep": "ra"})
-        b = sets.withColumnsRenamed({"gid": "gb", "sid": "sb", "size": "nb", "s0": "b0", "s1": "b1", "rep": "rb"})
+        name_a = {"gid": "ga", "sid": "sa", "size": "na", "s0": "a0", "s1": "a1", "rep": "ra"}
+        name_b = {"gid": "gb", "sid": "sb", "size": "nb", "s0": "b0", "s1": "b1", "rep": "rb"}
         c = F.col
         near = self._near(F.bit_count(c("a0").bitwiseXOR(c("b0"))) + F.bit_count(c("a1").bitwiseXOR(c("b1"))), c("na") + c("nb"))
         columns = ["ga", "sa", "na", "ra", "gb", "sb", "nb", "rb"]
-        across = self.group_pairs().join(a, "ga").join(b, "gb").filter(near).select(columns)
-        within = a.join(b, c("ga") == c("gb")).filter((c("sa") < c("sb")) & near).select(columns)
+        sets = self._members(self.records)
+        across = self.group_pairs().join(sets.withColumnsRenamed(name_a), "ga").join(sets.withColumnsRenamed(name_b), "gb").filter(near).select(columns)
+        several = self.records.groupBy("gid").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("gid")
+        inner = self._members(self.records.join(several, "gid", "left_semi"), F.first("rest").alias("rest")).withColumn("word", F.explode("rest")).drop("rest")
+        a, b = inner.withColumnsRenamed(name_a), inner.withColumnsRenamed(name_b)
+        within = a.join(b, (c("ga") == c("gb")) & (a["word"] == b["word"])).filter((c("sa") < c("sb")) & near).select(columns).distinct()
         candidates = written(across.unionByName(within), "near-candidates")
 
-        ids = candidates.select(F.col("ra").alias("id")).union(candidates.select("rb")).distinct()
-        if candidates.count() * 2 <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
+        ids = candidates.select(F.explode(F.array("ra", "rb")).alias("id")).distinct()
+        wanted = _in_bitmap(spark, bitmap_of(ids))
         # An id may have several texts: the words of a set are those of its id and its hash.
-        words = self.sets.select("id", "h").join(ids, "id", "left_semi").mapInArrow(_with_sets, "id long, sid long, h array<long>").dropDuplicates(["id", "sid"])
+        texts = self.texts.filter(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi")
+        words = self._sets(texts).select("id", "h").mapInArrow(_with_sets, "id long, sid long, h array<long>").dropDuplicates(["id", "sid"])
         wa, wb = words.withColumnsRenamed({"id": "ra", "sid": "sa", "h": "ha"}), words.withColumnsRenamed({"id": "rb", "sid": "sb", "h": "hb"})
         both = candidates.join(wa, ["ra", "sa"]).join(wb, ["rb", "sb"])
         return both.filter(self._enough(F.size(F.array_intersect("ha", "hb")), c("na") + c("nb"))).select("ga", "sa", "gb", "sb")
@@ -219,19 +301,31 @@ class GroupedPrefixJoin:
         lo_hi = [F.least("ia", "ib").alias("id_lo"), F.greatest("ia", "ib").alias("id_hi")]
         return similar.select(lo_hi).unionByName(same.select(lo_hi)).filter("id_lo <> id_hi").distinct()
 
+    def _classes(self) -> DataFrame:
+        """(gid, sid, class_id, copies, f0, f1): the sets with what their rows say together."""
+        return self.records.groupBy("gid", "sid").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.min("file").alias("f0"), F.max("file").alias("f1"))
+
+    def links(self) -> DataFrame:
+        """Pairs (class_lo, class_hi) of classes that are similar enough and not both of one and the same source, each once."""
+        a = self._classes().select(F.col("gid").alias("ga"), F.col("sid").alias("sa"), F.col("class_id").alias("ca"), F.col("f0").alias("a0"), F.col("f1").alias("a1"))
+        b = self._classes().select(F.col("gid").alias("gb"), F.col("sid").alias("sb"), F.col("class_id").alias("cb"), F.col("f0").alias("b0"), F.col("f1").alias("b1"))
+        apart = (F.col("a0") != F.col("a1")) | (F.col("b0") != F.col("b1")) | (F.col("a0") != F.col("b0"))
+        both = self.set_pairs().join(a, ["ga", "sa"]).join(b, ["gb", "sb"]).filter(apart)
+        return both.select(F.least("ca", "cb").alias("class_lo"), F.greatest("ca", "cb").alias("class_hi"), "ga", "sa", "gb", "sb")
+
     def classes(self) -> DataFrame:
         """One row per text: (id, class_id, copies, links).
 
         `class_id` is the least id of the rows with the same set of words,
         `copies` the number of such rows and `links` the number of other
-        classes that are similar enough.
+        classes that are similar enough and have a row of another source than
+        some row of this class.
         """
-        members = self.records.groupBy("gid", "sid").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
         both = F.array(F.struct(F.col("ga").alias("gid"), F.col("sa").alias("sid")), F.struct(F.col("gb").alias("gid"), F.col("sb").alias("sid")))
-        ends = self.set_pairs().select(F.explode(both).alias("e")).select("e.*")
+        ends = self.links().select(F.explode(both).alias("e")).select("e.*")
         links = ends.groupBy("gid", "sid").agg(F.count("*").alias("links"))
         return (
-            self.records.select("id", "gid", "sid").join(members, ["gid", "sid"]).join(links, ["gid", "sid"], "left")
+            self.records.select("id", "gid", "sid").join(self._classes(), ["gid", "sid"]).join(links, ["gid", "sid"], "left")
             .select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
         )
 

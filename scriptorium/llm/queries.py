@@ -34,6 +34,12 @@ def p2_classes(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumnRenamed("id", "passage_id")
 
 
+def p2_links(spark: SparkSession, root: str) -> DataFrame:
+    from .neardup import GroupedPrefixJoin
+
+    return GroupedPrefixJoin(_table(spark, root, "passages"), "passage_id", "file", "text", 3, 5, 10).links().select("class_lo", "class_hi")
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     from .spans import shared_spans
 
@@ -109,6 +115,6 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p2_found, p2_classes, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
+        p1_found, p1_clean, p2_found, p2_classes, p2_links, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
     )
 }

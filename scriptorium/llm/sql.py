@@ -19,13 +19,16 @@ P2_FOUND = f"""WITH s AS ({_SETS}), p AS (SELECT passage_id, file, n, unnest(w)
   ON a.word = b.word AND a.passage_id < b.passage_id AND a.file <> b.file AND 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL)
  SELECT id_lo, id_hi FROM c WHERE 8 * o >= 3 * nn"""
 
-P2_CLASSES = f"""WITH s AS ({_SETS}), k AS (SELECT w, n, min(passage_id) AS class_id, count(*) AS copies FROM s GROUP BY w, n),
- p AS (SELECT class_id, n, unnest(w) AS word FROM k),
+_P2_LINKED = f"""WITH s AS ({_SETS}), k AS (SELECT w, n, min(passage_id) AS class_id, count(*) AS copies, min(file) AS f0, max(file) AS f1 FROM s GROUP BY w, n),
+ p AS (SELECT class_id, n, f0, f1, unnest(w) AS word FROM k),
  c AS (SELECT a.class_id, b.class_id AS other, a.n + b.n AS nn, count(*) AS o FROM p a JOIN p b
-  ON a.word = b.word AND a.class_id <> b.class_id AND 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL),
- l AS (SELECT class_id, count(*) AS links FROM c WHERE 8 * o >= 3 * nn GROUP BY class_id)
+  ON a.word = b.word AND a.class_id <> b.class_id AND 5 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) AND (a.f0 <> a.f1 OR b.f0 <> b.f1 OR a.f0 <> b.f0) GROUP BY ALL)"""
+
+P2_CLASSES = f"""{_P2_LINKED}, l AS (SELECT class_id, count(*) AS links FROM c WHERE 8 * o >= 3 * nn GROUP BY class_id)
  SELECT passage_id, class_id, copies, coalesce(links, 0) AS links FROM s JOIN k USING (w, n) LEFT JOIN l USING (class_id)"""
 
+P2_LINKS = f"{_P2_LINKED} SELECT class_id AS class_lo, other AS class_hi FROM c WHERE 8 * o >= 3 * nn AND class_id < other"
+
 P3_FOUND = f"""WITH u AS (SELECT passage_id, file, {_words("text")} AS w FROM passages WHERE text IS NOT NULL),
  g AS (SELECT passage_id, file, k, array_to_string(w[k:k + 11], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM u WHERE len(w) >= 12)),
  h AS (SELECT passage_id, k FROM g WHERE gram IN (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT file) > 1)),
@@ -50,6 +53,7 @@ P7_CLEAN = f"SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P
 SQL: dict[str, str] = {
     "p2_found": P2_FOUND,
     "p2_classes": P2_CLASSES,
+    "p2_links": P2_LINKS,
     "p3_found": P3_FOUND,
     "p3_shares": P3_SHARES,
     "p7_found": P7_FOUND,

@@ -74,19 +74,37 @@ def test_classes(spark):
     j = N.GroupedPrefixJoin(spark.createDataFrame(rows, SCHEMA), "passage_id", "file", "text", 3, 5, 10)
     got = {x.id: x for x in j.classes().collect()}
     sets = {i: frozenset(t.split()) for i, _, t in rows if len(set(t.split())) >= 10}
+    files = {s: {f for i, f, _ in rows if sets.get(i) == s} for s in sets.values()}
     assert set(got) == set(sets)
-    distinct = set(sets.values())
     for i, s in sets.items():
         same = [k for k, x in sets.items() if x == s]
         assert (got[i].class_id, got[i].copies) == (min(same), len(same))
-        assert got[i].links == sum(o != s and len(o & s) * 5 >= 3 * len(o | s) for o in distinct)
+        assert got[i].links == sum(o != s and len(o & s) * 5 >= 3 * len(o | s) and len(files[o] | files[s]) > 1 for o in files)
+    linked = {(x.class_lo, x.class_hi) for x in j.links().collect()}
+    of = {s: min(k for k, x in sets.items() if x == s) for s in files}
+    assert linked == {(of[a], of[b]) for a in files for b in files if of[a] < of[b] and len(a & b) * 5 >= 3 * len(a | b) and len(files[a] | files[b]) > 1}
 
 
-def test_words_beyond_the_broadcast_are_joined_by_shuffle(spark, monkeypatch):
+@pytest.mark.parametrize(("seed", "num", "den", "least"), [(11, 3, 5, 10), (12, 3, 5, 1), (13, 1, 2, 1), (14, 4, 5, 2)])
+def test_hot_words_are_paired(spark, monkeypatch, seed, num, den, least):
+    """Every word is hot, and some sets are too large for pairs."""
+    monkeypatch.setattr(N, "HOT", 0)
+    monkeypatch.setattr(N, "PAIRED", 15)
+    rows = table(random.Random(seed), 200, 40, 60, hot=20)
+    assert {tuple(x) for x in N.near_duplicates(spark.createDataFrame(rows, SCHEMA), num=num, den=den, min_words=least).collect()} == brute(rows, num, den, least)
+
+
+def test_one_group_of_many_sets(spark):
+    """All texts begin their order with the same rare words; those that share no more than these never meet."""
+    common = " ".join(f"a{k}" for k in range(10))
+    rows = [(k, f"f{k}", common + " " + " ".join(f"b{k // 4}x{i}" if i < 6 else f"c{k}x{i}" for i in range(8))) for k in range(80)]
+    assert {tuple(x) for x in N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows, 3, 5, 10)
+
+
+def test_a_full_bitmap_changes_no_result(spark, monkeypatch):
     rows = table(random.Random(8), 150, 25, 60)
-    df = spark.createDataFrame(rows, SCHEMA)
-    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
-    assert {tuple(x) for x in N.near_duplicates(df).collect()} == brute(rows, 3, 5, 10)
+    monkeypatch.setattr(N, "BITS", 64)
+    assert {tuple(x) for x in N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows, 3, 5, 10)
 
 
 def test_few_counters_change_no_result(spark, monkeypatch):
