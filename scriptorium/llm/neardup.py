@@ -17,9 +17,10 @@ There is one plan for all sizes.  What bounds each step:
 * Sets of one group, which have the same prefix, meet only where the rests of
   their words share a word of the rests' prefixes, by the same principle.
 * Copies are one set.  They are expanded at the very end, by a join.
-* A pair of groups carries, for each of 128 parity bits, whether all its sets
-  have it or none has: bits that all sets of one group have and none of the
-  other count as different words, so no true pair is lost.
+* A set has 256 parity bits of its words; a group carries, for each of 128 that
+  they fold to, whether all its sets have it or none has.  Bits that all sets
+  of one side have and none of the other count as different words, so no true
+  pair is lost.
 * Words are read again for those sets only that stand in a candidate pair.
   Others are passed over by a bitmap of 2^23 bits before the join by id, which
   at any size is a join by shuffle or, if it finds one side small, Spark's own.
@@ -28,6 +29,7 @@ There is one plan for all sizes.  What bounds each step:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ PAIRED = 150
 #: Bits of the bitmap of ids; a fixed 1 MB on the driver and in each task.
 BITS = 1 << 23
 
-RECORD = "id long, file string, size int, gid long, sid long, keys array<struct<key:int,at:int>>, rest array<int>, s0 long, s1 long"
+RECORD = "id long, file string, size int, gid long, sid long, keys array<int>, places array<int>, rest array<int>, s0 long, s1 long, s2 long, s3 long"
 
 
 def distinct_words(text: Column) -> Column:
@@ -160,16 +162,14 @@ def _recorder(spark: SparkSession, counters: np.ndarray, num: int, den: int):
             m, hot = m[at], often[at] > limit
             start = off[:-1]
             sid = set_ids(m, start)
-            bit = np.uint64(1) << (m & np.uint64(63))
-            low = (m >> np.uint64(6)) & np.uint64(1) == 0
-            s0 = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), start)
-            s1 = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), start)
+            bit, quarter = np.uint64(1) << (m & np.uint64(63)), m >> np.uint64(6) & np.uint64(3)
+            signature = [np.bitwise_xor.reduceat(np.where(quarter == np.uint64(q), bit, np.uint64(0)), start) for q in range(4)]
             alpha = -(-num * size // den)
             wide = np.minimum(size, size - alpha + 2)
             inside = np.arange(len(h)) - np.repeat(start, size) < np.repeat(wide, size)
             gid = mix(np.add.reduceat(np.where(inside, mix(m + np.uint64(1)), np.uint64(0)), start) + size.astype(np.uint64))
             of, key, place = _keys(m, hot, start, size, alpha, wide, num, den)
-            keys = pa.ListArray.from_arrays(lists(of, len(size)), pa.StructArray.from_arrays([pa.array(key), pa.array(place.astype(np.int32))], ["key", "at"]))
+            keys, places = (pa.ListArray.from_arrays(lists(of, len(size)), pa.array(x.astype(np.int32))) for x in (key, place))
             # sets of one group need so many more words in common, out of their rests
             more = -(-2 * num * size // (num + den)) - wide
             many = np.where(more > 0, np.maximum(size - wide - more + 1, 0), np.minimum(size - wide, 1))
@@ -178,8 +178,8 @@ def _recorder(spark: SparkSession, counters: np.ndarray, num: int, den: int):
             rest = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(taken))
             i64 = lambda x: pa.array(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("file"), pa.array(size.astype(np.int32)), i64(gid), i64(sid), keys, rest, i64(s0), i64(s1)],
-                ["id", "file", "size", "gid", "sid", "keys", "rest", "s0", "s1"],
+                [b.column("id"), b.column("file"), pa.array(size.astype(np.int32)), i64(gid), i64(sid), keys, places, rest, *map(i64, signature)],
+                ["id", "file", "size", "gid", "sid", "keys", "places", "rest", "s0", "s1", "s2", "s3"],
             )
 
     return records
@@ -238,10 +238,10 @@ class GroupedPrefixJoin:
     def group_pairs(self) -> DataFrame:
         """Pairs (ga, gb), ga < gb, of groups that may hold similar sets."""
         groups = self.records.groupBy("gid").agg(
-            F.first("size").alias("size"), F.first("keys").alias("keys"),
-            F.bit_and("s0").alias("a0"), F.bit_or("s0").alias("o0"), F.bit_and("s1").alias("a1"), F.bit_or("s1").alias("o1"),
+            F.first("size").alias("size"), F.first("keys").alias("key"), F.first("places").alias("at"),
+            *(f(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k + 2}"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("a", F.bit_and), ("o", F.bit_or))),  # 256 bits folded to 128
         )
-        postings = groups.select(F.inline("keys"), "gid", "size", "a0", "o0", "a1", "o1")
+        postings = groups.select(F.inline(F.arrays_zip("key", "at")), "gid", "size", "a0", "o0", "a1", "o1")
         a = postings.select("key", *(F.col(c).alias(f"{c}_a") for c in ("at", "gid", "size", "a0", "o0", "a1", "o1")))
         b = postings.select("key", *(F.col(c).alias(f"{c}_b") for c in ("at", "gid", "size", "a0", "o0", "a1", "o1")))
         c = F.col
@@ -259,15 +259,14 @@ class GroupedPrefixJoin:
         return a.join(b, "key").filter(ok).select(c("gid_a").alias("ga"), c("gid_b").alias("gb")).distinct()
 
     def _members(self, records: DataFrame, *more: Column) -> DataFrame:
-        return records.groupBy("gid", "sid").agg(F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.min("id").alias("rep"), *more)
+        return records.groupBy("gid", "sid").agg(F.first("size").alias("size"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)), F.min("id").alias("rep"), *more)
 
     def set_pairs(self) -> DataFrame:
         """Verified pairs (ga, sa, gb, sb) of different sets that are similar enough."""
         spark = self.records.sparkSession
-        name_a = {"gid": "ga", "sid": "sa", "size": "na", "s0": "a0", "s1": "a1", "rep": "ra"}
-        name_b = {"gid": "gb", "sid": "sb", "size": "nb", "s0": "b0", "s1": "b1", "rep": "rb"}
+        name_a, name_b = ({"gid": f"g{x}", "sid": f"s{x}", "size": f"n{x}", "rep": f"r{x}"} | {f"s{k}": f"{x}{k}" for k in range(4)} for x in "ab")
         c = F.col
-        near = self._near(F.bit_count(c("a0").bitwiseXOR(c("b0"))) + F.bit_count(c("a1").bitwiseXOR(c("b1"))), c("na") + c("nb"))
+        near = self._near(reduce(Column.__add__, (F.bit_count(c(f"a{k}").bitwiseXOR(c(f"b{k}"))) for k in range(4))), c("na") + c("nb"))
         columns = ["ga", "sa", "na", "ra", "gb", "sb", "nb", "rb"]
         sets = self._members(self.records)
         across = self.group_pairs().join(sets.withColumnsRenamed(name_a), "ga").join(sets.withColumnsRenamed(name_b), "gb").filter(near).select(columns)
