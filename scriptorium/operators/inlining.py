@@ -5,12 +5,17 @@ which, how often in one parent at most, and with which attributes.  From it
 follows what becomes a table: elements that repeat within a parent, that occur
 in several kinds of parents, or that can contain themselves.  All others are
 single in their parent and are inlined into the row of the nearest table above
-them.  Then every record is shredded by that plan; a row knows its record, its
-number in document order and the number of the row around it.
+them.  Then every record is shredded by that plan, once for all tables.  A row
+knows its record, its number in document order and the number of the row around
+it (`row_no`, `parent_row_no`, over all tables), so that no row points to one
+that is in no table.  Rows of the elements that were asked for are also
+numbered and linked among themselves (`elem_no`, `parent_no`).
 
 The graph is bounded by the number of element names, not of records; it is
 merged within tasks, then by an aggregate, and its size is checked before it
-reaches the driver.
+reaches the driver.  A record is first parsed for its form alone, since one that
+is malformed gives no rows; then it is read piece by piece, and rows leave as
+their elements close.
 """
 
 from __future__ import annotations
@@ -20,20 +25,25 @@ import xml.parsers.expat as expat
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 TEI = "http://www.tei-c.org/ns/1.0"
 XML = "http://www.w3.org/XML/1998/namespace}"
 #: Edges of the element graph that may reach the driver; a schema has hundreds.
 MAX_EDGES = 200_000
 #: Rows of output held by a task at a time.
 CHUNK = 50_000
+#: Characters of a record that are parsed at a time.
+PIECE = 1 << 18
 
 EDGE = "parent string, child string, most int, attributes array<string>"
-ROW = "doc long, elem_no int, parent_no int, elem string, parent_elem string"
+ROW = "doc long, elem_no int, parent_no int, row_no int, parent_row_no int, elem string, parent_elem string"
 FIELDS = ", fields map<string,string>, text string"
 
 
@@ -168,9 +178,19 @@ def _edges(scope: str, namespace: str):
     return edges
 
 
-def _shredder(scope: str, namespace: str, tables: frozenset[str], fields: bool):
-    columns = ["doc", "elem_no", "parent_no", "elem", "parent_elem"] + ["fields", "text"] * fields
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()] + [pa.map_(pa.string(), pa.string()), pa.string()] * fields
+@dataclass
+class _Open:
+    """A row of an element that is still open."""
+
+    row: list
+    fields: dict[str, str]
+    text: list[str]
+    path: list[str]  # inlined elements around it, within the table above
+
+
+def _shredder(scope: str, namespace: str, tables: frozenset[str], asked: frozenset[str], fields: bool):
+    columns = [c.split()[0] for c in ROW.split(", ")] + ["fields", "text"] * fields
+    types = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string()] + [pa.map_(pa.string(), pa.string()), pa.string()] * fields
 
     def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = []
@@ -182,56 +202,62 @@ def _shredder(scope: str, namespace: str, tables: frozenset[str], fields: bool):
             return pa.RecordBatch.from_arrays(arrays, columns)
 
         for b in batches:
-            for doc, content in zip(b.column("doc").to_pylist(), b.column("content")):
-                own: list[list] = []
-                around: list[list] = []  # rows of the open tables
-                path: list[str] = []  # inlined elements since the innermost of them
-                open_: list[list[str] | None] = []  # per open element: the path to return to, or none for an inlined one
+            for doc, content in zip(b.column("doc").to_pylist(), b.column("content").to_pylist()):
+                try:
+                    expat.ParserCreate(namespace_separator="}").Parse(content, True)
+                except expat.ExpatError:
+                    continue
+                around: list[_Open] = []  # rows of the open tables
+                parents: list[int] = [0]  # numbers of those that were asked for
+                path: list[str] = []  # inlined elements since the innermost table
+                inlined: list[bool] = []  # of each open element
+                count = named = 0
 
                 def start(tag: str, attrs: dict[str, str]) -> None:
-                    nonlocal path
+                    nonlocal path, count, named
+                    inlined.append(tag not in tables)
                     if tag in tables:
-                        row = [doc, len(own) + 1, around[-1][1] if around else 0, tag, around[-1][3] if around else None]
-                        if fields:
-                            row += [{f"@{k}": v for k, v in attrs.items()}, []]
-                        own.append(row)
-                        around.append(row)
-                        open_.append(path)
+                        count += 1
+                        up = around[-1].row if around else None
+                        row = [doc, None, parents[-1], count, up[3] if up else 0, tag, up[5] if up else None]
+                        if tag in asked:
+                            named += 1
+                            row[1] = named
+                            parents.append(named)
+                        around.append(_Open(row, {f"@{k}": v for k, v in attrs.items()} if fields else {}, [], path))
                         path = []
                     else:
-                        path = [*path, tag]
-                        open_.append(None)
+                        path.append(tag)
                         if fields and around:
                             at = "/".join(path)
-                            around[-1][5].update({f"{at}/@{k}": v for k, v in attrs.items()})
-                            around[-1][5].setdefault(at, "")
+                            around[-1].fields.update({f"{at}/@{k}": v for k, v in attrs.items()})
+                            around[-1].fields.setdefault(at, "")
 
                 def end() -> None:
                     nonlocal path
-                    back = open_.pop()
-                    if back is None:
-                        path = path[:-1]
-                    else:
-                        around.pop()
-                        path = back
+                    if inlined.pop():
+                        path.pop()
+                        return
+                    done = around.pop()
+                    path = done.path
+                    if done.row[1] is not None:
+                        parents.pop()
+                    if fields:
+                        done.row += [list(done.fields.items()), "".join(done.text)]
+                    rows.append(done.row)
 
                 def text(s: str) -> None:
                     if around:
-                        around[-1][6].append(s)
+                        around[-1].text.append(s)
                         if path:
                             at = "/".join(path)
-                            around[-1][5][at] = around[-1][5].get(at, "") + s
+                            around[-1].fields[at] = around[-1].fields.get(at, "") + s
 
-                try:
-                    _parser(scope, namespace, start, end, text if fields else None).Parse(content.as_py(), True)
-                except expat.ExpatError:
-                    continue
-                if fields:
-                    for row in own:
-                        row[5], row[6] = list(row[5].items()), "".join(row[6])
-                rows.extend(own)
-                if len(rows) >= CHUNK:
-                    yield chunk()
+                parser = _parser(scope, namespace, start, end, text if fields else None)
+                for k in range(0, len(content), PIECE):
+                    parser.Parse(content[k : k + PIECE], k + PIECE >= len(content))
+                    if len(rows) >= CHUNK:
+                        yield chunk()
         if rows:
             yield chunk()
 
@@ -243,18 +269,18 @@ class SharedInlining:
 
     Rows with a null id, and null, empty or malformed content, give no rows.
     Ids may repeat: each row is a record of its own, its rows bear the id.
-    Names of other namespaces are other elements.  `keep` names elements that
-    become tables whatever the data say.
+    Names of other namespaces are other elements.  `asked` names elements that
+    become tables whatever the data say and are numbered among themselves.
     """
 
     def __init__(
-        self, df: DataFrame, id_col: str = "edition_id", content_col: str = "content", scope: str = "text", namespace: str = TEI, keep: tuple[str, ...] = ()
+        self, df: DataFrame, id_col: str = "edition_id", content_col: str = "content", scope: str = "text", namespace: str = TEI, asked: tuple[str, ...] = ()
     ) -> None:
         self.records = (
             df.select(F.col(id_col).cast("long").alias("doc"), F.col(content_col).alias("content"))
             .filter("doc is not null and content is not null and content <> ''")
         )
-        self.id_col, self.scope, self.namespace = id_col, scope, namespace
+        self.id_col, self.scope, self.namespace, self.asked = id_col, scope, namespace, frozenset(asked)
         self.edges = (
             self.records.select("content").mapInArrow(_edges(scope, namespace), EDGE)
             .groupBy("parent", "child").agg(F.max("most").alias("most"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("attributes")))).alias("attributes"))
@@ -262,21 +288,25 @@ class SharedInlining:
         graph = self.edges.limit(MAX_EDGES + 1).collect()
         if len(graph) > MAX_EDGES:
             raise ValueError(f"more than {MAX_EDGES} kinds of nesting: this is no schema to inline")
-        self.plan = plan_of([tuple(r) for r in graph], keep)
+        self.plan = plan_of([tuple(r) for r in graph], asked)
+
+    def rows(self, fields: bool = False) -> DataFrame:
+        """Rows of all tables of the plan, numbered in document order from 1; 0 is the parent of the outermost."""
+        shred = _shredder(self.scope, self.namespace, frozenset(self.plan.tables), self.asked, fields)
+        return self.records.mapInArrow(shred, ROW + FIELDS * fields).withColumnRenamed("doc", self.id_col)
 
-    def rows(self, kinds: Iterable[str] | None = None, fields: bool = False) -> DataFrame:
-        """Rows of the tables `kinds` (all if none are named), numbered together in document order from 1; 0 is the parent of the outermost."""
-        tables = self.plan.tables if kinds is None else self.plan.tables & set(kinds)
-        out = self.records.mapInArrow(_shredder(self.scope, self.namespace, frozenset(tables), fields), ROW + FIELDS * fields)
-        return out.withColumnRenamed("doc", self.id_col)
+    @cached_property
+    def shredded(self) -> DataFrame:
+        """All rows with their fields, written once, in a folder for each table."""
+        return written(self.rows(fields=True), "shredded", by="elem")
 
     def table(self, name: str) -> DataFrame:
         """One table with a column for each field: `attr_x` for attributes, `a__b` for inlined elements, null where absent."""
         columns = self.plan.columns(name)
         plain = lambda c: re.sub(r"\W+", "_", c.replace("/", "__").replace("@", "attr_"))
         return (
-            self.rows(fields=True).filter(F.col("elem") == name)
-            .select(self.id_col, "elem_no", "parent_no", "parent_elem", "text", *(F.col("fields")[c].alias(plain(c)) for c in columns))
+            self.shredded.filter(F.col("elem") == name)
+            .select(self.id_col, "elem_no", "parent_no", "row_no", "parent_row_no", "parent_elem", "text", *(F.col("fields")[c].alias(plain(c)) for c in columns))
         )
 
     def schema(self) -> DataFrame:
@@ -288,6 +318,6 @@ class SharedInlining:
         return self.edges.select("parent", "child", "most", fate.alias("fate"))
 
 
-def nested_elements(df: DataFrame, kinds: tuple[str, ...] = ("div", "l", "note")) -> DataFrame:
-    """(edition_id, elem_no, parent_no, elem) of the TEI elements `kinds` inside `text`."""
-    return SharedInlining(df, keep=kinds).rows(kinds).select("edition_id", "elem_no", "parent_no", "elem")
+def nested_elements(df: DataFrame, kinds: tuple[str, ...] = ("div", "l", "note"), id_col: str = "edition_id") -> DataFrame:
+    """(id, elem_no, parent_no, elem) of the TEI elements `kinds` inside `text`: their part of the tables, with the links among them."""
+    return SharedInlining(df, id_col, asked=kinds).rows().filter("elem_no is not null").select(id_col, "elem_no", "parent_no", "elem")

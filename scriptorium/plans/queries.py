@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, editions, fulltext, links
-from ..operators.inlining import SharedInlining, nested_elements
+from ..operators.inlining import TEI, SharedInlining, nested_elements
 from ..operators.ordered import OrderedGroups
 from ..sources import sinks
 from ..sources.tables import table
@@ -400,9 +400,16 @@ def p5_schema(spark: SparkSession, root: str) -> DataFrame:
     return SharedInlining(table(spark, root, "editions")).schema()
 
 
+@query()
+def p5_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all tables, also those between a div, l or note and the next one."""
+    rows = SharedInlining(table(spark, root, "editions"), asked=("div", "l", "note")).rows(fields=True)
+    return rows.withColumn("fields", F.to_json("fields"))
+
+
 def _p5_table(name: str) -> None:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return SharedInlining(table(spark, root, "editions"), keep=("div", "l", "note")).table(name)
+        return SharedInlining(table(spark, root, "editions"), asked=("div", "l", "note")).table(name)
 
     run.__name__ = f"p5_{name}"
     query()(run)
@@ -410,3 +417,17 @@ def _p5_table(name: str) -> None:
 
 for _name in ("div", "l", "note"):
     _p5_table(_name)
+
+
+@query(f"""WITH l AS ({_LINES}), n AS (SELECT file::BIGINT AS doc_id, n, line, 1 + n + (n + 2) // 4 AS no FROM l)
+ SELECT doc_id, 1 AS elem_no, 0 AS parent_no, 'div' AS elem, 1 AS row_no, 0 AS parent_row_no, NULL AS text FROM n WHERE n = 1
+ UNION ALL SELECT doc_id, no, 1, 'l', no + (n + 2) // 4 + (n % 4 = 1)::INT, CASE WHEN n % 4 = 1 THEN no + (n + 2) // 4 ELSE 1 END, line FROM n
+ UNION ALL SELECT doc_id, no + 1, no, 'note', no + (n + 2) // 4 + 2, no + (n + 2) // 4 + 1, 'x' FROM n WHERE n % 4 = 1""")
+def p5_generated(spark: SparkSession, root: str) -> DataFrame:
+    """Nested records made of documents: of every four lines the first is in a group and has a note."""
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("<lg><l>"), x, F.lit("<note>x</note></l></lg>"))).otherwise(F.concat(F.lit("<l>"), x, F.lit("</l>")))
+    content = F.concat(F.lit(f'<TEI xmlns="{TEI}"><text><body><div>'), F.array_join(F.transform(F.split(text, "\n"), line), ""), F.lit("</div></body></text></TEI>"))
+    records = table(spark, root, "documents").filter(F.col("text").isNotNull()).select("doc_id", content.alias("content"))
+    rows = SharedInlining(records, "doc_id", asked=("div", "l", "note")).rows(fields=True).filter("elem_no is not null")
+    return rows.select("doc_id", "elem_no", "parent_no", "elem", "row_no", "parent_row_no", F.when(F.col("elem") != "div", F.col("text")).alias("text"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,33 +27,53 @@ def get_spark(name: str = "scriptorium", master: str | None = None, **conf: str)
     return b.config(map=defaults | conf).getOrCreate()
 
 
+#: Folders written by this process, by application; see clean().
+_WRITTEN: dict[str, list[str]] = defaultdict(list)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in spark.checkpoint.dir.  Only where that is unset, as
-    in tests on one machine, a temporary folder stands in.
+    The cluster names it in spark.checkpoint.dir.  Only where that is unset on
+    one machine, as in tests, a temporary folder stands in, which is removed at
+    exit; on a cluster it is an error, since each executor would write to its
+    own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and {sc.master} needs a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="scriptorium-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return str(sc.getCheckpointDir()).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder, partitioned by a column if one is named, and read it back.
 
     Cuts the lineage and survives the loss of executors.  Parquet rather than
     checkpoint(): it is compressed, and later reads prune columns.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _WRITTEN[spark.sparkContext.applicationId].append(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that this application has written so far, once their results are no longer needed; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores, if its input has too few splits to keep a quarter of them busy.
 

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+import scriptorium.operators.inlining as I
 from scriptorium.operators.inlining import TEI, SharedInlining, nested_elements, plan_of
 
 SCHEMA = "edition_id long, content string"
@@ -70,19 +71,37 @@ def test_plan():
 
 def test_tables(spark):
     xml = f'<TEI xmlns="{TEI}"><text><div n="1"><head type="h">T<hi rend="b">x</hi></head><l n="1">a<note>b</note>c</l><l>d</l></div><div/></text></TEI>'
-    s = SharedInlining(spark.createDataFrame([(1, xml), (1, xml)], SCHEMA), keep=("note",))
+    s = SharedInlining(spark.createDataFrame([(1, xml), (1, xml)], SCHEMA), asked=("note",))
     assert s.plan.tables == {"div", "l", "note"}
-    div = s.table("div").orderBy("elem_no").collect()
+    div = s.table("div").orderBy("row_no").collect()
     assert len(div) == 4  # a repeated record is a record
-    assert (div[0].attr_n, div[0].head, div[0].head__attr_type, div[0].head__hi, div[0].head__hi__attr_rend, div[0].parent_no) == ("1", "T", "h", "x", "b", 0)
+    assert (div[0].attr_n, div[0].head, div[0].head__attr_type, div[0].head__hi, div[0].head__hi__attr_rend, div[0].parent_row_no) == ("1", "T", "h", "x", "b", 0)
     assert div[2].attr_n is None and div[2].head is None
-    line = s.table("l").filter("elem_no = 2").first()
-    assert (line.text, line.parent_no, line.parent_elem) == ("ac", 1, "div")
+    line = s.table("l").filter("row_no = 2").first()
+    assert (line.text, line.parent_row_no, line.parent_elem, line.elem_no) == ("ac", 1, "div", None)
     note = s.table("note").first()
-    assert (note.text, note.parent_no, note.parent_elem) == ("b", 2, "l")
+    assert (note.text, note.parent_row_no, note.parent_elem, note.elem_no, note.parent_no) == ("b", 2, "l", 1, 0)
     assert {(r.child, r.fate) for r in s.schema().collect()} == {("div", "repeated"), ("head", "inlined"), ("hi", "inlined"), ("l", "repeated"), ("note", "asked for")}
 
 
+def test_no_link_is_lost(spark, monkeypatch):
+    """Every row's parent is in some table, and the numbers among the asked elements are those of the rows found."""
+    monkeypatch.setattr(I, "PIECE", 50)
+    monkeypatch.setattr(I, "CHUNK", 3)
+    r = random.Random(6)
+    df = spark.createDataFrame([(k, document(r)) for k in range(60)], SCHEMA)
+    kinds = ("div", "l", "note")
+    s = SharedInlining(df, asked=kinds)
+    rows = s.rows().collect()
+    assert {t for (t,) in s.rows().select("elem").distinct().collect()} == s.plan.tables
+    numbers = {(x.edition_id, x.row_no): x.elem for x in rows}
+    assert len(numbers) == len(rows)
+    assert all(x.parent_row_no == 0 or numbers[x.edition_id, x.parent_row_no] == x.parent_elem for x in rows)
+    tables = {(x.edition_id, x.elem_no, x.parent_no, t) for t in kinds for x in s.table(t).collect()}
+    assert tables == {tuple(x) for x in nested_elements(df).collect()}
+    assert all(p == 0 or (i, p) in {(i, n) for i, n, _, _ in tables} for i, _, p, _ in tables)
+
+
 def test_nothing(spark):
     s = SharedInlining(spark.createDataFrame([], SCHEMA))
     assert s.rows().count() == s.schema().count() == 0
