@@ -2,14 +2,17 @@
 
 Lines that may be such text are picked out, numbers, addresses and dates in
 them are masked, and lines of one masked form are one message, however many
-documents and sources repeat it.  Each distinct message is classified once, by
-rules on placeholders and phrases; the documents follow by a join.  A message's
-documents and sources are counted over the whole corpus, in two steps, so that
-a message that a third of all documents have is no large group in one task.
+documents and sources repeat it.  A message's documents and sources are counted
+over the whole corpus, in steps, so that a message that a third of all
+documents have is no large group in one task.  Each distinct message is then
+classified once, by rules of two kinds; the documents follow by a join.
 
-A rule needs the form of the thing itself: a placeholder in its delimiters, a
+RULES need the form of the thing itself: a placeholder in its delimiters, a
 message as a program utters it, a demand to switch scripts on.  Prose that
-names errors, scripts or filler has words like these, but not those forms.
+names errors, scripts or filler has words like these, but not those forms, so
+these rules hold for a message however rare it is.  WIDESPREAD has mere words.
+They count only in a short line that recurs as it is, masked, in several
+documents and sources: so do messages of programs, and sentences do not.
 """
 
 from __future__ import annotations
@@ -40,6 +43,9 @@ RULES = {
         r"\$\{[^{}\s]+\}",
         r"<%=?[^%]*%>",
         r"%\(\w+\)[a-z]",
+        r"%%[A-Za-z]\w*%%",
+        r"\{%-?\s*\w[^{}%]*%\}",
+        r"<\?(?:php|=)",
         r"(?<!\w)__[A-Z][A-Z_]*__(?!\w)",
         r"@@\w+@@",
         r"#{2,}[A-Z]\w*#{2,}",
@@ -52,16 +58,18 @@ RULES = {
         r"\[[^\]]*\b(?:to be added|to be supplied|goes here)\]",
         r"\bDD/MM/YYYY\b|\bTT\.MM\.JJJJ\b|\bYYYY-MM-DD\b",
         r"\bX{4,}\b",
-        r"[:,]\s*(?:TBD|TODO|FIXME)\b",
+        r"[:,]\s*(?:TBD|TODO|FIXME)\s*(?:[.,;:!)\]]|$)",
+        r"^\W*(?:TBD|TODO|FIXME)\b(?:\s*:.*|\W*)$",
         r"^\s*[\w ]{1,30}\s?:\s*(?:undefined(?:\.0)?|null|NaN|None|\[object Object\])\s*$",
         r"\[object Object\]",
         r"\bTitel einfügen\b",
         r"(?i)\[(?:insert|enter|add|your) (?:[^\[\]]* )?(?:here|name|title|text|author|date|work|translation|description|e-?mail)\]",
         r"(?i)\[(?:hier )?(?:titel|text|name|autor|datum|übersetzung) (?:hier )?(?:einfügen|eingeben|ergänzen)\]|\[(?:insérer|saisir) [^\[\]]+ ici\]",
         r"(?i)\{(?:title|author|work|name|date|year|editor|translator|page|source|titel|autor|verfasser|titre|auteur)\}",
+        r"\{[a-z]+(?:_[a-z]+)+\}",
     ],
     "filler": [
-        r"(?i)\blorem ipsum\b|\bdolor sit amet\b",
+        r"(?i)^\W*lorem ipsum\b(?!\W+(?:is|was|ist|war|est|è)\b)|\blorem ipsum dolor\b|\bdolor sit amet\b|\bconsectetur adipisc",
         r"(?i)^\s*your text here\b|\byour text here\. your text here\b",
         r"(?i)\bthis is (?:placeholder|dummy|sample|filler) (?:copy|text)\b",
         r"(?i)\bsample sentence for layout\b",
@@ -75,6 +83,10 @@ RULES = {
     "error": [
         r"(?i)^\W*(?:http |error |status )?0\W* (?:not found|forbidden|bad (?:request|gateway)|unauthorized|internal server error|(?:service|gateway) \w+|service temporarily unavailable)\W*$",
         r"(?i)^\W*error 0: ",
+        r"(?i)^\W*(?:https?[ /])?(?:error|status|fehler|erreur|errore)(?: code)? 0\W*$",
+        r"(?i)^\W*(?:0\W+)?(?:bad gateway|bad request|gateway time-?out|request time-?out|service (?:temporarily )?unavailable|service overloaded)(?: nginx| apache)?\W*$",
+        r"(?i)^\W*(?:php )?(?:fatal |parse |syntax |server )error: \S",
+        r"^\W*ERROR: \S",
         r"(?i)\bthe requested (?:\w+ )?(?:[\w.]+ )?(?:was|could) not (?:be )?found on this server\b",
         r"(?i)\bseite nicht gefunden\b|\bdie angeforderte \w+ (?:\w+ )?existiert nicht\b",
         r"(?i)\bpage introuvable\b|\bdemandée? n'existe pas ou a été\b",
@@ -99,6 +111,8 @@ RULES = {
         r"(?i)\b(?:please|you (?:need|have) to|must|first) enable (?:javascript|scripts|scripting|cookies)\b",
         r"(?i)^\W*enable (?:javascript|scripts|scripting|cookies)\b|\benable cookies and javascript\b",
         r"(?i)\bthis \w+ requires (?:javascript|scripts|scripting)\b",
+        r"(?i)^\W*you (?:will )?need (?:javascript|scripts|scripting|cookies) (?:to|for) [^.!?]{1,60}\W*$",
+        r"(?i)^\W*(?:please )?(?:turn|switch) on (?:javascript|scripts|scripting|cookies)\b|\b(?:turn|switch) (?:javascript|scripting) on\W*$",
         r"(?i)\bchecking your browser before\b",
         r"(?i)^\W*(?:javascript|scripting) (?:is|must be|needs to be|has to be) (?:currently )?(?:disabled|enabled|required|(?:turned|switched) o(?:n|ff)|not (?:enabled|available|supported))(?: (?:in|by) your browser| (?:to|for) [^.!?]{1,40})?\W*$",
         r"(?i)\bjavascript is (?:currently )?(?:disabled|(?:turned|switched) off|not (?:enabled|supported)) (?:in|by) your browser\b",
@@ -112,6 +126,19 @@ RULES = {
     ],
 }
 
+# Words by class that count only in messages that recur.
+WIDESPREAD = {
+    "scripts": [r"(?i)\b(?:javascript|scripting|cookies|browser|browsers|navigateur)\b"],
+    "error": [
+        r"(?i)\b(?:not (?:be )?found|unavailable|not available|timed out|time-?out|failed|forbidden|denied|expired|exception|unexpected error|error code|fehler|erreur|errore)\b",
+        r"(?i)\b(?:nicht (?:gefunden|verfügbar|erreichbar)|introuvable|indisponible|non trovata|no encontrada)\b|\b(?:error|errno) 0\b",
+    ],
+    "filler": [r"(?i)\b(?:placeholder|dummy (?:copy|text)|sample text|filler text|blindtext|platzhalter|fülltext|texte provisoire|coming soon|under construction)\b"],
+    "placeholder": [r"\b(?:TODO|TBD|FIXME|undefined|NaN)\b"],
+}
+#: Documents and sources in which such a message recurs, and its words at most.
+RECURRING_DOCUMENTS, RECURRING_SOURCES, MESSAGE_WORDS = 3, 2, 25
+
 # Letters that a pattern takes for another letter whatever their case, and that lower() leaves or splits.
 ALIKE = [("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")]
 
@@ -148,7 +175,7 @@ def needs(tree: Iterable) -> list[frozenset[str]]:
 
 
 #: Each rule and the literals that it needs; they are derived, so that no line that a rule matches is passed over.
-NEEDS = [(p, needs(_parser.parse(p))) for patterns in RULES.values() for p in patterns]
+NEEDS = [(p, needs(_parser.parse(p))) for rules in (RULES, WIDESPREAD) for patterns in rules.values() for p in patterns]
 #: All literals of NEEDS: a line without any of them, and not made of a few words over and over, is in no class.
 TRIGGERS = sorted({t for _, sets in NEEDS for s in sets for t in s})
 
@@ -193,16 +220,26 @@ def _masked(line: str, masks: list[tuple[str, str]]) -> str:
 
 
 class Classifier:
-    """The class of a masked message, or none."""
+    """The class of a masked message, or none; what counts only where it recurs needs the numbers of its documents and sources."""
 
-    def __init__(self, rules: dict[str, list[str]] = RULES) -> None:
-        self.rules = [(kind, re.compile("|".join(f"(?:{p})" for p in _inline(patterns)))) for kind, patterns in rules.items()]
+    def __init__(self) -> None:
+        self.rules, self.widespread = (
+            [(kind, re.compile("|".join(f"(?:{p})" for p in _inline(patterns)))) for kind, patterns in rules.items()] for rules in (RULES, WIDESPREAD)
+        )
 
-    def __call__(self, message: str) -> str | None:
+    def __call__(self, message: str, documents: int = 1, sources: int = 1) -> str | None:
         for kind, pattern in self.rules:
             if pattern.search(message):
                 return kind
-        return "filler" if monotone(message) else None
+        if monotone(message):
+            return "filler"
+        if documents >= RECURRING_DOCUMENTS and sources >= RECURRING_SOURCES and short(message):
+            return next((kind for kind, pattern in self.widespread if pattern.search(message)), None)
+        return None
+
+
+def short(message: str) -> bool:
+    return len(message.split()) <= MESSAGE_WORDS
 
 
 def _inline(patterns: list[str]) -> list[str]:
@@ -218,19 +255,21 @@ class Prefilter:
     """Which lines of a text may be residue: a rule matches them once masked, or they are monotone."""
 
     def __init__(self) -> None:
-        self.rules = [(re.compile(pattern), sets) for pattern, sets in NEEDS]
+        whole = sum(map(len, RULES.values()))
+        self.rules = [(re.compile(pattern), sets, k < whole) for k, (pattern, sets) in enumerate(NEEDS)]
 
     def __call__(self, text: str) -> Iterator[str]:
         """The masked forms of those lines."""
         rules = self._possible(text, self.rules, TRIGGERS)
-        triggers = {t for _, sets in rules for s in sets for t in s}
+        triggers = {t for _, sets, _ in rules for s in sets for t in s}
         for line in text.split("\n"):
             possible = self._possible(line, rules, triggers) if rules else rules
             if monotone(line):
                 yield mask(line)
             elif possible:
                 masked = mask(line)
-                if any(rule.search(masked) for rule, _ in possible) or monotone(masked):
+                brief = short(masked)
+                if any((anyway or brief) and rule.search(masked) for rule, _, anyway in possible) or monotone(masked):
                     yield masked
 
     @staticmethod
@@ -255,8 +294,8 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classify = Classifier()
     for b in batches:
-        kinds = pa.array([classify(m) for m in b.column("message").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*b.columns, kinds], [*b.schema.names, "kind"])
+        kinds = [classify(*row) for row in zip(*(b.column(c).to_pylist() for c in ("message", "documents", "sources")))]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string())], [*b.schema.names, "kind"])
 
 
 def suspects(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -267,16 +306,24 @@ def suspects(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     )
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    """(form, message, documents, sources, lines, kind) of the messages of residue, from (form, message, doc, source)."""
+    each = found.groupBy("form", "source", "doc").agg(F.first("message").alias("message"), F.count("*").alias("lines"))
+    each = each.groupBy("form", "source").agg(F.first("message").alias("message"), F.count("*").alias("documents"), F.sum("lines").alias("lines"))
+    whole = each.groupBy("form").agg(F.first("message").alias("message"), F.sum("documents").alias("documents"), F.count("*").alias("sources"), F.sum("lines").alias("lines"))
+    return whole.mapInArrow(_classified, "form long, message string, documents long, sources long, lines long, kind string").filter("kind is not null")
+
+
+def _forms(df: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return suspects(df, doc_id, text, source).withColumn("form", F.xxhash64("message"))
+
+
 def messages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Messages of residue: (message, kind, documents, sources, lines), of whatever number of documents.
 
     A null source counts as one source.
     """
-    each = suspects(df, doc_id, text, source).groupBy("message", "source", "doc").agg(F.count("*").alias("lines"))
-    each = each.groupBy("message", "source").agg(F.count("*").alias("documents"), F.sum("lines").alias("lines"))
-    whole = each.groupBy("message").agg(F.sum("documents").alias("documents"), F.count("*").alias("sources"), F.sum("lines").alias("lines"))
-    schema = "message string, documents long, sources long, lines long, kind string"
-    return whole.mapInArrow(_classified, schema).filter("kind is not null").select("message", "kind", "documents", "sources", "lines")
+    return _counted(_forms(df, doc_id, text, source)).select("message", "kind", "documents", "sources", "lines")
 
 
 def residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -284,9 +331,8 @@ def residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
     Null and empty texts hold none; rows of one id are one document.
     """
-    found = written(suspects(df, doc_id, text, source).select("doc", "message", F.xxhash64("message").alias("form")), "residue-suspects")
-    kinds = found.select("form", "message").dropDuplicates(["form"]).mapInArrow(_classified, "form long, message string, kind string").filter("kind is not null")
-    hits = found.select("doc", "form").distinct().join(kinds.select("form", "kind"), "form")
+    found = written(_forms(df, doc_id, text, source), "residue-suspects")
+    hits = found.select("doc", "form").distinct().join(_counted(found).select("form", "kind"), "form")
     return hits.groupBy(F.col("doc").alias(doc_id)).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 

@@ -136,4 +136,66 @@ def test_phrasings_by_kind(kind, line):
 
 @pytest.mark.parametrize("line", SPOKEN_OF)
 def test_prose_that_speaks_of_them(line):
-    assert list(R.Prefilter()(line)) == []
+    assert [R.Classifier()(m) for m in R.Prefilter()(line)] in ([], [None])  # words that count where they recur are handed on
+
+
+# Phrases by form; the rules were widened with these in view.
+BY_FORM = {
+    "placeholder": [
+        "Dear {{ customer.name }},", "Order %%ORDER_ID%% of %%DATE%%", "{% block content %}", "Hello {first_name} {last_name},", "<%= render partial %>", "${user.email}", "TODO: write the introduction", "Location: TBD",
+        "<<Insert>>", "@@VERSION@@", "[Insert title here]", "Author: null", "<?php echo $title; ?>", "__COMPANY__ welcomes you", "Dear {2}, your order {3}",
+    ],
+    "error": [
+        "Page not found", "Internal Server Error", "HTTP ERROR 404", "Error 500", "Service Unavailable", "503 Service Overloaded", "Error 301: moved", "502 Bad Gateway nginx", "Gateway Timeout", "403 Forbidden",
+        "    at com.foo.Bar.run(Bar.java:12)", "ValueError: invalid literal", "Fatal error: Uncaught Exception in index.php", "The requested page could not be found on this server.", "ERROR: relation x does not exist",
+    ],
+    "scripts": [
+        "JavaScript is disabled in your browser", "You need JavaScript to view this page", "This site requires JavaScript.", "Please turn on JavaScript to continue.", "JavaScript must be enabled", "Please enable cookies to go on.",
+        "<noscript>off</noscript>", "JavaScript is required to use this form.", "Bitte aktivieren Sie JavaScript.", "Veuillez activer JavaScript",
+    ],
+    "filler": ["Lorem ipsum", "dolor sit amet", "consectetur adipiscing elit, sed do", "test test test", "foo bar foo bar foo bar foo bar foo bar", "Dies ist ein Platzhaltertext.", "This is sample text", "xxx xxxx xxx"],
+}
+FORM_PROSE = [
+    "He wrote: TODO in the margin", "The word JavaScript is explained in the handbook.", "The error of the scribe was not found in the codex.", "The page was not found in the codex, says Zeph.",
+    "In the margin lorem ipsum is said to come from Cicero.", "We saw {τε} and {καὶ} in the text", "Lorem ipsum is a text of printers.", "A null subject and an undefined verb", "Her reader turned the cookies down.",
+]
+
+
+def test_phrases_by_form():
+    cases = [(kind, line) for kind, lines in BY_FORM.items() for line in lines]
+    assert [c for c in cases if [R.Classifier()(m) for m in R.Prefilter()(c[1])] != [c[0]]] == []
+    assert [line for line in FORM_PROSE if R.Classifier()(R.mask(line))] == []
+
+
+# Phrases that were written down after the rules were finished and that no rule was changed for.
+HELD_OUT = {
+    "placeholder": [
+        "Hi {{#if user}}{{user}}{{/if}}", "Invoice ${invoiceNumber}", "{% include 'header.html' %}", "Welcome, %%firstname%%!", "Signed: [Your Signature Here]", "Telephone: undefined", "[PROJECT NAME]", "Published in {publication_year}",
+        "<%= @title %>", "@@build@@", "Dear %(name)s,", "FIXME: check the date",
+    ],
+    "error": [
+        "HTTP Status 500", "504 Gateway Timeout", "401 Unauthorized", "The requested URL was not found on this server.", "IndexError: list index out of range", "java.io.IOException: Stream closed",
+        "Parse error: syntax error, unexpected end of file", "Oops! Something went wrong.", "Access denied. You do not have permission to see this.", "Your session has expired", "Bad Request", "File not found",
+    ],
+    "scripts": ["Please enable JavaScript", "You have to enable cookies first", "This application requires JavaScript", "JavaScript is not supported by your browser", "Enable JavaScript and reload", "Checking your browser before accessing the site"],
+    "filler": ["Lorem ipsum dolor sit amet", "This is dummy text", "asdf asdf jkl", "Your text here", "blah blah blah blah blah blah", "Dies ist ein Blindtext"],
+}
+
+
+def test_held_out_phrases():
+    cases = [(kind, line) for kind, lines in HELD_OUT.items() for line in lines]
+    found = [[R.Classifier()(m) for m in R.Prefilter()(line)] == [kind] for kind, line in cases]
+    print([c for c, ok in zip(cases, found) if not ok])
+    assert sum(found) >= 0.9 * len(cases)
+
+
+def test_recurrence_decides(spark):
+    """A message without the form of one is residue where it recurs in documents of several sources, and only there."""
+    line = "Sorry, leaf {} of this codex is not available at the moment."
+    rows = [(k, f"Prose.\n{line.format(k)}", f"s{k % 2}") for k in range(4)]  # recurs once numbers are masked
+    rows += [(10 + k, "Our scanner is under construction.", "s0") for k in range(9)]  # in one source only
+    rows += [(20, "The key was not available.", "s1"), (21, "The key was not available.", "s2")]  # in two documents
+    rows += [(30 + k, "The reader was not available " + " ".join(f"w{chr(97 + i)}" for i in range(26)), f"s{k}") for k in range(9)]  # no short line
+    got = {r.doc_id: r.kinds for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: ["error"] for k in range(4)}
+    assert R.residue(spark.createDataFrame(rows[:2], SCHEMA)).count() == 0
