@@ -13,8 +13,10 @@ README gives figures.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,18 +26,24 @@ from pyspark.sql import functions as F
 # Element names of HTML and TEI that count as tags also without attributes.
 # Names that are Latin words too (ab, ex, num, a, in, si ...) are left to the rule on closed pairs.
 NAMES = """
-abbr address app article aside author b back bibl big blockquote body br byline caption cb center choice cit closer code col corr date dd del
+abbr address app article aside author b back bibl big blockquote body br byline caption cb cell center choice cit closer code col corr date dd del
 desc div dl dt em emph epigraph expan fig figcaption figdesc figure font footer foreign formula front gap graphic group h1 h2 h3 h4 h5 h6 head header
 hi hr html i iframe img ins item kbd l label lb lem lg li link list mark math mentioned milestone name nav noscript note ol opener option
-orig p pb pc persname placename poem pre q quote rdg ref reg rend rs s samp script section seg sic small sp span speaker stage strike strong style sub sup
+orig p pb pc persname placename poem pre q quote rdg ref reg rend row rs s samp script section seg sic small sp span speaker stage strike strong style sub sup
 supplied surplus svg table tbody td tei text tfoot th thead title tr trailer tt u ul unclear var w
 """.split()
 # What an element means for the text.
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "head": 2, "title": 1}
 ITEMS = {"li", "item", "dt", "dd"}
 CODE = {"pre", "code", "tt", "samp", "kbd"}
-BLOCKS = {"p", "div", "ab", "lg", "l", "blockquote", "ul", "ol", "list", "section", "article", "table", "tr", "body", "text", "center", "dl", "figure"}
-DROPPED = {"note", "ref", "script", "style", "noscript", "teiheader", "facsimile", "figure", "graphic", "sic", "abbr", "orig"}
+LISTS = {"ul", "ol", "dl", "list"}
+ROWS = {"tr", "row"}
+CELLS = {"td", "th", "cell"}
+BLOCKS = {"p", "div", "ab", "lg", "l", "blockquote", "section", "article", "table", "body", "text", "center", "figure", "figcaption", "caption", "label"}
+DROPPED = {"note", "script", "style", "noscript", "teiheader", "facsimile", "figure", "graphic", "sic", "abbr", "orig"}
+# Attributes by which an element is the footnote of a wiki, and what an element holds that is then kept.
+FOOTNOTES = ("name", "group")
+CAPTIONS = "figcaption"
 BREAKS = {"br", "lb", "hr"}
 SPACES = {"pb", "cb", "milestone", "space", "gap"}
 
@@ -46,7 +54,8 @@ BROKEN_TAG = re.compile(
     rf"<[A-Za-z][\w:.-]*\s+[\w:.-]+\s*=|\b[\w:.-]+=\"[^\"\n<>]*\"\s*/?>|</[A-Za-z][\w:.-]*|<(?:{'|'.join(NAMES)})\s*$|(?<![<\w/-])/(?:{'|'.join(NAMES)})>", re.I | re.M
 )
 ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,30});|&#[xX]?[0-9a-fA-F]+|&(?:lt|gt|amp|nbsp|quot|apos)\b")
-LATEX = re.compile(r"\\[A-Za-z]+\*?|\\[^\w\s]|\\\s|\\$|\$[^$\n]+\$")
+_DOLLARS = r"\$(?=\S)(?:[^$\n]*[^$\s])?\$(?!\d)"
+LATEX = re.compile(rf"\\[A-Za-z]+\*?|\\[^\w\s]|\\\s|\\$|(?<!\$){_DOLLARS}|\$\$[^$]+\$\$")
 FENCE = re.compile(r"^[ \t]*(?:```|~~~).*$", re.M)
 EMPHASIS = re.compile(
     r"(?<![*\w])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![*\w])|(?<!\*)\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*(?!\*)|(?<!\*)\*\*\*(?=[^\s*])(?:[^*\n]*[^\s*])?\*\*\*(?!\*)"
@@ -66,18 +75,27 @@ RULE = re.compile(r"^[ \t]*(?:-{3,}|_{3,}|={3,})[ \t]*$", re.M)
 SUSPECT = r"[<>&\\$`#{|'=_\[*~\-+]|\]\]|[:;][#:;]"
 
 
-def is_tag(m: re.Match, text: str) -> bool:
-    """A tag, not a word in angle brackets: it closes, has attributes, is empty, has a known name, or is closed later."""
-    name = m["name"]
-    if m["close"] or m["attributes"] or m["empty"] or name.lower().rpartition(":")[2] in NAMES:
-        return True
-    return f"</{name}>" in text
+_KNOWN = frozenset(NAMES)
+_CLOSER = re.compile(r"</([A-Za-z][\w.:-]*)>")
+
+
+def tags_of(text: str) -> Iterator[re.Match]:
+    """Tags, not words in angle brackets: they close, have attributes, are empty, have a known name, or are closed somewhere."""
+    closed = None
+    for m in TAG.finditer(text):
+        name = m["name"]
+        if not (m["close"] or m["attributes"] or m["empty"] or name.lower().rpartition(":")[2] in _KNOWN):
+            if closed is None:
+                closed = set(_CLOSER.findall(text))
+            if name not in closed:
+                continue
+        yield m
 
 
 def kinds_of(text: str) -> list[str]:
     """Which markup a text holds: html, entity, latex, markdown, wiki; sorted."""
     found = set()
-    if COMMENT.search(text) or any(is_tag(m, text) for m in TAG.finditer(text)) or BROKEN_TAG.search(text):
+    if COMMENT.search(text) or next(tags_of(text), None) or BROKEN_TAG.search(text):
         found.add("html")
     if ENTITY.search(text):
         found.add("entity")
@@ -123,14 +141,41 @@ def _argument(text: str, at: int) -> tuple[str, int]:
 
 # LaTeX commands by what becomes of them.
 LATEX_HEADINGS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
-LATEX_DROPPED = {"footnote", "label", "ref", "cite", "index", "vspace", "hspace", "pagestyle", "usepackage", "documentclass", "marginpar"}
-LATEX_SIGNS = {"S": "§", "P": "¶", "dag": "†", "ddag": "‡", "ldots": "…", "dots": "…", "textbackslash": "", "ss": "ß", "ae": "æ", "oe": "œ", "item": _block("list")}
+LATEX_DROPPED = {
+    "footnote", "footnotemark", "footnotetext", "label", "ref", "pageref", "cite", "citep", "citet", "index", "vspace", "hspace", "pagestyle", "thispagestyle", "usepackage", "documentclass", "marginpar", "includegraphics", "input", "bibliography",
+    "setlength", "setcounter", "begin", "end",
+}
+LATEX_SWITCHES = set(
+    "bfseries itshape scshape ttfamily sffamily rmfamily mdseries upshape slshape normalfont em bf it sc tt sl tiny scriptsize footnotesize small normalsize large Large LARGE huge Huge centering raggedright "
+    "raggedleft noindent indent par newline linebreak newpage clearpage pagebreak bigskip medskip smallskip quad qquad hfill vfill maketitle tableofcontents hline left right displaystyle sic".split()
+)
+LATEX_SIGNS = {"S": "§", "P": "¶", "dag": "†", "ddag": "‡", "ldots": "…", "dots": "…", "textbackslash": "", "ss": "ß", "ae": "æ", "oe": "œ", "AE": "Æ", "OE": "Œ", "o": "ø", "copyright": "©", "pounds": "£", "times": "×", "leq": "≤", "geq": "≥"}
+#: Arguments between which a sign stands, and those that only say how the last one is set.
+LATEX_JOINED = {"frac": "/", "tfrac": "/", "dfrac": "/"}
+LATEX_LAST = {"href", "textcolor", "colorbox", "raisebox", "parbox", "multicolumn", "foreignlanguage"}
+_COMMAND = re.compile(r"\\([A-Za-z]+)\*?|\\(.?)", re.S)
+_OPTION = re.compile(r"\[[^\]\n]*\](?=\{)")
+
+
+def _sign(name: str) -> str | None:
+    """The sign that a command without arguments stands for: a fixed one, or a Greek letter by its name."""
+    if name in LATEX_SIGNS:
+        return LATEX_SIGNS[name]
+    name = name.removeprefix("var")
+    try:
+        return unicodedata.lookup(f"GREEK {'SMALL' if name.islower() else 'CAPITAL'} LETTER {name.upper().replace('LAMBDA', 'LAMDA')}") if name.lower() == name or name.istitle() else None
+    except KeyError:
+        return None
 
 
 def _latex(text: str) -> str:
     """LaTeX to text; formulas become blocks of their own."""
-    text = re.sub(r"\\\[(.*?)\\\]|\$\$(.+?)\$\$", lambda m: _block("formula") + (m[1] or m[2] or "").strip().replace("\\", END) + _block("text"), text, flags=re.S)
-    text = re.sub(r"\\\((.*?)\\\)|\$([^$\n]+)\$", lambda m: _block("formula") + (m[1] or m[2] or "").strip().replace("\\", END) + _block("text"), text, flags=re.S)
+
+    def formula(m: re.Match) -> str:
+        return _block("formula") + next(g for g in (*m.groups(), "") if g is not None).strip().replace("\\", END) + _block("text")
+
+    text = re.sub(r"\\\[(.*?)\\\]|\$\$(.+?)\$\$", formula, text, flags=re.S)
+    text = re.sub(r"\\\((.*?)\\\)|\$(?=\S)([^$\n]*[^$\s])\$(?!\d)", formula, text, flags=re.S)
     if "\\" in text:
         text = re.sub(r"(?<=\S)~(?=\S)", " ", text)
     out, at = [], 0
@@ -140,32 +185,66 @@ def _latex(text: str) -> str:
             out.append(text[at:])
             return "".join(out)
         out.append(text[at:to])
-        m = re.compile(r"\\([A-Za-z]+)\*?|\\(.?)", re.S).match(text, to)
+        m = _COMMAND.match(text, to)
         at, name = m.end(), m[1]
         if name is None:
             out.append("\n" if m[2] == "\\" else m[2] if m[2] in "&%$#_{}" else " ")
-        elif name in ("begin", "end"):
-            _, at = _argument(text, at)
-            out.append("\n")
-        elif name in LATEX_SIGNS:
-            out.append(LATEX_SIGNS[name])
-        else:
+            continue
+        if name == "item":
+            out.append(_block("list", 1))
+            continue
+        arguments = []
+        while len(arguments) < 9:
+            if option := _OPTION.match(text, at):
+                at = option.end()
+            if not text.startswith("{", at):
+                break
             inside, at = _argument(text, at)
-            if name in LATEX_HEADINGS:
-                out.append(_block("heading", LATEX_HEADINGS[name]) + _latex(inside) + _block("text"))
-            elif name not in LATEX_DROPPED:
-                out.append(_latex(inside))
+            arguments.append(inside)
+        if name in ("begin", "end"):
+            out.append("\n")
+        elif name in LATEX_HEADINGS and arguments:
+            out.append(_block("heading", LATEX_HEADINGS[name]) + _latex(arguments[0]) + _block("text"))
+        elif name in LATEX_DROPPED:
+            continue
+        elif arguments:
+            if name in LATEX_LAST:
+                arguments = arguments[-1:]
+            sign = _sign(name)
+            out.append((sign or "") + LATEX_JOINED.get(name, " ").join(map(_latex, arguments)))
+        elif name not in LATEX_SWITCHES:
+            sign = _sign(name)
+            out.append(name if sign is None else sign)  # a command that is not known is text, as far as one can tell
+
+
+_REFERENCE_MARK = re.compile(r"\s*\d+\s*</sup>", re.I)
+_CHOICE_END = re.compile(r"</(?:\w+:)?choice\s*>", re.I)
+
+
+@functools.cache
+def _ender(name: str) -> re.Pattern:
+    return re.compile(rf"</(?:\w+:)?{re.escape(name)}\s*>", re.I)
 
 
 def _tags(text: str) -> str:
     """HTML and TEI to text."""
     out: list[str] = []
     dropped: list[str] = []  # open elements whose content is left out
-    choices = 0
+    choices = lists = 0
+    cells = 0  # of the row
     at = 0
-    for m in TAG.finditer(text):
-        if not is_tag(m, text):
-            continue
+    gone: set[str] = set()  # names that no tag closes any more
+
+    def closed_later(name: str, pattern: re.Pattern) -> re.Match | None:
+        """Whether a tag closes the name from here on; asked once more only where it did."""
+        if name in gone:
+            return None
+        m = pattern.search(text, at)
+        if not m:
+            gone.add(name)
+        return m
+
+    for m in tags_of(text):
         if not dropped:
             out.append(text[at : m.start()])
         at = m.end()
@@ -178,19 +257,33 @@ def _tags(text: str) -> str:
                 dropped.append(name)
             continue
         choices += (name == "choice") * (-1 if close else 1)
-        drops = name in DROPPED and (name not in ("sic", "abbr", "orig") or choices > 0 and "</choice>" in text[at:])
-        if name == "sup" and not close and re.match(r"\s*\d+\s*</sup>", text[at:], re.I):
+        drops = name in DROPPED and (name not in ("sic", "abbr", "orig") or (choices > 0 and closed_later("choice", _CHOICE_END)))
+        if name == "ref":
+            drops = any(re.search(rf"\b{a}\s*=", m["attributes"]) for a in FOOTNOTES)
+        if name == "sup" and not close and _REFERENCE_MARK.match(text, at):
             drops = True
-        if drops:
-            closes = not close and not empty and re.search(rf"</(?:\w+:)?{name}\s*>", text[at:], re.I)
-            if closes:
+        if name == "figure" and not close:
+            end = closed_later(name, _ender(name))
+            drops = bool(end) and text.find(f"<{CAPTIONS}", at, end.start()) < 0
+        if drops and not (close and name == "figure"):
+            if not close and not empty and closed_later(name, _ender(name)):
                 dropped.append(name)
         elif name in HEADINGS:
             out.append(_block("text") if close else _block("heading", HEADINGS[name]))
         elif name in ITEMS:
-            out.append(_block("text") if close else _block("list"))
+            out.append(_block("text") if close else _block("list", max(1, lists)))
+        elif name in LISTS:
+            lists = max(0, lists + (-1 if close else not empty))
+            out.append(_block("text"))
         elif name in CODE:
             out.append(_block("text") if close else _block("code"))
+        elif name in ROWS:
+            cells = 0
+            out.append(_block("text") if close else _block("table"))
+        elif name in CELLS:
+            if not close:
+                out.append("\t" if cells else "")
+                cells += 1
         elif name in BREAKS or name in BLOCKS:
             out.append("\n")
         elif name in SPACES:
@@ -202,6 +295,30 @@ def _tags(text: str) -> str:
     return re.sub(rf"<(?:{'|'.join(NAMES)})\s*$|(?<![<\w/-])/(?:{'|'.join(NAMES)})>", "", left, flags=re.I | re.M)
 
 
+_NUMBERED = re.compile(r"^([ \t]*)(\d{1,3})([.)])[ \t]+(?=\S)(.*)$", re.M)
+
+
+def _ordered(text: str) -> str:
+    """Lines that count up from 1 or so, two at least one after another, are a list; their numbers stay."""
+    found = list(_NUMBERED.finditer(text))
+    runs: list[list[re.Match]] = []
+    for m in found:
+        last = runs[-1][-1] if runs else None
+        if last and text[last.end() : m.start()] == "\n" and int(m[2]) == int(last[2]) + 1 and m[3] == last[3]:
+            runs[-1].append(m)
+        else:
+            runs.append([m])
+    out, at = [], 0
+    for run in runs:
+        if len(run) < 2:
+            continue
+        for m in run:
+            out += [text[at : m.start()], _block("list", len(m[1].expandtabs(4)) // 2 + 1), f"{m[2]}{m[3]} {m[4]}", _block("text")]
+            at = m.end()
+    out.append(text[at:])
+    return "".join(out)
+
+
 def _lines(text: str) -> str:
     """Markdown and wiki to text, line by line where the line is of a kind."""
     text = re.sub(r"^\[\^[^\]\s]+\]:.*$", "", text, flags=re.M)
@@ -217,15 +334,22 @@ def _lines(text: str) -> str:
 
     text = re.sub(r"^[ \t]*\|.*\|[ \t]*$", row, text, flags=re.M)
     text = re.sub(r"^[ \t]*(?:\{\|.*|\|[-}].*)$", "", text, flags=re.M)
-    text = re.sub(rf"{LIST.pattern}(.*)$", lambda m: _block("list") + m[1] + _block("text"), text, flags=re.M)
+    text = _ordered(text)
+    text = re.sub(rf"({LIST.pattern})(.*)$", lambda m: _block("list", _depth(m[1])) + m[2] + _block("text"), text, flags=re.M)
     text = QUOTE.sub("", text)
     for _ in range(2):  # emphasis within emphasis
         text = EMPHASIS.sub(lambda m: m.group().strip("*_~`'"), text)
     return text
 
 
+def _depth(mark: str) -> int:
+    """The depth of an item: by the signs of a wiki, or by its indentation."""
+    signs = mark.strip()
+    return len(signs) if len(signs) > 1 else len(mark[: len(mark) - len(mark.lstrip())].expandtabs(4)) // 2 + 1
+
+
 def blocks_of(text: str) -> list[tuple[str, int, str]]:
-    """(kind, level, text) of the blocks of a text, in order: heading, list, code, formula, table, text."""
+    """(kind, level, text) of the blocks of a text, in order: heading, list, code, formula, table, text; items have their depth as level."""
     text = text.replace(MARK, "").replace(END, "").replace("\r\n", "\n")
     kept: list[str] = []
 
@@ -245,6 +369,8 @@ def blocks_of(text: str) -> list[tuple[str, int, str]]:
         if not k % 2:
             kind, level = part.split()
             continue
+        if kind == "table":
+            part = re.sub(r"[ \n]*\t[ \n]*", "\t", re.sub(r"\n+", " ", part.strip("\n ")))
         body = part.strip("\n") if kind == "code" else "\n".join(" ".join(line.split(" ")).strip() for line in part.split("\n"))
         body = re.sub(r"\n{2,}", "\n", re.sub(r" {2,}", " ", body)).strip()
         if body:

@@ -21,6 +21,13 @@ def p1_clean(spark: SparkSession, root: str) -> DataFrame:
     return cleaned(_table(spark, root, "passages")).select("passage_id", "clean_text", "blocks")
 
 
+def p1_editions(spark: SparkSession, root: str) -> DataFrame:
+    """The reading text of whole editions, also of those that are not well-formed: of each choice the reading, no notes."""
+    from .markup import cleaned
+
+    return cleaned(_table(spark, root, "editions").select("edition_id", "content"), "content").select("edition_id", "clean_text", "blocks")
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -115,6 +122,6 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p2_found, p2_classes, p2_links, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
+        p1_found, p1_clean, p1_editions, p2_found, p2_classes, p2_links, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
     )
 }
