@@ -150,34 +150,34 @@ def folded(text: str) -> str:
     return text.lower()
 
 
-def needs(tree: Iterable) -> list[frozenset[str]]:
-    """Sets of lower-case literals of a parsed pattern: what it matches holds one of each set.  A 0 is no literal: it may be a masked number."""
+def needs(tree: Iterable, case: bool) -> list[frozenset[str]]:
+    """Sets of literals of a parsed pattern, in lower case unless `case` counts: what it matches holds one of each set.  A 0 is no literal: it may be a masked number."""
     out, run = [], ""
     for op, arg in [*tree, (None, None)]:
         if op is _constants.AT:
             continue
         if op is _constants.LITERAL and chr(arg) != "0":
-            run += chr(arg).lower()
+            run += chr(arg) if case else chr(arg).lower()
             continue
         if run.strip():
             out.append(frozenset([run]))
         run = ""
         if op is _constants.SUBPATTERN:
-            out += needs(arg[3])
+            out += needs(arg[3], case)
         elif op is _constants.MAX_REPEAT and arg[0]:
             item = list(arg[2])
-            out += needs(item * arg[0] if len(item) == 1 and item[0][0] is _constants.LITERAL else item)
+            out += needs(item * arg[0] if len(item) == 1 and item[0][0] is _constants.LITERAL else item, case)
         elif op is _constants.BRANCH:
-            arms = [needs(arm) for arm in arg[1]]
+            arms = [needs(arm, case) for arm in arg[1]]
             if all(arms):
                 out.append(frozenset().union(*(max(arm, key=lambda s: min(map(len, s))) for arm in arms)))
     return out
 
 
-#: Each rule and the literals that it needs; they are derived, so that no line that a rule matches is passed over.
-NEEDS = [(p, needs(_parser.parse(p))) for rules in (RULES, WIDESPREAD) for patterns in rules.values() for p in patterns]
-#: All literals of NEEDS: a line without any of them, and not made of a few words over and over, is in no class.
-TRIGGERS = sorted({t for _, sets in NEEDS for s in sets for t in s})
+#: Each rule, whether case counts in it, and the literals that it needs; they are derived, so that no line that a rule matches is passed over.
+NEEDS = [(p, case, needs(_parser.parse(p), case)) for rules in (RULES, WIDESPREAD) for patterns in rules.values() for p in patterns for case in [not p.startswith("(?i)")]]
+#: All literals of NEEDS in lower case: a line without any of them, and not made of a few words over and over, is in no class.
+TRIGGERS = sorted({t.lower() for _, _, sets in NEEDS for s in sets for t in s})
 
 #: A line of at least so many words of which at most a third are distinct is filler.
 MONOTONE_WORDS = 6
@@ -256,12 +256,13 @@ class Prefilter:
 
     def __init__(self) -> None:
         whole = sum(map(len, RULES.values()))
-        self.rules = [(re.compile(pattern), sets, k < whole) for k, (pattern, sets) in enumerate(NEEDS)]
+        self.rules = [(re.compile(pattern), [{(case, t) for t in s} for s in sets], k < whole) for k, (pattern, case, sets) in enumerate(NEEDS)]
+        self.triggers = self._literals(self.rules)
 
     def __call__(self, text: str) -> Iterator[str]:
         """The masked forms of those lines."""
-        rules = self._possible(text, self.rules, TRIGGERS)
-        triggers = {t for _, sets, _ in rules for s in sets for t in s}
+        rules = self._possible(text, self.rules, self.triggers)
+        triggers = self._literals(rules)
         for line in text.split("\n"):
             possible = self._possible(line, rules, triggers) if rules else rules
             if monotone(line):
@@ -273,9 +274,13 @@ class Prefilter:
                     yield masked
 
     @staticmethod
-    def _possible(text: str, rules: list, triggers: Iterable[str]) -> list:
+    def _literals(rules: list) -> set[tuple[bool, str]]:
+        return {t for _, sets, _ in rules for s in sets for t in s}
+
+    @staticmethod
+    def _possible(text: str, rules: list, triggers: Iterable[tuple[bool, str]]) -> list:
         low = folded(text)
-        held = {t for t in triggers if t in low}
+        held = {t for t in triggers if t[1] in (text if t[0] else low)}
         return [rule for rule in rules if all(not held.isdisjoint(s) for s in rule[1])]
 
 
