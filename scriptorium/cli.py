@@ -7,11 +7,11 @@ import argparse
 from pyspark.sql import functions as F
 
 from .operators import editions as E
-from .operators.catalog import group_by_author, name_search, ordered_authors
+from .operators.catalog import author_works, in_order, name_search
 from .operators.fulltext import Index, search
 from .operators.links import document_url, identifiers
 from .session import get_spark
-from .sources.corpus import scan_catalogs, scan_editions, with_headers
+from .sources.corpus import catalogs_above, open_edition, scan_editions, with_headers
 from .sources.sinks import build_index
 
 
@@ -47,16 +47,17 @@ def main(argv: list[str] | None = None) -> int:
         for r in search(index, a.query, a.limit).toLocalIterator():
             print(f"{r.rn}\t{r.file}\t{r.ref}\t{r.snippet}")
         return 0
-    found = scan_editions(spark, a.root)
     if a.command == "catalog":
-        for g in ordered_authors(group_by_author(name_search(with_headers(found), a.query))).toLocalIterator():
-            print(f"{g.author} ({g.id}): {g.n_works}")
-            for w in g.works:
-                print(f"  {w.title or w.work_id}\t{w.file}")
+        author = None
+        for w in in_order(author_works(name_search(with_headers(scan_editions(spark, a.root)), a.query))).toLocalIterator():
+            if w.author != author:
+                author = w.author
+                print(f"{w.author} ({w.id}): {w.n_works}")
+            print(f"  {w.title or w.work_id}\t{w.file}")
         return 0
-    one = found.filter(F.col("file") == a.file)
+    one = open_edition(spark, a.root, a.file)
     if a.command == "passage":
-        urn = identifiers(one, scan_catalogs(spark, a.root))
+        urn = identifiers(one, catalogs_above(spark, a.root, a.file), F.col("ord"))
         link = document_url(F.lit(a.dts_base), F.col("identifier"), F.lit(a.ref or ""), F.lit(a.tree or ""))
         rows = E.passage(one, a.file, a.ref, a.tree, a.format).join(urn, "file").withColumn("url", link).collect()
         if not rows:

@@ -79,32 +79,16 @@ def quote_plus(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+def quote_path(c: Column) -> Column:
+    """Percent-encoding of paths: slashes stay, a space is %20."""
+    return F.replace(F.replace(quote_plus(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
 def first_filled(*columns: Column) -> Column:
     """The first column that is neither null nor empty, else the empty string."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))
 
 
-def flag(c: Column) -> Column:
-    """True for 1, true, yes and on, whatever the case and white space around; false for others and null."""
-    return F.coalesce(F.lower(strip(c)).isin("1", "true", "yes", "on"), F.lit(False))
-
-
-def heading_tag(depth: Column) -> Column:
-    """h2 to h6 by the number of divisions around a heading."""
-    return F.concat(F.lit("h"), F.least(F.greatest(depth + 1, F.lit(2)), F.lit(6)).cast("string"))
-
-
-def rend_class(c: Column) -> Column:
-    """The class of a highlighted span; `tei-hi` alone where there is no @rend."""
-    named = F.concat(F.lit("tei-hi tei-rend-"), F.regexp_replace(normalize_space(c), r"\s+", "-"))
-    return F.coalesce(named, F.lit("tei-hi"))
-
-
-def nbsp_run(quantity: Column) -> Column:
-    """As many no-break spaces as @quantity says, 1 if it is absent; null if it is no integer."""
-    return F.repeat(F.lit(" "), F.coalesce(quantity, F.lit("1")).try_cast("int"))
-
-
 def path_key(c: Column) -> Column:
     """Sort key of paths: component by component."""
     return F.split(c, "/")

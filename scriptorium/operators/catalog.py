@@ -43,6 +43,16 @@ def inside(path: Column) -> Column:
     return F.coalesce(~path.startswith("/") & ~r.startswith("../") & (r != "..") & (r != ""), F.lit(False))
 
 
+def leads_inside(path: str) -> bool:
+    """The same for one name, on the driver."""
+    depth = 0
+    for part in path.split("/"):
+        depth += 0 if part in ("", ".") else -1 if part == ".." else 1
+        if depth < 0:
+            return False
+    return depth > 0 and not path.startswith("/")
+
+
 def works(df: DataFrame, file: str = "file") -> DataFrame:
     """(file, author_id, work_id, title, author), empty rather than null; one row for each row of `df` with a file."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -91,6 +101,23 @@ def ordered_authors(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.lower("author"), "first")
 
 
+def numbered_authors(groups: DataFrame) -> DataFrame:
+    """The same with each group's `place` in that order."""
+    keyed = groups.withColumns({"_all": F.lit(0), "_name": F.lower("author")})
+    return OrderedGroups(keyed, ["_all"], ["_name", "first"]).numbered().drop("_all", "_name")
+
+
+def in_order(works_of_authors: DataFrame) -> DataFrame:
+    """The flat rows of `author_works` by author name and place: a range sort, which no author's rows need to fit in one task for."""
+    return works_of_authors.orderBy(F.lower("author"), "author", "place")
+
+
+def totals(catalog: DataFrame) -> DataFrame:
+    """One row: authors, as they are grouped, and works."""
+    key = first_filled(F.col("author"), F.col("author_id"))
+    return catalog.groupBy(key.alias("key")).agg(F.count("*").alias("n")).agg(F.count("*").alias("n_authors"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_works"))
+
+
 def author_works(catalog: DataFrame) -> DataFrame:
     """(author, id, n_works, place, file, work_id, title): the groups as flat rows, `place` counting within the author."""
     key = first_filled(F.col("author"), F.col("author_id"))

@@ -1,10 +1,11 @@
 """Full-text search: inverted index, conjunctive and phrase matching, BM25, snippets, top k.
 
-The index is two tables.  `postings` has a row for each token of the searchable
-columns; written, it is partitioned by a hash of the term and sorted by term, so
-that a query reads the row groups of its terms.  `docstats` has the length of
-every passage.  A query aggregates the postings of its terms to one row per
-passage, takes the top k of those, and only then joins the k passages.
+A written index has four tables.  `postings` has a row for each token of the
+searchable columns, with the length of its passage; it is partitioned by a hash
+of the term and sorted by term, so that a query reads the row groups of its
+terms and nothing else for the scores.  `terms` says how many passages have a
+term.  `docstats` has the length of every passage, and `passages` are sorted by
+their id, so that the k best are looked up by it.
 """
 
 from __future__ import annotations
@@ -22,15 +23,29 @@ from ..session import spread, written
 
 COLUMNS = ("title", "author", "text")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Hash buckets of the written postings.
+#: Hash buckets of the written postings and terms, and files over which the postings of one term spread.
 TERM_BUCKETS = 64
+SPREAD = 8
+#: Hits up to which passages are looked up by the ids found; more are joined.
+LOOKED_UP = 1000
 
 
 def postings(passages: DataFrame, id_col: str = "passage_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(term, passage_id, col, pos): every token of every searchable column; null columns have none."""
+    return posted(passages, id_col, columns).drop("dl")
+
+
+def posted(passages: DataFrame, id_col: str = "passage_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """Postings with the length of their passage."""
     parts = F.array(*(F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("terms")) for c in columns))
-    each = passages.select(F.col(id_col).alias("passage_id"), F.explode(parts).alias("p"))
-    return each.select("passage_id", F.col("p.col").alias("col"), F.posexplode("p.terms").alias("pos", "term")).select("term", "passage_id", "col", "pos")
+    each = passages.select(F.col(id_col).alias("passage_id"), parts.alias("p"))
+    length = F.aggregate("p", F.lit(0), lambda n, x: n + F.size(x["terms"])).alias("dl")
+    each = each.select("passage_id", length, F.explode("p").alias("p")).select("passage_id", "dl", F.col("p.col").alias("col"), F.posexplode("p.terms").alias("pos", "term"))
+    return each.select("term", "passage_id", "col", "pos", "dl")
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
 def docstats(passages: DataFrame, id_col: str = "passage_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -52,11 +67,12 @@ def phrases_of(raw: str) -> list[list[str]]:
 
 @dataclass
 class Index:
-    """The tables a query reads; of a written index also how many passages there are, and how many tokens they have in all."""
+    """The tables a query reads; of a written index also its terms, how many passages there are, and how many tokens they have in all."""
 
     postings: DataFrame
     docstats: DataFrame
     passages: DataFrame
+    terms: DataFrame | None = None
     known: tuple[int, int] | None = None
 
     @classmethod
@@ -76,14 +92,20 @@ class Index:
         return self.known or tuple(self.docstats.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
 
     def write(self, path: str) -> None:
-        """The index as Parquet below `path`; a full rebuild replaces what was there."""
-        # by ranges of term and passage: the postings of a frequent term spread over many files
-        spread = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
-        spread = spread.repartitionByRange("bucket", "term", "passage_id").sortWithinPartitions("bucket", "term", "passage_id", "col", "pos")
+        """The index as Parquet below `path`; a full rebuild replaces what was there.
+
+        Texts are tokenised once for the postings; the terms come from these as
+        they were written.
+        """
+        spark = self.passages.sparkSession
+        rows = posted(self.passages).withColumn("bucket", bucket(F.col("term")))
+        # the postings of a frequent term spread over several files
+        spread = rows.repartition("bucket", F.pmod(F.xxhash64("passage_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "passage_id", "col", "pos")
         spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        stats = term_stats(spark.read.parquet(f"{path}/postings")).withColumn("bucket", bucket(F.col("term")))
+        stats.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         self.docstats.write.mode("overwrite").parquet(f"{path}/docstats")
-        self.passages.write.mode("overwrite").parquet(f"{path}/passages")
-        spark = self.passages.sparkSession
+        self.passages.repartitionByRange("passage_id").sortWithinPartitions("passage_id").write.mode("overwrite").parquet(f"{path}/passages")
         totals = spark.read.parquet(f"{path}/docstats").agg(F.count("*").alias("total"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
         totals.write.mode("overwrite").parquet(f"{path}/totals")
 
@@ -97,31 +119,41 @@ class Index:
                 return None
             raise
         try:
-            row = spark.read.parquet(f"{path}/totals").first()
-        except Exception:  # an index that is still growing has none
-            row = read["docstats"].agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return cls(read["postings"], read["docstats"], read["passages"], (row[0], row[1]))
+            row, terms = spark.read.parquet(f"{path}/totals").first(), spark.read.parquet(f"{path}/terms")
+        except Exception:  # an index that is still growing has neither
+            row, terms = read["docstats"].agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first(), None
+        return cls(read["postings"], read["docstats"], read["passages"], terms, (row[0], row[1]))
 
     def of_terms(self, terms: list[str]) -> DataFrame:
-        found = self.postings
-        if "bucket" in found.columns:
-            spark = found.sparkSession
-            at = spark.range(1).select(F.array(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(TERM_BUCKETS)).cast("int") for t in terms))).first()[0]
-            found = found.filter(F.col("bucket").isin(sorted(set(at))))
-        return found.filter(F.col("term").isin(terms)).select("term", "passage_id", "col", "pos")
+        """The postings of some terms, with the length of their passages."""
+        return self._of(self.postings, terms)
+
+    def document_frequencies(self, terms: list[str]) -> dict[str, int]:
+        """In how many passages each term is."""
+        rows = self._of(self.terms, terms) if self.terms is not None else term_stats(self.of_terms(terms))
+        return dict.fromkeys(terms, 0) | {r.term: r.df for r in rows.select("term", "df").collect()}
+
+    def _of(self, table: DataFrame, terms: list[str]) -> DataFrame:
+        if "bucket" in table.columns:
+            at = table.sparkSession.range(1).select(F.array(*(bucket(F.lit(t)) for t in terms))).first()[0]
+            table = table.filter(F.col("bucket").isin(sorted(set(at))))
+        return table.filter(F.col("term").isin(terms))
+
+    def looked_up(self, ids: list[int]) -> DataFrame:
+        """Some passages; a written index reads the row groups that may have them."""
+        return self.passages.filter(F.col("passage_id").isin(ids))
 
 
 def occurrences(index: Index, phrase: list[str]) -> DataFrame:
-    """(passage_id, f): how often a phrase stands in a passage, its tokens adjacent in one column."""
+    """(passage_id, f, dl): how often a phrase stands in a passage, its tokens adjacent in one column, and the passage's length."""
     posted = index.of_terms(sorted(set(phrase)))
     if len(phrase) == 1:
-        return posted.groupBy("passage_id").agg(F.count("*").alias("f"))
-    places = reduce(
-        lambda a, b: a.union(b),
-        (posted.filter(F.col("term") == t).select("passage_id", "col", (F.col("pos") - k).alias("at"), F.lit(k).alias("k")) for k, t in enumerate(phrase)),
-    )
-    whole = places.groupBy("passage_id", "col", "at").agg(F.count("*").alias("n")).filter(F.col("n") == len(phrase))
-    return whole.groupBy("passage_id").agg(F.count("*").alias("f"))
+        return posted.groupBy("passage_id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
+    # each token once for every place in the phrase where it stands
+    places = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for k, t in enumerate(phrase)))
+    at = posted.select("passage_id", "col", "pos", "dl", F.explode(F.filter(places, lambda x: x["t"] == F.col("term"))).alias("x"))
+    whole = at.groupBy("passage_id", "col", (F.col("pos") - F.col("x.k")).alias("at")).agg(F.count("*").alias("n"), F.first("dl").alias("dl")).filter(F.col("n") == len(phrase))
+    return whole.groupBy("passage_id").agg(F.count("*").alias("f"), F.first("dl").alias("dl"))
 
 
 def scores(index: Index, raw: str) -> DataFrame:
@@ -136,20 +168,24 @@ def scores(index: Index, raw: str) -> DataFrame:
     times = [sum(p == q for q in phrases) for p in distinct]
     if index.known is None:
         return _scanned(index.passages, distinct, times)
-    if all(len(p) == 1 for p in distinct):
+    single = all(len(p) == 1 for p in distinct)
+    if single:
         terms = [p[0] for p in distinct]
-        slot = F.create_map(*(F.lit(x) for k, t in enumerate(terms) for x in (t, k)))
-        found = index.of_terms(terms).groupBy("passage_id", slot[F.col("term")].alias("slot")).agg(F.count("*").alias("f"))
+        found = index.of_terms(terms).select("passage_id", "dl", *(F.when(F.col("term") == t, 1).alias(f"f{k}") for k, t in enumerate(terms)))
     else:
-        found = reduce(DataFrame.union, (occurrences(index, p).select("passage_id", F.lit(k).alias("slot"), "f") for k, p in enumerate(distinct)))
-    have = found.groupBy("passage_id").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("slot") == k, F.col("f"))).alias(f"f{k}") for k in range(len(distinct))))
-    # how many passages have each phrase: one row, a scalar subquery
-    df = have.agg(F.struct(*(F.count(f"f{k}").alias(f"n{k}") for k in range(len(distinct)))).alias("n")).scalar()
-    both = have.filter(F.col("n") == len(distinct)).join(index.docstats, "passage_id")
+        each = (occurrences(index, p).select("passage_id", "dl", *(F.when(F.lit(k) == j, F.col("f")).alias(f"f{j}") for j in range(len(distinct)))) for k, p in enumerate(distinct))
+        found = reduce(DataFrame.union, each)
+    have = found.groupBy("passage_id").agg(F.first("dl").alias("dl"), *(F.sum(f"f{k}").alias(f"f{k}") for k in range(len(distinct))))
+    both = have.filter(reduce(Column.__and__, (F.col(f"f{k}").isNotNull() for k in range(len(distinct)))))
     total, length = index.known
+    if single:
+        df = index.document_frequencies(terms)
+        hits = F.struct(*(F.lit(df[t]).alias(f"n{k}") for k, t in enumerate(terms)))
+    else:  # phrases are counted: one row, a scalar subquery
+        hits = have.agg(F.struct(*(F.count(f"f{k}").alias(f"n{k}") for k in range(len(distinct)))).alias("n")).scalar()
     # a subquery that is named several times is planned as often, so it becomes a column first
     score = _score(times, F.lit(float(total)), F.lit(length / total if total else 1.0), F.col("s"))
-    return both.withColumn("s", df).select("passage_id", score.alias("score"))
+    return both.withColumn("s", hits).select("passage_id", score.alias("score"))
 
 
 def _score(times: list[int], total: Column, average: Column, df: Column) -> Column:
@@ -257,7 +293,12 @@ def ranked(index: Index, raw: str, k: int = 50, among: DataFrame | None = None)
 def search(index: Index, raw: str, k: int = 50) -> DataFrame:
     """The k best passages: (rn, passage_id, file, tree, ref, title, author, snippet, score)."""
     top = ranked(index, raw, k)
-    rows = index.passages.join(F.broadcast(top), "passage_id")
+    if k <= LOOKED_UP:
+        best = top.collect()
+        found, top = index.looked_up([r.passage_id for r in best]), top.sparkSession.createDataFrame(best, "rn int, passage_id long, score double")
+        rows = found.join(F.broadcast(top), "passage_id")  # k rows
+    else:
+        rows = index.passages.join(top, "passage_id")
     return rows.select("rn", "passage_id", "file", "tree", "ref", "title", "author", snippets(F.col("text"), phrases_of(raw)).alias("snippet"), "score").orderBy("rn")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quote_plus
+from ..functions.text import quote_path, quote_plus
 from .catalog import resolved
 
 # Names of catalog files, the first wins within a directory.
@@ -49,3 +49,9 @@ def document_url(base: Column, identifier: Column, ref: Column, tree: Column) ->
     part = lambda name, c: F.when(c != "", F.concat(F.lit(f"&{name}="), quote_plus(c)))
     query = F.concat(F.lit("resource="), quote_plus(identifier), F.coalesce(part("ref", ref), F.lit("")), F.coalesce(part("tree", tree), F.lit("")))
     return F.concat(F.rtrim(base, F.lit("/")), F.lit("/document/?"), query)
+
+
+def reader_url(file: Column, ref: Column, tree: Column) -> Column:
+    """The reader's own link to a passage: the file as a path, ref and tree as a query; those that are empty or null are left out."""
+    pairs = F.concat_ws("&", *(F.when(c != "", F.concat(F.lit(f"{n}="), quote_plus(c))) for n, c in (("ref", ref), ("tree", tree))))
+    return F.concat(F.lit("/passage/"), quote_path(file), F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""))

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-from ..functions.text import _FROM, _TO, TOKEN_MARKS, fold_text
+import unicodedata
+
+# Fixed values, written apart from the operators: how unicode61 folds.  Marks that are dropped, as ranges of code points;
+# other letters that fold to one; and letters that keep their accent.
+MARKS = "\\x{0300}-\\x{0304}\\x{0306}-\\x{030c}\\x{030f}\\x{0311}\\x{031b}\\x{0323}-\\x{0328}\\x{032d}\\x{032e}\\x{0330}\\x{0331}"
+OTHERS = {0x3C2: 0x3C3, 0xB5: 0x3BC, 0x17F: ord("s"), 0x3D0: 0x3B2, 0x3D1: 0x3B8, 0x3D5: 0x3C6, 0x3D6: 0x3C0, 0x3F0: 0x3BA, 0x3F1: 0x3C1, 0x3F5: 0x3B5}
+KEPT = "\u01e1"
+
+
+def fold(c: str) -> str:
+    """By DuckDB's own strip_accents, on Latin letters with accents only, run by run; Greek ones keep theirs."""
+    latin = f"list_transform(regexp_extract_all({c}, '[\\x{{00c0}}-\\x{{024f}}\\x{{1e00}}-\\x{{1eff}}]|[^\\x{{00c0}}-\\x{{024f}}\\x{{1e00}}-\\x{{1eff}}]+'), lambda x: {_base('x')})"
+    low = f"lower(array_to_string({latin}, ''))"
+    return f"regexp_replace(translate({low}, '{''.join(map(chr, OTHERS))}', '{''.join(map(chr, OTHERS.values()))}'), '[{MARKS}]', '', 'g')"
+
+
+def _base(x: str) -> str:
+    """The ASCII letter that an accented one is made of, if there is one."""
+    return f"CASE WHEN lower({x}) <> '{KEPT}' AND ascii(strip_accents({x})) < 128 AND length(strip_accents({x})) = 1 THEN strip_accents({x}) ELSE {x} END"
+
+
+def fold_term(term: str) -> str:
+    """The same for one term of a query, by the decomposition of its letters."""
+    out = []
+    for ch in term.lower():
+        parts = unicodedata.normalize("NFD", ch)
+        if len(parts) > 1 and parts[0].isascii() and ch != KEPT:
+            ch = parts[0]
+        out.append(chr(OTHERS.get(ord(ch), ord(ch))))
+    return "".join(ch for ch in out if not unicodedata.combining(ch))
 
-MARKS = "".join(f"\\x{{{ord(TOKEN_MARKS[i]):04x}}}" if TOKEN_MARKS[i] != "-" else "-" for i in range(len(TOKEN_MARKS)))
 
 LATEST = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY edition_id DESC) AS k FROM editions) WHERE k = 1"
 WORKS = f"""SELECT file, split_part(file, '/', 1) AS author_id, split_part(file, '/', 2) AS work_id,
   coalesce(title, '') AS title, coalesce(author, '') AS author FROM ({LATEST})"""
 
 
-def fold(c: str) -> str:
-    return f"regexp_replace(translate(lower({c}), '{_FROM}', '{_TO}'), '[{MARKS}]', '', 'g')"
-
-
 def tokens(c: str) -> str:
     return f"regexp_extract_all({fold(f"coalesce({c}, '')")}, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 
@@ -27,7 +51,7 @@ DOCSTATS = f"SELECT passage_id, {' + '.join(f'len({tokens(c)})' for c in ('title
 
 def bm25(phrases: list[list[str]], k: int | None = 50, among: str = "") -> str:
     """Rank, passage and score for phrases of folded tokens."""
-    phrases = [[fold_text(t) for t in p] for p in phrases]
+    phrases = [[fold_term(t) for t in p] for p in phrases]
     words = sorted({t for p in phrases for t in p})
     hits = []
     for i, p in enumerate(phrases):

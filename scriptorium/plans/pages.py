@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import editions
-from ..operators.catalog import author_works, inside, name_search
+from ..operators.catalog import author_works, name_search
 from ..operators.fulltext import Index, search
 from ..operators.links import document_url, identifiers
-from ..sources.corpus import scan_catalogs, scan_editions, with_headers
+from ..sources.corpus import catalogs_above, open_edition, scan_editions, with_headers
 
 
 def is_set(value: str | None) -> bool:
@@ -53,8 +53,8 @@ class Corpus:
         return found, search(self.index, q) if self.index is not None and q.strip() else None
 
     def _file(self, file: str) -> DataFrame:
-        """The edition of that name, or none: names that lead out of the corpus are no editions."""
-        return scan_editions(self.spark, self.root).filter((F.col("file") == file) & inside(F.lit(file)))
+        """The edition of that name, or none; no other file is read."""
+        return open_edition(self.spark, self.root, file)
 
     def document(self, file: str, tree: str | None = None) -> DataFrame:
         """(file, title, author, tree, is_default, ord, level, cite_type, ref): the citable units of the asked or the default tree."""
@@ -72,7 +72,7 @@ class Corpus:
         """
         one = self._file(file)
         body = editions.passage(one, file, ref, tree, mode)
-        named = identifiers(one, scan_catalogs(self.spark, self.root), F.col("ord")).select("file", "identifier")
+        named = identifiers(one, catalogs_above(self.spark, self.root, file), F.col("ord")).select("file", "identifier")
         around = editions.neighbours(editions.units(one).filter("reason is null")).select("file", "tree", "ref", "prev_ref", "next_ref")
         url = document_url(F.lit(self.dts_base), F.col("identifier"), F.lit(ref or ""), F.lit(tree or ""))
         return body.join(named, "file", "left").join(around, ["file", "tree", "ref"], "left").select("file", "tree", "ref", "body", "identifier", url.alias("url"), "prev_ref", "next_ref")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from ..functions import text as T
 from ..operators import catalog, editions, fulltext, links
 from ..operators.inlining import TEI, SharedInlining, nested_elements
 from ..operators.ordered import OrderedGroups
-from ..sources import sinks
+from ..session import new_folder, written
+from ..sources import corpus, sinks
 from ..sources.tables import table
-from . import oracle
+from . import oracle, rules
+from .pages import Corpus, is_set
 from .registry import query
 
 # Catalog
@@ -77,6 +81,17 @@ def path_guard(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", catalog.inside(F.col("path")).alias("ok"))
 
 
+@query(f"""WITH g AS (SELECT coalesce(nullif(author, ''), author_id) AS author, min(string_split(file, '/')) AS first FROM ({oracle.WORKS}) GROUP BY ALL)
+ SELECT row_number() OVER (ORDER BY lower(author), first) AS place, author FROM g""")
+def authors_in_order(spark: SparkSession, root: str) -> DataFrame:
+    return catalog.numbered_authors(catalog.group_by_author(_works(spark, root))).select("place", "author")
+
+
+@query(f"SELECT count(DISTINCT coalesce(nullif(author, ''), author_id)) AS n_authors, count(*) AS n_works FROM ({oracle.WORKS})")
+def catalog_totals(spark: SparkSession, root: str) -> DataFrame:
+    return catalog.totals(_works(spark, root))
+
+
 # Citation and navigation, on the rows of the index
 
 
@@ -167,20 +182,13 @@ def document_tokens(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select("doc_id", T.token_count(F.col("text")).alias("n"))
 
 
-@query("""SELECT o_orderkey, ['1', ' TRUE ', 'Yes', 'on', '0', 'false', '', 'off'][o_orderkey % 8 + 1] AS flag, o_orderkey % 8 < 4 AS value,
- 'h' || least(greatest(o_orderkey % 8 + 1, 2), 6) AS heading, repeat(chr(160), (o_orderkey % 4)::INT) AS run FROM orders""")
-def small_functions(spark: SparkSession, root: str) -> DataFrame:
-    k = F.col("o_orderkey") % 8
-    words = F.array(*map(F.lit, ["1", " TRUE ", "Yes", "on", "0", "false", "", "off"]))
-    flag = F.element_at(words, (k + 1).cast("int"))
-    return table(spark, root, "orders").select(
-        "o_orderkey", flag.alias("flag"), T.flag(flag).alias("value"), T.heading_tag(k).alias("heading"), T.nbsp_run((F.col("o_orderkey") % 4).cast("string")).alias("run")
-    )
+_FLAGS = ["1", " TRUE ", "Yes", "on", "0", "false", "", "off", "\t1\n", "oN", "11", "y"]
 
 
-@query("SELECT p_partkey, 'tei-hi tei-rend-' || regexp_replace(trim(regexp_replace('  ' || p_type || chr(9), '[ \\t\\r\\n]+', ' ', 'g'), ' '), '\\s+', '-', 'g') AS cls FROM part")
-def rend_class(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "part").select("p_partkey", T.rend_class(F.concat(F.lit("  "), F.col("p_type"), F.lit("\t"))).alias("cls"))
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {k in (0, 1, 2, 3, 8, 9)})" for k in range(len(_FLAGS))) + ") AS t(k, on_)")
+def flags(spark: SparkSession, root: str) -> DataFrame:
+    """What counts as on in the environment."""
+    return spark.createDataFrame([(k, is_set(v)) for k, v in enumerate(_FLAGS)], "k int, on_ boolean")
 
 
 # Links
@@ -214,6 +222,13 @@ def dts_url(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "passages").join(found, "file").select("passage_id", url.alias("url"))
 
 
+@query("""SELECT passage_id, '/passage/' || replace(url_encode(file), '%2F', '/') || CASE WHEN coalesce(ref, '') <> '' OR coalesce(tree, '') <> '' THEN '?' ELSE '' END
+ || CASE WHEN ref <> '' THEN 'ref=' || replace(url_encode(ref), '%20', '+') ELSE '' END || CASE WHEN ref <> '' AND tree <> '' THEN '&' ELSE '' END
+ || CASE WHEN tree <> '' THEN 'tree=' || replace(url_encode(tree), '%20', '+') ELSE '' END AS url FROM passages""")
+def reader_url(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "passages").select("passage_id", links.reader_url(F.col("file"), F.col("ref"), F.col("tree")).alias("url"))
+
+
 # Full text
 
 
@@ -261,6 +276,69 @@ def search_top50(spark: SparkSession, root: str) -> DataFrame:
     return fulltext.search(fulltext.Index.over(table(spark, root, "passages")), "τε καὶ", 50)
 
 
+# The same on a written index
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, root: str) -> fulltext.Index:
+    """The written index over the passages, built once for a session."""
+    key = spark.sparkContext.applicationId, root
+    if key not in _INDEXES:
+        path = new_folder(spark, "index")
+        fulltext.Index.over(table(spark, root, "passages")).write(path)
+        _INDEXES[key] = path
+    return fulltext.Index.open(spark, _INDEXES[key])
+
+
+def _indexed(name: str, raw: str, phrases: list[list[str]], k: int | None = 50) -> None:
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        return fulltext.ranked(_index(spark, root), raw, k or 2**31 - 1)
+
+    run.__name__ = name
+    query(oracle.bm25(phrases, k))(run)
+
+
+_indexed("index_single", "ἴπρε", [["ἴπρε"]])
+_indexed("index_and", "τε καὶ τὸν", [["τε"], ["καὶ"], ["τὸν"]])
+_indexed("index_cross_column", "anthologia γὰρ", [["anthologia"], ["γὰρ"]])
+_indexed("index_phrase", "ab_ad et", [["ab", "ad"], ["et"]])
+_indexed("index_repeated_term", "cum ut cum", [["cum"], ["ut"], ["cum"]])
+_indexed("index_all_hits", "δὲ", [["δὲ"]], None)
+
+
+@query(f"SELECT term, count(DISTINCT passage_id) AS df, count(*) AS cf FROM ({oracle.POSTINGS}) GROUP BY term")
+def index_terms(spark: SparkSession, root: str) -> DataFrame:
+    return _index(spark, root).terms.select("term", "df", "cf")
+
+
+@query(f"SELECT 'δὲ' AS q, count(DISTINCT passage_id) AS hits FROM ({oracle.POSTINGS}) WHERE term = 'δὲ' UNION ALL SELECT '', 0")
+def index_hits(spark: SparkSession, root: str) -> DataFrame:
+    """How many passages a search finds; without input none."""
+    i = _index(spark, root)
+    count = lambda q: fulltext.scores(i, q).agg(F.lit(q).alias("q"), F.count("*").alias("hits"))
+    return count("δὲ").unionAll(count(""))
+
+
+_TOKEN = r"[\p{L}\p{N}\p{Co}" + oracle.MARKS + "]+"
+
+
+@query(f"""WITH h AS (SELECT rn, passage_id FROM ({oracle.bm25([["et"]], None)})),
+ t AS (SELECT rn, passage_id, file, ref, regexp_extract_all(text, '{_TOKEN}|[^\\p{{L}}\\p{{N}}\\p{{Co}}{oracle.MARKS}]+') AS parts FROM h JOIN passages USING (passage_id) WHERE len({oracle.tokens("text")}) <= 12)
+ SELECT rn, passage_id, file, ref, array_to_string(list_transform(parts, lambda x: CASE WHEN {oracle.fold("x")} = 'et' THEN '<mark>' || x || '</mark>' ELSE x END), '') AS snippet FROM t""")
+def index_snippets(spark: SparkSession, root: str) -> DataFrame:
+    """Hits and their snippets, of texts that are no longer than one."""
+    found = fulltext.search(_index(spark, root), "et", 2**31 - 1)
+    short = table(spark, root, "passages").filter(T.token_count(F.col("text")) <= 12).select("passage_id")
+    return found.join(short, "passage_id", "left_semi").select("rn", "passage_id", "file", "ref", "snippet")
+
+
+@query()
+def index_search(spark: SparkSession, root: str) -> DataFrame:
+    """The reader's search, on the written index: the top 50 with snippets."""
+    return fulltext.search(_index(spark, root), "τε καὶ", 50)
+
+
 # Export and reports
 
 
@@ -285,6 +363,50 @@ def index_summary(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "passages").groupBy("tree").agg(F.countDistinct("file").alias("n_docs"), F.count("*").alias("n_passages"), F.countDistinct("ref").alias("n_refs"))
 
 
+# Files: written by the sinks, read by the sources
+
+
+def _latest(spark: SparkSession, root: str) -> DataFrame:
+    return catalog.latest(table(spark, root, "editions").select("file", "edition_id", "content"), "edition_id").filter("content is not null")
+
+
+@query(f"""SELECT file, split_part(file, '/', 1) AS author_id, split_part(file, '/', 2) AS work_id, md5(content) AS content FROM ({oracle.LATEST})
+ WHERE content <> '' AND regexp_matches(file, '-(grc|lat)[^/]*\\.xml$')""")
+def edition_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Editions written as files, found and read again."""
+    folder = new_folder(spark, "corpus")
+    sinks.write_files(_latest(spark, root), folder)
+    return corpus.scan_editions(spark, folder).select("file", "author_id", "work_id", F.md5("content").alias("content"))
+
+
+@query(_IDENTIFIERS)
+def catalog_files(spark: SparkSession, root: str) -> DataFrame:
+    """Catalogs written as files, found, parsed and joined; of two identifiers for one file the last wins."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    attribute = lambda c: F.coalesce(F.concat(F.lit(f' {c}="'), escaped(c), F.lit('"')), F.lit(""))
+    entry = F.concat(F.lit("<resource"), attribute("identifier"), attribute("filepath"), F.lit("><title>"), F.coalesce(escaped("title"), F.lit("")), F.lit("</title></resource>"))
+    entries = table(spark, root, "catalog_entries").select(F.concat_ws("/", "catalog_dir", "catalog_name").alias("file"), F.struct("identifier", "filepath", entry.alias("xml")).alias("e"))
+    files = entries.groupBy("file").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    content = F.concat(F.lit("<collection>"), F.array_join(F.transform("e", lambda e: e["xml"]), ""), F.lit("</collection>"))
+    folder = new_folder(spark, "catalogs")
+    sinks.write_files(files.select("file", content.alias("content")), folder)
+    return links.identifiers(table(spark, root, "editions"), corpus.scan_catalogs(spark, folder), F.col("ord"))
+
+
+@query("SELECT to_json({'file': file, 'tree': tree, 'ref': ref, 'title': coalesce(title, ''), 'author': coalesce(author, ''), 'text': text})::VARCHAR AS value FROM passages WHERE text <> ''")
+def jsonl_file(spark: SparkSession, root: str) -> DataFrame:
+    folder = new_folder(spark, "jsonl")
+    sinks.write_jsonl(table(spark, root, "passages").filter("text <> ''").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "author")}), folder)
+    return spark.read.text(folder)
+
+
+@query("SELECT DISTINCT file, reason FROM skip_report")
+def skip_report_file(spark: SparkSession, root: str) -> DataFrame:
+    folder = new_folder(spark, "skipped")
+    sinks.write_skip_report(table(spark, root, "skip_report").select("file", "reason").distinct(), folder)
+    return spark.read.option("sep", "\t").option("header", True).csv(folder, schema="file string, reason string")
+
+
 # Editions: XML to tables.  SQL has no XML; these are tested against independent parsers.
 
 
@@ -387,6 +509,151 @@ def tei_html(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter("level = 2").select("file", "ref", F.col("text").alias("html"))
 
 
+# Each rendering rule, around texts of the benchmark
+
+_QUOTED = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_CASES = ", ".join(f"({_QUOTED(rule)}, {_QUOTED(html)}, {_QUOTED(text)})" for rule, _, html, text in rules.fragments())
+_X = "trim(regexp_replace(text, '[\\s\\pZ]+', ' ', 'g'))"
+
+
+def _rules(spark: SparkSession, root: str) -> DataFrame:
+    x = F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " "))
+    escaped = F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cases = F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(xml).alias("xml")) for rule, xml, _, _ in rules.fragments()))).alias("c")
+    items = table(spark, root, "benchmark").filter(F.col("text").isNotNull()).select("item_id", escaped.alias("x"), cases)
+    return items.select("item_id", "c.rule", F.replace(F.col("c.xml"), F.lit("{x}"), F.col("x")).alias("xml"))
+
+
+@query(f"""SELECT item_id, rule, replace(replace(html, '{{x}}', replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')), '{{a}}', replace(replace(x, '&', '&amp;'), '"', '&quot;')) AS html
+ FROM (SELECT item_id, {_X} AS x FROM benchmark WHERE text IS NOT NULL), (VALUES {_CASES}) AS c(rule, html, txt)""")
+def rules_html(spark: SparkSession, root: str) -> DataFrame:
+    return _rules(spark, root).select("item_id", "rule", editions.rendered(F.col("xml")).alias("html"))
+
+
+@query(f"SELECT item_id, rule, replace(txt, '{{x}}', x) AS text FROM (SELECT item_id, {_X} AS x FROM benchmark WHERE text IS NOT NULL), (VALUES {_CASES}) AS c(rule, html, txt)")
+def rules_text(spark: SparkSession, root: str) -> DataFrame:
+    return _rules(spark, root).select("item_id", "rule", editions.rendered(F.col("xml"), "text").alias("text"))
+
+
+# Citation trees, rejects, counters, headers and nodes of generated editions
+
+_TWO = (
+    """<refsDecl n="lines"><citeStructure match="/TEI/text/body/div[@type='d']" use="@n" unit="d"><citeStructure match="l" use="@n" unit="l" delim="."/></citeStructure></refsDecl>"""
+    """<refsDecl n="flat" default="true"><citeStructure match="/TEI/text/body//l" use="@n" unit="line"/></refsDecl>"""
+)
+
+
+def _two_trees(spark: SparkSession, root: str) -> DataFrame:
+    return _tei(spark, root).withColumn("content", F.regexp_replace("content", "<refsDecl>.*?</refsDecl>", _TWO.replace("$", r"\$")))
+
+
+@query("""SELECT doc_id::VARCHAR AS file, t.* FROM documents, (VALUES ('lines', 0, 0, 1, '/TEI/text/body/div[@type=''d'']', '@n', 'd', NULL), ('lines', 0, 0, 2, 'l', '@n', 'l', '.'),
+ ('flat', 1, 1, 1, '/TEI/text/body//l', '@n', 'line', NULL)) AS t(tree, tree_ord, is_default, level, match, use, unit, delim) WHERE text IS NOT NULL""")
+def tei_trees(spark: SparkSession, root: str) -> DataFrame:
+    """Two trees of rules in each edition, the second one the default."""
+    return editions.cite_rules(_two_trees(spark, root))
+
+
+@query(f"""SELECT file, 'lines' AS tree, 0 AS tree_ord, 1 AS ord, 1 AS level, 'd' AS cite_type, '1' AS ref, NULL AS parent_ref FROM ({_LINES}) WHERE n = 1
+ UNION ALL SELECT file, 'lines', 0, n + 1, 2, 'l', '1.' || n, '1' FROM ({_LINES}) UNION ALL SELECT file, 'flat', 1, n, 1, 'line', n::VARCHAR, NULL FROM ({_LINES})""")
+def tei_units(spark: SparkSession, root: str) -> DataFrame:
+    return editions.units(_two_trees(spark, root)).select("file", "tree", "tree_ord", "ord", "level", "cite_type", "ref", "parent_ref")
+
+
+def _broken(spark: SparkSession, root: str) -> DataFrame:
+    """Of four editions one without its end, one whose tree can't be followed, an empty one, and a good one."""
+    k, content = F.col("file").cast("long") % 4, F.col("content")
+    bad = F.when(k == 0, F.replace(content, F.lit("</TEI>"), F.lit(""))).when(k == 1, F.replace(content, F.lit(' delim="."'), F.lit(""))).when(k == 2, F.lit(""))
+    return _tei(spark, root).withColumn("content", F.coalesce(bad, content))
+
+
+@query("""SELECT doc_id::VARCHAR AS file, ['open failed: XMLSyntaxError: no element found', 'tree ''default'': CiteError: no delimiter', 'open failed: XMLSyntaxError: document is empty'][doc_id % 4 + 1] AS reason
+ FROM documents WHERE text IS NOT NULL AND doc_id % 4 < 3""")
+def tei_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return editions.rejects(editions.index_rows(_broken(spark, root)))
+
+
+@query(f"""WITH l AS (SELECT file, n, {_NORMAL.format("line")} AS t FROM ({_LINES}) WHERE file::BIGINT % 4 = 3),
+ u AS (SELECT file, t AS text FROM l UNION ALL SELECT file, string_agg(t, chr(10) ORDER BY n) FROM l GROUP BY file), g AS (SELECT file FROM u WHERE {_STRIPPED.format("text")} <> '')
+ SELECT (SELECT count(DISTINCT file) FROM g) AS n_docs, (SELECT count(*) FROM g) AS n_passages, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND doc_id % 4 < 3) AS n_skipped""")
+def tei_counters(spark: SparkSession, root: str) -> DataFrame:
+    return editions.counters(editions.index_rows(_broken(spark, root)))
+
+
+@query("SELECT edition_id, " + ", ".join(f"coalesce({_STRIPPED.format(c)}, '') AS {c}" for c in ("title", "author")) + " FROM editions")
+def tei_headers(spark: SparkSession, root: str) -> DataFrame:
+    """Titles and authors put into headers, after others that are blank, and read again."""
+    escaped = lambda c: F.coalesce(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(""))
+    parts = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><title> </title><author/><title>', escaped("title"), "</title><author>", escaped("author"), "</author></teiHeader><text><title>no</title></text></TEI>"
+    content = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    return editions.headers(table(spark, root, "editions").select("edition_id", content.alias("content"))).select("edition_id", "title", "author")
+
+
+@query(f"""WITH l AS (SELECT file, n, line, (line <> '')::INT AS has, 1 + n + coalesce(sum((line <> '')::INT) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM ({_LINES}))
+ SELECT file, 1 AS pre, max(pre + has) AS post, 0 AS level, 0 AS parent, 'elem' AS kind, 'urn:r' AS ns, 'r' AS tag, NULL AS txt FROM l GROUP BY file
+ UNION ALL SELECT file, pre, pre + has, 1, 1, 'elem', 'urn:o', 'a', NULL FROM l UNION ALL SELECT file, pre + 1, pre + 1, 2, pre, 'text', NULL, NULL, line FROM l WHERE has = 1""")
+def tei_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """A record with an element for each line, of another namespace, under a prefix."""
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("<o:a>"), x, F.lit("</o:a>")))
+    content = F.concat(F.lit('<r xmlns="urn:r" xmlns:o="urn:o">'), F.array_join(lines, ""), F.lit("</r>"))
+    records = table(spark, root, "documents").filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("file"), content.alias("content"))
+    return editions.nodes(records).select("file", "pre", "post", "level", "parent", "kind", "ns", "tag", "txt")
+
+
+@query(f"""SELECT file, 'default' AS tree, '1.' || n AS ref, line AS text FROM ({_LINES}) WHERE line <> '' UNION ALL SELECT file, 'default', '1', string_agg(line || chr(10), '' ORDER BY n) FROM ({_LINES}) GROUP BY file""")
+def tei_strings(spark: SparkSession, root: str) -> DataFrame:
+    """String values of units, by the interval join of units and text nodes."""
+    e = _tei(spark, root)
+    return editions.unit_texts(editions.nodes(e), editions.units(e)).select("file", "tree", "ref", "text")
+
+
+# The pages of the reader, over a corpus of generated editions
+
+_CORPORA: dict[tuple[str, str], str] = {}
+_PAGE = "docs/w{0}/d{0}-lat1.xml"
+
+
+def _corpus(spark: SparkSession, root: str) -> Corpus:
+    key = spark.sparkContext.applicationId, root
+    if key not in _CORPORA:
+        folder = new_folder(spark, "pages")
+        name = F.concat(F.lit("docs/w"), F.col("file"), F.lit("/d"), F.col("file"), F.lit("-lat1.xml"))
+        sinks.write_files(_tei(spark, root).withColumn("file", name), folder)
+        catalog_file = spark.createDataFrame([("docs/w7/metadata.xml", f'<collection><resource identifier="urn:x:7" filepath="{_PAGE.format(7).rpartition("/")[2]}"/></collection>')], "file string, content string")
+        sinks.write_files(catalog_file, folder)
+        _CORPORA[key] = folder
+    return Corpus(spark, _CORPORA[key], dts_base="http://dts.test/")
+
+
+_AS_PAGE = "'docs/w' || doc_id || '/d' || doc_id || '-lat1.xml'"
+
+
+@query(f"SELECT 'A' AS author, 'docs' AS id, count(*) OVER () AS n_works, row_number() OVER (ORDER BY string_split({_AS_PAGE}, '/')) AS place, {_AS_PAGE} AS file, 'w' || doc_id AS work_id, 'T' AS title FROM documents WHERE text IS NOT NULL")
+def page_home(spark: SparkSession, root: str) -> DataFrame:
+    c = _corpus(spark, root)
+    try:
+        return written(c.home()[0], "page-home")
+    finally:
+        c.close()
+
+
+@query(f"""SELECT '{_PAGE.format(7)}' AS file, 'T' AS title, 'A' AS author, 'default' AS tree, 1 AS is_default, 1 AS ord, 1 AS level, 'd' AS cite_type, '1' AS ref FROM documents WHERE doc_id = 7 AND text IS NOT NULL
+ UNION ALL SELECT '{_PAGE.format(7)}', 'T', 'A', 'default', 1, n + 1, 2, 'l', '1.' || n FROM ({_LINES}) WHERE file = '7'""")
+def page_document(spark: SparkSession, root: str) -> DataFrame:
+    return _corpus(spark, root).document(_PAGE.format(7))
+
+
+@query(f"""WITH l AS (SELECT *, max(n) OVER (PARTITION BY file) AS last FROM ({_LINES}) WHERE file IN ('7', '8'))
+ SELECT 'docs/w' || file || '/d' || file || '-lat1.xml' AS file, 'default' AS tree, '1.1' AS ref, {_NORMAL.format("line")} || chr(10) || chr(10) AS body, CASE file WHEN '7' THEN 'urn:x:7' END AS identifier,
+ CASE file WHEN '7' THEN 'http://dts.test/document/?resource=urn%3Ax%3A7&ref=1.1' END AS url, NULL AS prev_ref, CASE WHEN last > 1 THEN '1.2' END AS next_ref FROM l WHERE n = 1""")
+def page_passage(spark: SparkSession, root: str) -> DataFrame:
+    """A passage of two works, one of which is in a catalog; and none of names that lead out of the corpus, or of no ref."""
+    c = _corpus(spark, root)
+    asked = [(_PAGE.format(7), "1.1"), (_PAGE.format(8), "1.1"), (_PAGE.format(7), "9"), (f"../pages/{_PAGE.format(7)}", "1.1"), ("docs/w7/metadata.xml", "1.1")]
+    return reduce(DataFrame.unionAll, (c.passage(file, ref, mode="text") for file, ref in asked))
+
+
 # Nested records
 
 

@@ -52,17 +52,22 @@ def shared_folder(spark: SparkSession) -> str:
     return str(sc.getCheckpointDir()).rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared one, which clean() deletes."""
+    path = f"{shared_folder(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[spark.sparkContext.applicationId].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder, partitioned by a column if one is named, and read it back.
 
     Cuts the lineage and survives the loss of executors.  Parquet rather than
     checkpoint(): it is compressed, and later reads prune columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[spark.sparkContext.applicationId].append(path)
+    path = new_folder(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> int:

@@ -1,7 +1,7 @@
 """Catalog, links, scalars, and order within groups of any size."""
 
 import itertools
-from urllib.parse import urlencode
+from urllib.parse import quote, urlencode
 
 import pytest
 from hypothesis import given, settings
@@ -93,10 +93,7 @@ def test_scalars(spark):
     s = spark.createDataFrame([("\xa0  a b \x1c\x85",)], "s string")
     assert s.select(T.strip(F.col("s"))).first()[0] == "a b"
     assert s.select(T.normalize_space(F.lit(" \t a\xa0 \r\n b "))).first()[0] == "a\xa0 b"
-    assert s.select(T.nbsp_run(F.lit("x"))).first()[0] is None
-    assert s.select(T.nbsp_run(F.lit(None).cast("string"))).first()[0] == "\xa0"
-    assert s.select(T.rend_class(F.lit(None).cast("string"))).first()[0] == "tei-hi"
-    assert s.select(T.flag(F.lit(None).cast("string"))).first()[0] is False
+    assert s.select(T.quote_path(F.lit("a b/c+é~*"))).first()[0] == quote("a b/c+é~*")
     assert s.select(T.match_string(F.lit('a OR "b*"'))).first()[0] == '"a" AND "OR" AND "b"'
 
 
@@ -129,3 +126,16 @@ def test_order_of_nulls_and_nothing(spark):
     rows = spark.createDataFrame([(None, 1), (None, 2), ("a", None)], "g string, o int")
     assert sorted(r.place for r in OrderedGroups(rows, ["g"], ["o"]).numbered().collect()) == [1, 1, 2]
     assert OrderedGroups(rows.limit(0), ["g"], ["o"]).numbered().count() == 0
+
+
+@pytest.mark.parametrize("path", ["a", "a/b", "", ".", "..", "../a", "a/..", "a/../b", "a/../../b", "/a", "./a", "a//b", "a/./../.."])
+def test_guard_on_the_driver_is_the_same(spark, path):
+    assert catalog.leads_inside(path) == spark.range(1).select(catalog.inside(F.lit(path))).first()[0]
+
+
+def test_totals_and_order(spark):
+    rows = [("b/w/x", "b", "w", "", "Zeta"), ("a/w/x", "a", "w", "T", ""), ("c/w/x", "c", "w", "", "zeta"), ("c/v/x", "c", "v", "", "Zeta")]
+    df = spark.createDataFrame(rows, "file string, author_id string, work_id string, title string, author string")
+    assert tuple(catalog.totals(df).first()) == (3, 4) and tuple(catalog.totals(df.limit(0)).first()) == (0, 0)
+    assert [r.file for r in catalog.in_order(catalog.author_works(df)).collect()] == ["a/w/x", "b/w/x", "c/v/x", "c/w/x"]
+    assert [r.author for r in catalog.numbered_authors(catalog.group_by_author(df)).orderBy("place").collect()] == ["a", "Zeta", "zeta"]

@@ -1,14 +1,16 @@
 """Editions as tables, sources, sinks, streaming and the command line, on a small corpus of our own."""
 
 import csv
+import glob
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium import cli
+from scriptorium import cli, session
 from scriptorium.operators import editions as E
-from scriptorium.operators.fulltext import Index, search
+from scriptorium.operators.fulltext import Index, ranked, search
 from scriptorium.plans.pages import Corpus
 from scriptorium.session import written
 from scriptorium.sources import corpus, sinks
@@ -58,6 +60,47 @@ def test_catalogs(spark, root):
     assert found == {("aut1", "metadata.xml", "urn:x:far"), ("aut1", "metadata.xml", ""), ("aut1/w1", "__cts__.xml", "urn:x:old"), ("aut1/w1", "__cts__.xml", "urn:x:near")}
 
 
+def test_one_file_is_opened_alone(spark, root):
+    name = "aut1/w1/aut1.w1.x-grc1.xml"
+    one = corpus.open_edition(spark, root, name)
+    assert [p.rpartition("/data/")[2] for p in one.inputFiles()] == [name]
+    assert [tuple(r) for r in one.drop("content").collect()] == [(name, "aut1", "w1")]
+    assert one.collect() == corpus.scan_editions(spark, root).filter(F.col("file") == name).collect()
+    for other in ("../data/" + name, "/" + name, "", "aut1", "aut1/metadata.xml", "aut2/w1/notes.xml", "x-grc1.xml", "aut1/w1/*-grc1.xml"):
+        assert corpus.open_edition(spark, root, other).count() == 0
+    near = corpus.catalogs_above(spark, root, name).collect()
+    assert {(r.catalog_dir, r.catalog_name) for r in near} == {("aut1", "metadata.xml"), ("aut1/w1", "__cts__.xml")}
+    assert corpus.catalogs_above(spark, root, "../x").count() == 0
+
+
+def test_written_files_are_read_again(spark, tmp_path):
+    rows = [("a/b/[x] {1}-grc1.xml", VERSE), ("a/b/y-lat1.xml", "x"), ("a/b/empty-lat1.xml", ""), ("../z-lat1.xml", "x"), ("a/n-lat1.xml", None), (None, "x")]
+    assert sinks.write_files(spark.createDataFrame(rows, "file string, content string"), str(tmp_path / "c")) == 3
+    found = corpus.scan_editions(spark, str(tmp_path / "c")).collect()  # a file without a byte is not seen
+    assert sorted((r.file, bytes(r.content).decode()) for r in found) == [("a/b/[x] {1}-grc1.xml", VERSE), ("a/b/y-lat1.xml", "x")]
+    assert corpus.open_edition(spark, str(tmp_path / "c"), "a/b/[x] {1}-grc1.xml").count() == 1
+    assert not (tmp_path / "z-lat1.xml").exists()
+
+
+def test_shared_folder(spark):
+    """Off one machine a folder must be named; tables can be deleted once they are no longer needed."""
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "yarn"
+            getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Cluster)
+    df = written(spark.range(3), "t")
+    assert df.count() == 3 and session.clean(spark) > 0 and session.clean(spark) == 0
+    assert not any(glob.glob(f.removeprefix("file:")) for f in df.inputFiles())
+
+
 def test_no_catalogs(spark, tmp_path):
     assert corpus.scan_catalogs(spark, str(tmp_path)).count() == 0
 
@@ -160,6 +203,30 @@ def test_stream(spark, root, tmp_path):
     assert [h.ref for h in search(i, "Γάζον").collect()] == ["3.2", "3"]
 
 
+def test_a_file_delivered_again_counts_once(spark, tmp_path):
+    name = "a/w/a.w.x-grc1.xml"
+    for k, lines in enumerate((["vetus versus", "alter"], ["novus versus"])):
+        sinks.write_files(spark.createDataFrame([(name, edition("T", "A", [("1", lines)]))], "file string, content string"), str(tmp_path / f"in{k}"))
+        stream = incremental.edition_stream(spark, str(tmp_path / f"in{k}"))
+        batch = stream.withColumn("file", F.lit(name))
+        incremental.index_stream(batch, str(tmp_path / "db"), str(tmp_path / f"check{k}"), once=True).awaitTermination()
+        for old in (tmp_path / "db").glob("*/batch=0"):  # each stream counts its batches from 0
+            old.rename(old.with_name(f"batch={7 + k}"))
+    i = incremental.open_stream_index(spark, str(tmp_path / "db"))
+    assert (i.total, search(i, "vetus").count(), search(i, "versus").count()) == (2, 0, 2)
+    assert incremental.compact(spark, str(tmp_path / "db"), str(tmp_path / "whole"))
+    assert search(Index.open(spark, str(tmp_path / "whole")), "novus").count() == 2
+
+
+def test_a_query_reads_its_terms_and_its_hits_only(spark, index):
+    out, _ = index
+    i = Index.open(spark, f"{out}/db")
+    plan = ranked(i, "Γάζον")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.partition("PartitionFilters: [")[2].partition("]")[0] and "docstats" not in plan
+    assert "In(passage_id" in i.looked_up([1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert i.document_frequencies(["γάζον", "none"]) == {"γάζον": 2, "none": 0}
+
+
 def test_command_line(spark, root, index, capsys):
     out, _ = index
     run = lambda *a: (cli.main(list(a)), capsys.readouterr().out)[1]
