@@ -10,6 +10,8 @@ it begins is kept.
 
 The test items go to all tasks, in blocks of bounded size: one block for a
 usual benchmark, as many passes over the training text as needed beyond that.
+A pass ends before the next begins, so that the driver and the tasks hold one
+block at a time, and the training text is split and hashed once for all.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .neardup import flat_lists
 
 #: Words of test items in a block: 32 MB in each task.
@@ -178,18 +181,24 @@ def leaks(
     )
     total = items.agg(F.sum(F.size("h"))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS)
+    if blocks > 1:  # hashed once for all passes
+        docs = written(docs, "leak-words")
     found = []
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toArrow()
         if not block.num_rows:
             continue
         h, off = flat_lists(block.column("h"))
-        shared = spark.sparkContext.broadcast((block.column("item").to_numpy(), h, off))
+        shared = spark.sparkContext.broadcast(TestItems(block.column("item").to_numpy(), h, off))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            return _matches(TestItems(*shared.value), length)(batches)
+            return _matches(shared.value, length)(batches)
 
-        found.append(docs.mapInArrow(run, MATCH))
+        matches = docs.mapInArrow(run, MATCH)
+        if blocks > 1:  # one block at a time in memory, on the driver and in the tasks
+            matches = written(matches, "leak-matches")
+            shared.destroy()
+        found.append(matches)
     if not found:
         return spark.createDataFrame([], MATCH)
     return reduce(DataFrame.unionAll, found)

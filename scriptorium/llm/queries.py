@@ -66,6 +66,12 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return look_the_same(_table(spark, root, "passages"))
 
 
+def p4_classes(spark: SparkSession, root: str) -> DataFrame:
+    from .unify import classes
+
+    return classes(_table(spark, root, "passages"))
+
+
 def p4_unified(spark: SparkSession, root: str) -> DataFrame:
     from .unify import unify
 
@@ -137,6 +143,6 @@ def p8_clean(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p1_editions, p2_found, p2_classes, p2_links, p3_found, p3_shares, p4_found, p4_unified, p6_packed, p6_placed, p6_filled, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
+        p1_found, p1_clean, p1_editions, p2_found, p2_classes, p2_links, p3_found, p3_shares, p4_found, p4_classes, p4_unified, p6_packed, p6_placed, p6_filled, p6_usage, p7_found, p7_longest, p7_clean, p8_found, p8_messages, p8_clean,
     )
 }

@@ -24,37 +24,52 @@ from pyspark.sql.types import StringType
 
 from ..session import written
 
-# Letters that look the same, as Latin, Greek, Cyrillic ("-" where a script has none).
+# Letters that look the same, as Latin, Greek, Cyrillic ("-" where a script has none), and rarer ones of
+# Cyrillic, Armenian and Cherokee that may stand for them.
 LOOKALIKE_LETTERS = """
-A Α А
-B Β В
-C Ϲ С
-E Ε Е
-H Η Н
-I Ι І
-J - Ј
-K Κ К
-M Μ М
+A Α А Ꭺ
+B Β В Ᏼ
+C Ϲ С Ꮯ
+D - - Ꭰ
+E Ε Е Ꭼ
+G - - ԌᏀ
+H Η Н Ꮋ
+I Ι І Ӏ
+J - Ј Ꭻ
+K Κ К Ꮶ
+L - - Ꮮ
+M Μ М Ꮇ
 N Ν -
-O Ο О
-P Ρ Р
-S - Ѕ
-T Τ Т
+O Ο О Օ
+P Ρ Р Ꮲ
+Q - - Ԛ
+R - - Ꭱ
+S - Ѕ ՏᏚ
+T Τ Т Ꭲ
+U - - Ս
+V - - ѴᏙ
+W - - ԜᎳ
 X Χ Х
-Y Υ -
-Z Ζ -
+Y Υ - Ү
+Z Ζ - Ꮓ
 a - а
 c ϲ с
+d - - ԁ
 e - е
-h - һ
+h - һ հ
 i - і
 j ϳ ј
-o ο о
+n - - ո
+o ο о օ
 p ρ р
+q - - ԛ
 s - ѕ
-v ν -
+u - - ս
+v ν - ѵ
+w - - ԝ
 x - х
 y - у
+- κ к
 """
 # Signs that look the same; each line's first sign stands for the others.
 LOOKALIKE_SIGNS = [
@@ -140,17 +155,24 @@ class Transducer:
                 self.own[ch] = line[0]
         self.to: dict[str, dict[int, str]] = {s: {} for s in SCRIPTS}
         self.ambiguous: set[str] = set()
-        for line in letters.split("\n"):
-            row = dict(zip(SCRIPTS, line.split()))
-            alike = [c for c in row.values() if c != "-"]
-            self.ambiguous.update(alike)
-            for script, target in row.items():
+        others: set[str] = set()
+        self.stands_for: dict[str, str] = {}  # scripts of rare letters that stand for a letter of one script only
+        for line in filter(None, letters.split("\n")):
+            *row, rare = (line.split() + [""])[:4] if len(line.split()) < 4 else line.split()
+            alike = [c for c in row if c != "-"]
+            if len(alike) > 1:
+                self.ambiguous.update(alike, rare)
+            else:
+                self.stands_for.update(dict.fromkeys(rare, next(s for s, c in zip(SCRIPTS, row) if c != "-")))
+            others.update(rare)
+            for script, target in zip(SCRIPTS, row):
                 target = alike[0] if target == "-" else target  # a letter that a script has not keeps one form in it
-                for c in alike:
+                for c in [*alike, *rare]:
                     if self.to[script].setdefault(ord(c), target) != target:
                         raise ValueError(f"{c!r} has two forms in {script}")
         self._check()
         self._memos()
+        self.others = re.compile("[" + "".join(sorted(others)) + "]") if others else re.compile(r"(?!)")
         m, i = _python_class([p for p in marks if chr(p) not in self.own or self.own[chr(p)]]), _python_class(ignored)
         self.clusters = re.compile(f"(?:[^{m}{i}][{i}]*)?[{m}][{m}{i}]*|[{_python_class([ord(c) for c in self.own])}]")
         self.letters = re.compile(r"(?:[^\W\d_]|[" + m + "])+")
@@ -193,6 +215,8 @@ class Transducer:
             return "GREEK"
         if ch in self.ambiguous or not ch.isalpha():
             return None
+        if ch in self.stands_for:
+            return self.stands_for[ch]
         name = unicodedata.name(ch, "")
         return next((s for s in SCRIPTS if name.startswith(s)), None)
 
@@ -207,15 +231,17 @@ class Transducer:
     def _word(self, word: str) -> str | None:
         """A run of letters in the script it decides on; null if it decides on none."""
         raw = unicodedata.normalize("NFD", word)
-        if not self.ambiguous.intersection(raw):
+        if not self.ambiguous.intersection(raw) and not self.others.search(raw):
             return word
+        if any(ch.isalpha() and ch not in self.ambiguous and not self.script_of(ch) for ch in raw):
+            return word  # of a script that has no part in this, such as Armenian
         script = self._majority(raw)
         return script and unicodedata.normalize("NFC", raw.translate(self.to[script]))
 
     def _settled(self, text: str) -> bool:
         """The letters are of one script, and one of them exists in that script only."""
         latin, greek = self.latin.search(text), self.greek.search(text)
-        if self.cyrillic.search(text) or (latin and greek):
+        if self.cyrillic.search(text) or (latin and greek) or self.others.search(text) or (latin and any(m in text for m in GREEK_MARKS)):
             return False
         return not (latin or greek) or self.decides.search(text) is not None
 
@@ -260,6 +286,33 @@ def unify(df: DataFrame, text: str = "text", out: str = "unified") -> DataFrame:
     return df.withColumn(out, unified(F.col(text)))
 
 
+def _forms(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, form, form2, spelling) of the rows that have a text: hashes of its form, two, and of the text."""
+    rows = (
+        df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+        .filter(F.col("id").isNotNull() & F.col("t").isNotNull() & (F.col("t") != ""))
+        .withColumn("u", unified(F.col("t")))
+        .select("id", F.xxhash64("u").alias("form"), F.xxhash64(F.lit(1), "u").alias("form2"), F.xxhash64("t").alias("spelling"))
+    )
+    return written(rows, "text-forms")
+
+
+def classes(df: DataFrame, id_col: str = "passage_id", text: str = "text") -> DataFrame:
+    """One row per text: (id, class_id, spelling_id, copies, spellings).
+
+    `class_id` and `spelling_id` are the least ids of the rows of that form and
+    of that very text, `copies` counts the latter and `spellings` the different
+    texts of the form.  Its size is that of the table, whatever is repeated.
+    """
+    rows = _forms(df, id_col, text)
+    texts = rows.groupBy("form", "form2", "spelling").agg(F.min("id").alias("spelling_id"), F.count("*").alias("copies"))
+    whole = texts.groupBy("form", "form2").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("spellings"))
+    return (
+        rows.join(texts, ["form", "form2", "spelling"]).join(whole, ["form", "form2"])
+        .select(F.col("id").alias(id_col), "class_id", "spelling_id", "copies", "spellings")
+    )
+
+
 def look_the_same(df: DataFrame, id_col: str = "passage_id", text: str = "text") -> DataFrame:
     """Pairs (id_lo, id_hi) of rows whose texts differ but have one form.
 
@@ -269,13 +322,7 @@ def look_the_same(df: DataFrame, id_col: str = "passage_id", text: str = "text")
     within one.  Null and empty texts are no case.  Equal ids pair with no
     one.
     """
-    rows = (
-        df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-        .filter(F.col("id").isNotNull() & F.col("t").isNotNull() & (F.col("t") != ""))
-        .withColumn("u", unified(F.col("t")))
-        .select("id", F.xxhash64("u").alias("form"), F.xxhash64(F.lit(1), "u").alias("form2"), F.xxhash64("t").alias("spelling"))
-    )
-    rows = written(rows, "text-forms")
+    rows = _forms(df, id_col, text)
     several = (
         rows.groupBy("form", "form2")
         .agg(F.min("spelling").alias("s0"), F.max("spelling").alias("s1"))

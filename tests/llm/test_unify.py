@@ -52,7 +52,7 @@ def test_forms_are_final_and_independent_of_normal_form(s):
 @given(letters, st.randoms(use_true_random=False))
 def test_disguises_have_the_same_form(s, r):
     """Any look-alike, width, space, decomposition or invisible character put in leaves the form as it was."""
-    groups = [set(row.split()) - {"-"} for row in U.LOOKALIKE_LETTERS.strip().split("\n")]
+    groups = [set(row.replace(" ", "")) - {"-"} for row in U.LOOKALIKE_LETTERS.strip().split("\n")]
     out = []
     for ch in s:
         for c in unicodedata.normalize("NFD", ch) if r.random() < 0.5 else ch:
@@ -94,7 +94,7 @@ def test_whole_table_against_a_plain_key(spark):
     """A key that folds all look-alikes to Latin, without regard to context, gives the same pairs."""
     fold = {}
     for row in U.LOOKALIKE_LETTERS.strip().split("\n"):
-        first, *others = row.split()
+        first, *others = row.replace(" ", "").replace("-", "")
         fold |= {ord(c): first for c in others if c != "-"}
     gone = dict.fromkeys(map(ord, "\xad​‌‍⁠﻿"))
     df = spark.read.parquet(f"{DATA}/passages.parquet").select("passage_id", "text")
@@ -112,3 +112,16 @@ def test_order_of_rows_does_not_matter(spark):
     one = {tuple(x) for x in U.look_the_same(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
     r.shuffle(rows)
     assert {tuple(x) for x in U.look_the_same(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()} == one
+
+
+def test_rarer_look_alikes():
+    assert T.apply("ԝօrԁ") == "word" and T.apply("ᎪᏴᏟ Ӏus ѵіа") != "" and T.apply("Ӏus Ѵenus") == "Ius Venus" and T.apply("кόσмος")[0] == "κ"
+    assert T.apply("Հայաստան օր") == "Հայաստան օր"  # Armenian words stay as they are
+    assert T.apply("ток") == "ток" and T.apply("κόσμος") == "κόσμος"
+
+
+def test_classes(spark):
+    rows = [(1, "word"), (2, "wοrd"), (3, "wοrd"), (4, "other"), (5, "other"), (6, ""), (7, None), (None, "word"), (8, "ԝord")]
+    got = {r.passage_id: tuple(r)[1:] for r in U.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1, 1, 3), 2: (1, 2, 2, 3), 3: (1, 2, 2, 3), 4: (4, 4, 2, 1), 5: (4, 4, 2, 1), 8: (1, 8, 1, 3)}
+    assert U.classes(spark.createDataFrame([], SCHEMA)).count() == 0
