@@ -43,13 +43,19 @@ class Corpus:
     def works(self) -> DataFrame:
         return with_headers(scan_editions(self.spark, self.root)).persist()
 
+    @cached_property
+    def listing(self) -> DataFrame:
+        """All works by author: the catalog page as it is first shown."""
+        return author_works(self.works).persist()
+
     def close(self) -> None:
-        if "works" in self.__dict__:
-            self.works.unpersist()
+        for kept in ("listing", "works"):
+            if kept in self.__dict__:
+                self.__dict__.pop(kept).unpersist()
 
     def home(self, q: str = "") -> tuple[DataFrame, DataFrame | None]:
         """Works by author whose names contain the input, as flat rows, and the passages found, if full-text search is on and there is input."""
-        found = author_works(name_search(self.works, q))
+        found = author_works(name_search(self.works, q)) if q.strip() else self.listing
         return found, search(self.index, q) if self.index is not None and q.strip() else None
 
     def _file(self, file: str) -> DataFrame:
