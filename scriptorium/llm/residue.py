@@ -256,7 +256,7 @@ class Prefilter:
 
     def __init__(self) -> None:
         whole = sum(map(len, RULES.values()))
-        self.rules = [(re.compile(pattern), [{(case, t) for t in s} for s in sets], k < whole) for k, (pattern, case, sets) in enumerate(NEEDS)]
+        self.rules = [(re.compile(pattern), sorted(({(case, t) for t in s} for s in sets), key=lambda s: -min(len(t) for _, t in s)), k < whole) for k, (pattern, case, sets) in enumerate(NEEDS)]
         self.triggers = self._literals(self.rules)
 
     def __call__(self, text: str) -> Iterator[str]:
@@ -275,13 +275,17 @@ class Prefilter:
 
     @staticmethod
     def _literals(rules: list) -> set[tuple[bool, str]]:
-        return {t for _, sets, _ in rules for s in sets for t in s}
+        """Of each rule the set that is searched for first: the one with the longest literals."""
+        return {t for _, sets, _ in rules for t in (sets[0] if sets else ())}
 
     @staticmethod
     def _possible(text: str, rules: list, triggers: Iterable[tuple[bool, str]]) -> list:
         low = folded(text)
         held = {t for t in triggers if t[1] in (text if t[0] else low)}
-        return [rule for rule in rules if all(not held.isdisjoint(s) for s in rule[1])]
+        return [
+            rule for rule in rules
+            if not rule[1] or (not held.isdisjoint(rule[1][0]) and all(any(t in (text if case else low) for case, t in s) for s in rule[1][1:]))
+        ]
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
