@@ -68,3 +68,33 @@ def bm25(phrases: list[list[str]], k: int | None = 50, among: str = "") -> str:
  ok AS (SELECT passage_id, round(s, 10) AS score FROM sc WHERE k = {len(phrases)}{among})
  SELECT row_number() OVER (ORDER BY score DESC, passage_id) AS rn, passage_id, score FROM ok
  ORDER BY score DESC, passage_id{f" LIMIT {k}" if k else ""}"""
+
+
+# Nested elements by their tags: levels by a running sum, parents by the places of tags; what is not well-formed is told by the
+# tags too (pairs by level, entities, attributes twice).
+NESTED = r"""WITH e AS (SELECT edition_id, regexp_replace(content, '(?s)<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>', '', 'g') AS c FROM editions WHERE content <> ''),
+ l AS (SELECT edition_id, c, regexp_extract_all(c, '<[^<>]*>') AS l FROM e),
+ t AS (SELECT edition_id, contains(c, 'xmlns="http://www.tei-c.org/ns/1.0"') AS plain, unnest(l) AS tag, unnest(range(1, len(l) + 1)) AS pos FROM l),
+ p AS (SELECT *, regexp_extract(tag, '^</?([^\s/>]+)', 1) AS qname, regexp_extract(tag, '^</?(?:[^\s/>:]+:)?([^\s/>:]+)', 1) AS name, starts_with(tag, '</') AS closing, ends_with(tag, '/>') AS alone,
+  starts_with(qname, 'tei:') OR (NOT contains(qname, ':') AND plain AND NOT contains(tag, 'xmlns=""')) AS tei FROM t),
+ d AS (SELECT *, sum(CASE WHEN closing THEN -1 WHEN alone THEN 0 ELSE 1 END) OVER (PARTITION BY edition_id ORDER BY pos) + (closing OR alone)::INT AS level FROM p),
+ m AS (SELECT *, lag(qname) OVER w AS opened, lag(closing) OVER w AS after FROM d WHERE NOT alone WINDOW w AS (PARTITION BY edition_id, level ORDER BY pos)),
+ bad AS (SELECT edition_id FROM (SELECT edition_id, regexp_extract_all(tag, '\s([^\s="'']+)\s*=\s*["'']', 1) AS a, regexp_replace(tag, '"[^"]*"|''[^'']*''', '""', 'g') AS bare FROM p)
+   WHERE len(list_distinct(a)) < len(a) OR regexp_matches(bare, '=\s*[^"\s]') UNION
+  SELECT edition_id FROM m WHERE (closing AND (coalesce(after, true) OR opened <> qname)) OR (NOT closing AND NOT coalesce(after, true)) OR level < 1 UNION
+  SELECT edition_id FROM m GROUP BY edition_id HAVING sum(CASE WHEN closing THEN -1 ELSE 1 END) <> 0 UNION
+  SELECT edition_id FROM l WHERE len(l) = 0 OR regexp_matches(regexp_replace(c, '<[^<>]*>|&(?:lt|gt|amp|quot|apos|#\d+|#x[0-9a-fA-F]+);', '', 'g'), '[<&]')),
+ s AS (SELECT edition_id, min(pos) FILTER (NOT closing) AS lo, max(pos) FILTER (closing) AS hi FROM d WHERE name = 'text' GROUP BY edition_id), k AS (SELECT d.edition_id, pos, name, level, row_number() OVER (PARTITION BY d.edition_id ORDER BY pos) AS no FROM d JOIN s USING (edition_id)
+  WHERE NOT closing AND tei AND name IN ('div', 'l', 'note') AND pos > lo AND pos < hi AND d.edition_id NOT IN (SELECT edition_id FROM bad)),
+ z AS (SELECT k.*, coalesce(c.pos, k.pos) AS until FROM k LEFT JOIN LATERAL (SELECT min(pos) AS pos FROM d WHERE d.edition_id = k.edition_id AND d.closing AND d.level = k.level AND d.pos > k.pos AND NOT EXISTS (SELECT 1 FROM d a WHERE a.edition_id = k.edition_id AND a.pos = k.pos AND a.alone)) c ON true)
+ SELECT c.edition_id, c.no AS elem_no, coalesce(max(p.no), 0) AS parent_no, c.name AS elem FROM z c LEFT JOIN z p ON p.edition_id = c.edition_id AND p.pos < c.pos AND p.until > c.pos GROUP BY ALL"""
+
+
+def header(tag: str) -> str:
+    """The first text right after a tag of that name that is not blank, up to the header's end."""
+    leads = f"regexp_extract_all(regexp_extract(content || '</teiHeader>', '(?s)^.*?</(?:\\w+:)?teiHeader>'), '<(?:\\w+:)?{tag}(?:\\s[^<>]*)?>([^<]*)', 1)"
+    plain = "x"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&amp;", "&")):
+        plain = f"replace({plain}, '{entity}', '{sign}')"
+    strip = f"regexp_replace({plain}, '^[\\s\\pZ\\x{{1c}}-\\x{{1f}}\\x{{85}}]+|[\\s\\pZ\\x{{1c}}-\\x{{1f}}\\x{{85}}]+$', '', 'g')"
+    return f"coalesce(list_filter(list_transform({leads}, lambda x: {strip}), lambda x: x <> '')[1], '')"

@@ -410,7 +410,7 @@ def skip_report_file(spark: SparkSession, root: str) -> DataFrame:
 # Editions: XML to tables.  SQL has no XML; these are tested against independent parsers.
 
 
-@query()
+@query(f"SELECT edition_id, file, {oracle.header('title')} AS title, {oracle.header('author')} AS author FROM editions")
 def edition_headers(spark: SparkSession, root: str) -> DataFrame:
     return editions.headers(table(spark, root, "editions").select("edition_id", "file", "content")).drop("content")
 
@@ -657,7 +657,7 @@ def page_passage(spark: SparkSession, root: str) -> DataFrame:
 # Nested records
 
 
-@query()
+@query(oracle.NESTED)
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return nested_elements(table(spark, root, "editions"))
 
@@ -686,6 +686,14 @@ for _name in ("div", "l", "note"):
     _p5_table(_name)
 
 
+@query(oracle.NESTED)
+def p5_links(spark: SparkSession, root: str) -> DataFrame:
+    """The three tables' rows with their numbers and links, as they are found."""
+    s = SharedInlining(table(spark, root, "editions"), asked=("div", "l", "note"))
+    rows = (s.table(name).select("edition_id", "elem_no", "parent_no", F.lit(name).alias("elem")) for name in ("div", "l", "note"))
+    return reduce(DataFrame.unionAll, rows)
+
+
 @query(f"""WITH l AS ({_LINES}), n AS (SELECT file::BIGINT AS doc_id, n, line, 1 + n + (n + 2) // 4 AS no FROM l)
  SELECT doc_id, 1 AS elem_no, 0 AS parent_no, 'div' AS elem, 1 AS row_no, 0 AS parent_row_no, NULL AS text FROM n WHERE n = 1
  UNION ALL SELECT doc_id, no, 1, 'l', no + (n + 2) // 4 + (n % 4 = 1)::INT, CASE WHEN n % 4 = 1 THEN no + (n + 2) // 4 ELSE 1 END, line FROM n
