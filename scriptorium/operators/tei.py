@@ -8,7 +8,6 @@ from it without parsing anything again.
 from __future__ import annotations
 
 import re
-import sys
 import xml.parsers.expat as expat
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,8 +15,6 @@ from dataclasses import dataclass, field
 TEI = "http://www.tei-c.org/ns/1.0"
 XML = "http://www.w3.org/XML/1998/namespace"
 SPACE = " \t\r\n"
-#: Depth of nesting that the folds follow.
-MAX_DEPTH = 20_000
 
 
 class Node:
@@ -249,10 +246,12 @@ def _select(context: list[Node], match: str, through: frozenset[str]) -> list[No
     """The elements a path leads to, in document order; child steps also pass through elements `through`."""
 
     def below(n: Node, deep: bool) -> Iterator[Node]:
-        for c in n.elements():
+        todo = [*n.elements()][::-1]
+        while todo:
+            c = todo.pop()
             yield c
             if deep or (c.tei and c.tag in through):
-                yield from below(c, deep)
+                todo.extend([*c.elements()][::-1])
 
     steps = _steps(match)
     absolute = match.strip().startswith("/")
@@ -329,11 +328,6 @@ VARIANTS = ("sic", "abbr", "orig")
 ENDS_LINE = frozenset("item lg sp speaker".split())
 
 
-def _deep() -> None:
-    if sys.getrecursionlimit() < MAX_DEPTH:
-        sys.setrecursionlimit(MAX_DEPTH)
-
-
 def normalize_space(s: str) -> str:
     return re.sub("[ \t\r\n]+", " ", s).strip(SPACE)
 
@@ -358,37 +352,40 @@ def render_text(top: Node, strict_blocks: bool = False) -> str:
     `strict_blocks` also ends items, groups of lines and speeches with a line
     feed; by default only the blocks of running text do.
     """
-    _deep()
+    runs: list[list[str]] = [[]]  # of the blocks that are open, the innermost last
+    todo: list[tuple[Node, bool] | str | None] = [(top, False)]
 
-    def content(n: Node, out: list[str], kept: bool) -> None:
-        for c in n.children:
-            if isinstance(c, Node):
-                element(c, out, kept)
-            elif kept or c.strip(SPACE):
-                out.append(c)
+    def content(n: Node, kept: bool) -> None:
+        todo.extend((c, kept) if isinstance(c, Node) else c for c in reversed(n.children) if isinstance(c, Node) or kept or c.strip(SPACE))
 
-    def element(n: Node, out: list[str], kept: bool) -> None:
+    while todo:
+        item = todo.pop()
+        if item is None:  # the end of a block
+            run = "".join(runs.pop())
+            runs[-1].append(normalize_space(run) + "\n")
+            continue
+        if isinstance(item, str):
+            runs[-1].append(item)
+            continue
+        n, kept = item
         tag = n.tag if n.tei else ""
         kept = kept or tag in KEEPS_SPACE
         if tag in TEXT_DROPPED:
-            return
+            continue
         if tag in TEXT_SPACES:
-            out.append(" ")
+            runs[-1].append(" ")
         elif tag in TEXT_BLOCKS:
-            run: list[str] = []
-            content(n, run, kept)
-            out.append(normalize_space("".join(run)) + "\n")
+            runs.append([])
+            todo.append(None)
+            content(n, kept)
         elif tag == "choice":
             if shown := _shown(n):
-                content(shown, out, kept or (shown.tei and shown.tag in KEEPS_SPACE))
+                content(shown, kept or (shown.tei and shown.tag in KEEPS_SPACE))
         else:
-            content(n, out, kept)
             if tag == "div" or (strict_blocks and tag in ENDS_LINE):
-                out.append("\n")
-
-    out: list[str] = []
-    element(top, out, False)
-    return "".join(out)
+                todo.append("\n")
+            content(n, kept)
+    return "".join(runs[0])
 
 
 # HTML
@@ -441,20 +438,16 @@ def _open(tag: str, *attributes: tuple[str, str | None]) -> str:
 
 def render_html(top: Node) -> str:
     """An HTML fragment of a tree.  Raises ValueError for a @quantity of a space that is no integer."""
-    _deep()
+    todo: list[tuple[Node, int] | str] = [(top, 0)]
 
     def content(n: Node, out: list[str], depth: int) -> None:
         stripped = n.tei and n.tag in HTML_STRIPPED
-        for c in n.children:
-            if isinstance(c, Node):
-                element(c, out, depth)
-            elif not stripped or c.strip(SPACE):
-                out.append(_escape(c))
+        todo.extend((c, depth) if isinstance(c, Node) else _escape(c) for c in reversed(n.children) if isinstance(c, Node) or not stripped or c.strip(SPACE))
 
     def wrap(n: Node, out: list[str], depth: int, tag: str, *attributes: tuple[str, str | None], before: str = "", after: str = "") -> None:
         out.append(_open(tag, *attributes) + before)
+        todo.append(f"{after}</{tag}>")
         content(n, out, depth)
-        out.append(f"{after}</{tag}>")
 
     def element(n: Node, out: list[str], depth: int) -> None:
         get = n.attrs.get
@@ -496,9 +489,9 @@ def render_html(top: Node) -> str:
         elif tag == "choice":
             variant = _first(n, VARIANTS)
             out.append(_open("span", ("class", "tei-choice"), ("title", normalize_space(variant.text()) if variant else None)))
+            todo.append("</span>")
             if shown := _shown(n):
                 content(shown, out, depth)
-            out.append("</span>")
         elif tag == "gap":
             title = normalize_space(" ".join(n.attrs[a] for a in ("reason", "extent", "unit") if a in n.attrs))
             out.append(_open("span", ("class", "tei-gap"), ("title", title)) + "[…]</span>")
@@ -529,7 +522,12 @@ def render_html(top: Node) -> str:
             wrap(n, out, depth, "span", ("class", f"tei tei-{tag}"))
 
     out: list[str] = []
-    element(top, out, 0)
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+        else:
+            element(item[0], out, item[1])
     return "".join(out)
 
 

@@ -173,8 +173,10 @@ def test_excerpt_keeps_what_is_around():
 
 
 def test_deep_nesting():
-    xml = "".join(["<div>"] * 3000) + "x" + "".join(["</div>"] * 3000)
-    assert text(f"<TEI {NS}>{xml}</TEI>").strip() == "x"
+    xml = "<div>" * 50_000 + "<l>x</l>" + "</div>" * 50_000
+    root = tei.parse(f"<TEI {NS}>{xml}</TEI>")
+    assert tei.render_text(root).strip() == "x" and tei.render_html(root).count("<section") == 50_000
+    assert [n.tag for n in tei._select([root], "//l", frozenset())] == ["l"]
 
 
 @pytest.mark.parametrize("bad", ["", "<a>", "<a></b>", "<a>&nope;</a>", '<a x="1" x="2"/>', "<a><![CDATA[</a>"])
