@@ -22,4 +22,5 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, str(DATA))
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert rows and len({tuple(map(repr, r)) for r in rows}) > len(rows) // 2
