@@ -52,7 +52,7 @@ RECORD = "id long, file string, size int, gid long, sid long, keys array<int>, p
 
 def distinct_words(text: Column) -> Column:
     """64-bit hashes of the distinct words: maximal runs without space or line feed, compared exactly."""
-    words = F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
+    words = F.array_remove(F.split(text, "[ \n]+"), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -225,7 +225,8 @@ class GroupedPrefixJoin:
         self.records = written(sets.mapInArrow(_recorder(spark, word_counters(sets), num, den), RECORD), "near-records")
 
     def _sets(self, texts: DataFrame) -> DataFrame:
-        return texts.select("id", "file", distinct_words(F.col("t")).alias("h")).filter(F.size("h") >= self.least)
+        # a generator of one row, which no filter is moved below: the words are split and hashed once, not for the filter again
+        return texts.select("id", "file", F.explode(F.array(distinct_words(F.col("t")))).alias("h")).filter(F.size("h") >= self.least)
 
     def _enough(self, overlap: Column, sizes: Column) -> Column:
         """overlap / (sizes - overlap) >= num / den"""

@@ -46,7 +46,7 @@ HOT_WORDS = 1 << 15
 
 def word_hashes(text: Column) -> Column:
     """Hashes of all words in order: maximal runs without space or line feed."""
-    return F.transform(F.filter(F.split(text, "[ \n]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(text, "[ \n]+"), ""), lambda w: F.xxhash64(w))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -283,7 +283,7 @@ def shared_shares(df: DataFrame, id_col: str = "passage_id", file_col: str = "fi
     """One row per record with a text: its words, how many of them are shared, and the share (0 for a text without words)."""
     spans = shared_spans(df, id_col, file_col, text_col, length)
     sums = spans.groupBy(id_col).agg(F.sum(F.col("last_word") - F.col("first_word") + 1).alias("shared"), F.count("*").alias("stretches"))
-    words = df.filter(F.col(text_col).isNotNull()).select(id_col, F.size(F.filter(F.split(text_col, "[ \n]+"), lambda w: w != "")).alias("words"))
+    words = df.filter(F.col(text_col).isNotNull()).select(id_col, F.size(F.array_remove(F.split(text_col, "[ \n]+"), "")).alias("words"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return words.join(sums, id_col, "left").select(
         id_col, "words", zero("shared").alias("shared_words"), zero("stretches").alias("stretches"),
