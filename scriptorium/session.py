@@ -63,10 +63,13 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder, partitioned by a column if one is named, and read it back.
 
     Cuts the lineage and survives the loss of executors.  Parquet rather than
-    checkpoint(): it is compressed, and later reads prune columns.
+    checkpoint(): it is compressed, and later reads prune columns.  What was
+    shuffled for it is of no more use, but Spark deletes such files only once
+    the driver collects its garbage, so it is asked to.
     """
     path = new_folder(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
