@@ -295,11 +295,10 @@ class GroupedPrefixJoin:
         )
         a = rows.withColumnsRenamed({"id": "ia", "file": "fa", "gid": "ga", "sid": "sa"})
         b = rows.withColumnsRenamed({"id": "ib", "file": "fb", "gid": "gb", "sid": "sb"})
-        expand = lambda p: p.join(a, ["ga", "sa"]).join(b, ["gb", "sb"]).filter("fa <> fb")
-        similar = expand(self.set_pairs())
-        same = expand(copied).filter("ia < ib")
-        lo_hi = [F.least("ia", "ib").alias("id_lo"), F.greatest("ia", "ib").alias("id_hi")]
-        return similar.select(lo_hi).unionByName(same.select(lo_hi)).filter("id_lo <> id_hi").distinct()
+        # similar sets, and each set that has rows of several sources, with itself: expanded together
+        both = self.set_pairs().unionByName(copied).join(a, ["ga", "sa"]).join(b, ["gb", "sb"])
+        once = (F.col("fa") != F.col("fb")) & (F.col("ia") != F.col("ib")) & ((F.col("sa") != F.col("sb")) | (F.col("ga") != F.col("gb")) | (F.col("ia") < F.col("ib")))
+        return both.filter(once).select(F.least("ia", "ib").alias("id_lo"), F.greatest("ia", "ib").alias("id_hi")).distinct()
 
     def _classes(self) -> DataFrame:
         """(gid, sid, class_id, copies, f0, f1): the sets with what their rows say together."""
