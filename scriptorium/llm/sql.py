@@ -57,6 +57,18 @@ P6_FILLED = f"SELECT container_kind, capacity, count(*) AS pieces, sum(tokens) A
 P7_FOUND = f"SELECT DISTINCT doc_id, item_id FROM ({_runs('documents', 'doc_id')}) JOIN ({_runs('benchmark', 'item_id')}) USING (gram)"
 P7_CLEAN = f"SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P7_FOUND}))"
 
+def _places(table: str, id_: str) -> str:
+    return f"""SELECT {id_}, k, array_to_string(w[k:k + 11], ' ') AS gram FROM (SELECT {id_}, w, unnest(range(1, len(w) - 10)) AS k FROM
+ (SELECT {id_}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12)"""
+
+
+# runs of places on one diagonal are one match
+P7_LONGEST = f"""WITH m AS (SELECT doc_id, item_id, d.k AS a, i.k AS b FROM ({_places('documents', 'doc_id')}) d JOIN ({_places('benchmark', 'item_id')}) i USING (gram)),
+ r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS run FROM m),
+ g AS (SELECT doc_id, item_id, count(*) + 11 AS words, min(a) AS doc_word, min(b) AS item_word FROM r GROUP BY doc_id, item_id, a - b, run)
+ SELECT doc_id, item_id, words, doc_word, item_word, matches FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id) AS matches,
+  row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, doc_word, item_word) AS best FROM g) WHERE best = 1"""
+
 SQL: dict[str, str] = {
     "p2_found": P2_FOUND,
     "p2_classes": P2_CLASSES,
@@ -66,5 +78,6 @@ SQL: dict[str, str] = {
     "p6_placed": P6_PLACED,
     "p6_filled": P6_FILLED,
     "p7_found": P7_FOUND,
+    "p7_longest": P7_LONGEST,
     "p7_clean": P7_CLEAN,
 }
