@@ -22,8 +22,10 @@ There is one plan for all sizes.  What bounds each step:
   of one side have and none of the other count as different words, so no true
   pair is lost.
 * Words are read again for those sets only that stand in a candidate pair.
-  Others are passed over by a bitmap of 2^23 bits before the join by id, which
-  at any size is a join by shuffle or, if it finds one side small, Spark's own.
+  Others are passed over by a bitmap of 2^23 bits before anything is shuffled,
+  and what it lets through is dropped by the join with the pairs.  Groups of
+  one set, which nearly all are, are passed over likewise where sets of one
+  group meet.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import shuffles_freed, written
 
 #: Counters of the word order; a fixed 2 MB on the driver and in each task.
 COUNTERS = 1 << 18
@@ -99,7 +101,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counters(sets: DataFrame) -> np.ndarray:
     """How many sets have a word of each slot, over all sets; COUNTERS numbers at most reach the driver."""
-    rows = sets.select("h").mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    with shuffles_freed(sets.sparkSession):
+        rows = sets.select("h").mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(COUNTERS, np.int64)
     out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -188,7 +191,8 @@ def _recorder(spark: SparkSession, counters: np.ndarray, num: int, den: int):
 def bitmap_of(ids: DataFrame) -> np.ndarray:
     """A bitmap of the hashes of `ids`; its size is fixed, so that of very many ids it only lets more through."""
     slot = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    words = ids.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {BITS}) % 64 as int))")).alias("bits")).toPandas()
+    with shuffles_freed(ids.sparkSession):
+        words = ids.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {BITS}) % 64 as int))")).alias("bits")).toPandas()
     out = np.zeros(BITS // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
@@ -262,6 +266,10 @@ class GroupedPrefixJoin:
     def _members(self, records: DataFrame, *more: Column) -> DataFrame:
         return records.groupBy("gid", "sid").agg(F.first("size").alias("size"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)), F.min("id").alias("rep"), *more)
 
+    def _several(self, records: DataFrame) -> DataFrame:
+        """The groups of more than one set."""
+        return records.groupBy("gid").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("gid")
+
     def set_pairs(self) -> DataFrame:
         """Verified pairs (ga, sa, gb, sb) of different sets that are similar enough."""
         spark = self.records.sparkSession
@@ -271,8 +279,8 @@ class GroupedPrefixJoin:
         columns = ["ga", "sa", "na", "ra", "gb", "sb", "nb", "rb"]
         sets = self._members(self.records)
         across = self.group_pairs().join(sets.withColumnsRenamed(name_a), "ga").join(sets.withColumnsRenamed(name_b), "gb").filter(near).select(columns)
-        several = self.records.groupBy("gid").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).filter("x <> y").select("gid")
-        inner = self._members(self.records.join(several, "gid", "left_semi"), F.first("rest").alias("rest")).withColumn("word", F.explode("rest")).drop("rest")
+        crowded = self.records.filter(_in_bitmap(spark, bitmap_of(self._several(self.records).withColumnRenamed("gid", "id")))(F.xxhash64("gid")))
+        inner = self._members(crowded.join(self._several(crowded), "gid", "left_semi"), F.first("rest").alias("rest")).withColumn("word", F.explode("rest")).drop("rest")
         a, b = inner.withColumnsRenamed(name_a), inner.withColumnsRenamed(name_b)
         within = a.join(b, (c("ga") == c("gb")) & (a["word"] == b["word"])).filter((c("sa") < c("sb")) & near).select(columns).distinct()
         candidates = written(across.unionByName(within), "near-candidates")
@@ -280,7 +288,7 @@ class GroupedPrefixJoin:
         ids = candidates.select(F.explode(F.array("ra", "rb")).alias("id")).distinct()
         wanted = _in_bitmap(spark, bitmap_of(ids))
         # An id may have several texts: the words of a set are those of its id and its hash.
-        texts = self.texts.filter(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi")
+        texts = self.texts.filter(wanted(F.xxhash64("id")))
         words = self._sets(texts).select("id", "h").mapInArrow(_with_sets, "id long, sid long, h array<long>").dropDuplicates(["id", "sid"])
         wa, wb = words.withColumnsRenamed({"id": "ra", "sid": "sa", "h": "ha"}), words.withColumnsRenamed({"id": "rb", "sid": "sb", "h": "hb"})
         both = candidates.join(wa, ["ra", "sa"]).join(wb, ["rb", "sb"])

@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,16 +61,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Each query that is run within deletes its shuffle files when it ends.
+
+    For queries that are run once.  Else Spark deletes such files whenever the
+    driver happens to collect its garbage.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder, partitioned by a column if one is named, and read it back.
 
     Cuts the lineage and survives the loss of executors.  Parquet rather than
     checkpoint(): it is compressed, and later reads prune columns.  What was
-    shuffled for it is of no more use, but Spark deletes such files only once
-    the driver collects its garbage, so it is asked to.
+    shuffled for it is of no more use and is deleted; for what other queries
+    have left, the driver is asked to collect its garbage.
     """
     path = new_folder(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

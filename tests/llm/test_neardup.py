@@ -1,6 +1,8 @@
 """Problem 2: the grouped prefix join against all pairs."""
 
 import random
+import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,70 @@ def test_one_id_with_different_texts(spark):
         df = spark.createDataFrame(order, SCHEMA).coalesce(1)
         assert {tuple(x) for x in N.near_duplicates(df).collect()} == {(1, 2), (1, 3)}
         assert sorted(r.links for r in N.GroupedPrefixJoin(df, "passage_id", "file", "text", 3, 5, 10).classes().collect()) == [1, 1, 1, 1]
+
+
+def shuffled(spark):
+    """Bytes that all queries so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.fixture
+def by_shuffle(spark):
+    """Joins as on large tables."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_groups_of_one_set_shuffle_no_rests(by_shuffle):
+    spark, r = by_shuffle, random.Random(5)
+    n = 3000
+    rows = [(k, f"f{k % 7}", " ".join(f"w{r.randrange(20_000)}" for _ in range(60))) for k in range(n)]
+    j = N.GroupedPrefixJoin(spark.createDataFrame(rows, SCHEMA).repartition(4), "passage_id", "file", "text", 3, 5, 10)
+    at = [shuffled(spark)]
+    for query in (j.group_pairs, j.set_pairs):
+        assert query().count() == 0
+        at.append(shuffled(spark))
+    assert (at[2] - at[1]) - (at[1] - at[0]) < 200 * n
+
+
+def test_texts_of_pairs_are_not_shuffled(by_shuffle):
+    """Long texts of few words: 64 bits a word are enough."""
+    spark, r = by_shuffle, random.Random(6)
+    words = [[f"w{k}x{i}" for i in range(12)] for k in range(100)]
+    rows = [(k, f"f{k % 2}", " ".join([*words[k // 2], *r.choices(words[k // 2], k=2000), f"end{k}"])) for k in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    assert {tuple(x) for x in N.near_duplicates(df).collect()} == {(k, k + 1) for k in range(0, 200, 2)}
+    assert shuffled(spark) - before < 0.2 * sum(len(t) for _, _, t in rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, monkeypatch):
+    """Whether or not the driver collects its garbage."""
+
+    class WithoutCollection:
+        System = SimpleNamespace(gc=lambda: None)
+
+        def __getattr__(self, name):
+            return getattr(spark.sparkContext._jvm, name)
+
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    monkeypatch.setattr(spark, "_jvm", WithoutCollection())
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before, before = spark.conf.get(name, None), files()
+    df = N.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(name, None) == set_before
+    assert sorted(tuple(x) for x in df.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
